@@ -5,11 +5,13 @@ from __future__ import annotations
 from capturelake.llm.mixing import MIX_SQL, op8_mixing
 from capturelake.llm.quality import op2_quality
 from capturelake.llm.sharding import SHARD_SQL, op4_sharding
+from capturelake.llm.token_files import op9_token_files
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op8_mixing": op8_mixing,
+    "op9_token_files": op9_token_files,
 }
 SQL = {
     "op4_sharding": SHARD_SQL,
