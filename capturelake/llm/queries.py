@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from capturelake.llm.mixing import MIX_SQL, op8_mixing
+from capturelake.llm.packing import op6_packing
 from capturelake.llm.quality import op2_quality
 from capturelake.llm.sharding import SHARD_SQL, op4_sharding
 from capturelake.llm.token_files import op9_token_files
@@ -10,6 +11,7 @@ from capturelake.llm.token_files import op9_token_files
 QUERIES = {
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
 }
