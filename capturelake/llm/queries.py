@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from capturelake.llm.audio import op7_audio
 from capturelake.llm.mixing import MIX_SQL, op8_mixing
 from capturelake.llm.packing import op6_packing
 from capturelake.llm.quality import op2_quality
+from capturelake.llm.secrets import op10_secrets
 from capturelake.llm.sharding import SHARD_SQL, op4_sharding
 from capturelake.llm.token_files import op9_token_files
 
@@ -12,8 +14,10 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
+    "op7_audio": op7_audio,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
+    "op10_secrets": op10_secrets,
 }
 SQL = {
     "op4_sharding": SHARD_SQL,
