@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from capturelake.llm.audio import op7_audio
 from capturelake.llm.mixing import MIX_SQL, op8_mixing
+from capturelake.llm.near_dup import op1_near_dup
 from capturelake.llm.packing import op6_packing
 from capturelake.llm.quality import op2_quality
 from capturelake.llm.secrets import op10_secrets
@@ -11,6 +12,7 @@ from capturelake.llm.sharding import SHARD_SQL, op4_sharding
 from capturelake.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op1_near_dup": op1_near_dup,
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
