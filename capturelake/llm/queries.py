@@ -7,6 +7,7 @@ from capturelake.llm.mixing import MIX_SQL, op8_mixing
 from capturelake.llm.near_dup import op1_near_dup
 from capturelake.llm.packing import op6_packing
 from capturelake.llm.quality import op2_quality
+from capturelake.llm.repeats import op3_repeats
 from capturelake.llm.secrets import op10_secrets
 from capturelake.llm.sharding import SHARD_SQL, op4_sharding
 from capturelake.llm.token_files import op9_token_files
@@ -14,6 +15,7 @@ from capturelake.llm.token_files import op9_token_files
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_quality": op2_quality,
+    "op3_repeats": op3_repeats,
     "op4_sharding": op4_sharding,
     "op6_packing": op6_packing,
     "op7_audio": op7_audio,
