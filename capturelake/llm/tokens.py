@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 MODEL = "byte_bpe_50k.json"
 #: Pieces that one Python worker keeps; from then on new ones are encoded each time a batch has them.
 KEEP_PIECES = 1_000_000
+#: Pieces of letters encoded in one call.
+JOINED = 2000
+#: How the byte-level vocabulary writes a space.
+SPACE_MARK = "Ġ"
 
 _ENCODERS: dict[str, Encoder] = {}
 _SPLIT = re.compile(r"(?<=\S)(?=\n)|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,])|(?<=\S\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
@@ -35,38 +41,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.kept: dict[str, bytes] = {}
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        self._opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._opens[[i for t, i in vocabulary.items() if t.startswith(SPACE_MARK)]] = True
+        # ids by piece: of the piece after a space, and of the piece as it is
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces not kept so far; their parts at certain pre-token ends are encoded once."""
-        parts = {p: _SPLIT.split(p) for p in pieces}
-        fresh = list({x for xs in parts.values() for x in xs} - self.kept.keys())
-        new = {x: self._bytes(e.ids) for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-        known = lambda x: new[x] if x in new else self.kept[x]
-        return new | {p: b"".join(map(known, xs)) for p, xs in parts.items() if len(xs) > 1}
+        packed = array(self._code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _fresh(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of each ``lead`` + piece. Letters after a space are one pre-token whose first token alone has the
+        space, so many such pieces are encoded as one text and parted there."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if p.isalpha()] if lead == " " else []
+        for a in range(0, len(plain), JOINED):
+            part = plain[a : a + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(self._opens[ids])
+            if len(cuts) == len(part):
+                raw, edges = ids.tobytes(), (np.append(cuts, len(ids)) * self.dtype.itemsize).tolist()
+                out.update(zip(part, [raw[x:y] for x, y in zip(edges, edges[1:])]))
+        others = [p for p in pieces if p not in out]
+        encoded = self.tokenizer.encode_batch_fast([lead + p for p in others], add_special_tokens=False)
+        out.update((p, self._bytes(e.ids)) for p, e in zip(others, encoded))
+        return [out[p] for p in pieces]
+
+    def _learn(self, pieces: set[str], kept: dict[str, bytes], lead: str) -> dict[str, bytes]:
+        """Ids of ``lead`` + piece for pieces not kept so far; parts at certain pre-token ends are encoded once."""
+        parts: dict[str, list[str]] = {}
+        first: set[str] = set()
+        rest: set[str] = set()
+        for p in pieces:
+            if p.isalpha():
+                first.add(p)
+            else:
+                parts[p] = x = _SPLIT.split(lead + p)
+                first.add(x[0][len(lead) :])
+                rest.update(x[1:])
+        first -= kept.keys()
+        rest -= self.bare.keys()
+        names, others = [*first], [*rest]
+        new = dict(zip(names, self._fresh(names, lead)))
+        bare = dict(zip(others, self._fresh(others, "")))
+        if len(self.bare) + len(bare) <= KEEP_PIECES // 4:
+            self.bare.update(bare)
+        for p, x in parts.items():
+            if len(x) > 1:
+                head = x[0][len(lead) :]
+                new[p] = b"".join([new[head] if head in new else kept[head], *(bare[y] if y in bare else self.bare[y] for y in x[1:])])
+        if len(kept) + len(new) <= KEEP_PIECES:
+            kept.update(new)
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of ``dtype``."""
+        get = self.spaced.get
         split = [t.split(" ") for t in texts]
-        for s in split:
-            s[1:] = [" " + x for x in s[1:]]
-        missing = set().union(*split) - self.kept.keys()
-        odd = {x for x in missing if x == " " or x[1:2].isspace() and x[0] == " "}
-        new = self._learn(list(missing - odd))
-        if len(self.kept) + len(new) <= KEEP_PIECES:
-            self.kept.update(new)
-            ids = self.kept
-        else:
-            ids = new | {x: self.kept[x] for s in split for x in s if x in self.kept}
+        heads = [s.pop(0) for s in split]
+        found = [list(map(get, s)) for s in split]
+        missing = {p for s, ids in zip(split, found) if None in ids for p, v in zip(s, ids) if v is None}
+        odd = {p for p in missing if not p or p[0].isspace()}
+        new = self._learn(missing - odd, self.spaced, " ") if missing else {}
+        lead = set(heads) - self.bare.keys()
+        bare = self._learn(lead, self.bare, "") if lead else {}
         out = []
-        for text, s in zip(texts, split):
-            if odd and not odd.isdisjoint(s):
-                out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(b"".join([ids[x] for x in s]))
+        for text, head, s, ids in zip(texts, heads, split, found):
+            if None in ids:
+                if odd and not odd.isdisjoint(s):
+                    out.append(self._whole(text))
+                    continue
+                ids = [new[p] if v is None else v for p, v in zip(s, ids)]
+            out.append(b"".join([bare[head] if head in bare else self.bare[head], *ids]))
         return out
 
 
