@@ -114,11 +114,11 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mix takes it."""
     mix = copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    times = mix.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    same = docs["doc_id"].eqNullSafe(times["doc_id"]) & docs["source"].eqNullSafe(times["source"])
+    times = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     out = docs.join(times, same).where("_copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    return out.select(*docs.columns)
 
 
 MIX_SQL = rf"""

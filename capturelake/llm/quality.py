@@ -218,4 +218,4 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stats = cut(with_statistics(docs.select("doc_id", "text")).drop("text"))
     judged = verdicts(stats, fit(labelled_statistics(spark, sf_dir, stats)))
     good = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept")).where("_kept")
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

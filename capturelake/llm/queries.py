@@ -11,12 +11,14 @@ from capturelake.llm.repeats import op3_repeats
 from capturelake.llm.secrets import op10_secrets
 from capturelake.llm.sharding import SHARD_SQL, op4_sharding
 from capturelake.llm.token_files import op9_token_files
+from capturelake.llm.warc import op5_warc
 
 QUERIES = {
     "op1_near_dup": op1_near_dup,
     "op2_quality": op2_quality,
     "op3_repeats": op3_repeats,
     "op4_sharding": op4_sharding,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_audio": op7_audio,
     "op8_mixing": op8_mixing,
