@@ -121,15 +121,38 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("s") >= similarity * (F.col("t") - F.col("s"))).select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members (rep, n, root, aside) of different roots that may be similar, one of each ``aside``.
+
+    Shingles are ordered by how many members have them, rarest first. Two sets of n and m shingles that are similar share
+    s >= (n + m) t / (1 + t) of them, so the first shared one is among the first n - s + 1 of the one and m - s + 1 of the
+    other: the join on shingles needs those alone, and a member with more text of its own than that joins nobody by
+    the text that a whole group has.
+    """
+    # the order needs all shingles of the members; only the rare heads are joined
+    rows = members.join(sets, members["rep"] == sets["doc_id"]).select("rep", "n", "root", "aside", "shingles")
+    each = rows.select("rep", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    ranked = each.join(often, "s").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("r"))
+    head = F.slice("r", F.lit(1), F.col("n").cast("int") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1)
+    heads = ranked.join(members, "rep").select("rep", "n", "root", "aside", F.posexplode(head).alias("at", "x")).where("x.c > 1")
+    heads = cut(heads.select("rep", "n", "root", "aside", "at", "x.s"))
+    x = heads.where("aside").select("s", F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("root").alias("r1"), F.col("at").alias("p1"))
+    y = heads.select("s", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("at").alias("p2"))
+    need = F.ceil((F.col("n1") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-9)
+    fits = (F.col("r1") != F.col("r2")) & (F.col("p1") <= F.col("n1") - need) & (F.col("p2") <= F.col("n2") - need)
+    return x.join(y, "s").where(fits).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs(doc_id, text)``; class_id is the least doc_id of the class.
 
     A class is a component of the links: equal shingle sets, and pairs of different sets of at least that similarity
     that share a band. Equal sets become one representative first. In each band bucket the representative with
     the largest share of shingles found elsewhere leads: every member is checked against it, so a bucket of many near
-    copies of one text closes after one check a member. A bucket that still holds several components then checks the
-    pairs across components that sizes allow: a pair shares at most the shingles that each of it has in common with any
-    other candidate, which excludes members with much text of their own. No link is dropped by a cap.
+    copies of one text closes after one check a member. Members of buckets that still hold several components are
+    then joined on their rarest shingles (:func:`prefix_pairs`), which no similar pair escapes, and checked too. No link
+    is dropped by a cap.
 
     Texts without words are equal to each other. Null ids are dropped from linking and form a class of their own row.
     """
@@ -157,16 +180,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = cut(similar(first, sets, similarity))
     part = cut(components(links))
 
-    # buckets that still hold several components
-    rooted = member.join(part, member["rep"] == part["node"], "left").select("bucket", "rep", "n", "common", F.coalesce("root", "rep").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    rooted = cut(rooted.join(mixed, "bucket"))
-    x, y = rooted.alias("x"), rooted.alias("y")
-    most = F.least(F.col("x.common"), F.col("y.common"))
-    fits = most >= similarity * (F.col("x.n") + F.col("y.n") - most)
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & fits)
-    pairs = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = similar(pairs.join(first, ["a", "b"], "left_anti"), sets, similarity)
+    # buckets that still hold several components: prefix joins between the members of smaller ones and all members
+    rooted = member.join(part, member["rep"] == part["node"], "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    by_root = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    largest = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rooted = cut(rooted.join(largest, "bucket").groupBy("rep", "n", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("aside")))
+    pairs = prefix_pairs(rooted, sets, similarity)
+    more = similar(pairs.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"), sets, similarity)
     part = components(links.union(more))
 
     named = reps.join(part, reps["rep"] == part["node"], "left").select(*same, F.coalesce("root", "rep").alias("root"))
