@@ -44,7 +44,7 @@ R.add("g09_labelled_components", lambda s, d: alg.labelled(alg.components(sparse
 R.add("a45_component_summary", lambda s, d: alg.component_summary(sparse(s, d)).drop("top"),
       recursive("SELECT component, nodes, edges, packets FROM (SELECT component, count(*) nodes FROM c GROUP BY 1) JOIN (SELECT component, count(*) edges, CAST(sum(packets) AS BIGINT) packets FROM e JOIN c ON c.node = e.a GROUP BY 1) USING (component) ORDER BY nodes DESC, component LIMIT 100"), packets=False)
 R.add("g06_core", lambda s, d: alg.core_clusters(sparse(s, d), 2))
-TREE = "orig_len > 500 AND dst_port = 22"
+TREE = "orig_len > 800 AND dst_port = 22"
 R.add("g07_hubs", lambda s, d: alg.hubs(packets(s, d).where(TREE).select(F.col("src_ip").alias("a"), F.col("dst_ip").alias("b")), 2).withColumn("cluster", F.col("cluster").cast("long")),
       "WITH " + PAIRS.replace(SPARSE, TREE) + BOTH + ", d AS (SELECT a, count(*) n, min(b) hub FROM t GROUP BY a), l AS (SELECT a AS node, hub FROM d WHERE n = 1), h AS (SELECT hub, CAST(row_number() OVER (ORDER BY max(d.n) DESC, hub) - 1 AS BIGINT) AS cluster FROM l JOIN (SELECT a, n FROM d) d ON d.a = hub GROUP BY hub HAVING count(*) >= 2) SELECT node, cluster FROM l JOIN h USING (hub) UNION ALL SELECT hub, cluster FROM h")
 R.add("g08_equivalent", lambda s, d: alg.equivalent(sparse(s, d), 2).withColumn("cluster", F.col("cluster").cast("long")),
@@ -98,10 +98,10 @@ condition("p14_unknown", "edges", [C("protocol", "sounds_like", "DNS")], "false"
 
 def in_set(s, d):
     members = packets(s, d).where("protocol = 'DNS'").select(F.col("src_ip").alias("member")).distinct()
-    return match(view(s, d)[0], [C("", "in_set", "@dns"), C("total_bytes", ">", 15000)], sets={"dns": members}).select("id")
+    return match(view(s, d)[0], [C("", "in_set", "@dns"), C("total_bytes", ">", 38000)], sets={"dns": members}).select("id")
 
 
-R.add("p10_in_set", in_set, NODES + "id IN (SELECT src_ip FROM packets WHERE protocol = 'DNS') AND total_bytes > 15000")
+R.add("p10_in_set", in_set, NODES + "id IN (SELECT src_ip FROM packets WHERE protocol = 'DNS') AND total_bytes > 38000")
 
 
 def sql_view(s, d):
@@ -115,13 +115,13 @@ R.add("q03_sql_over_graph", sql_view, NODES.split(" SELECT id FROM n")[0] + ", e
 
 def recipe(s, d):
     nodes, edges = view(s, d)
-    steps = [Step("show_only", "edges", [C("protocol", "equals", "ssh")]), Step("hide", "nodes", [C("total_bytes", "<", 15000)])]
+    steps = [Step("show_only", "edges", [C("protocol", "equals", "ssh")]), Step("hide", "nodes", [C("total_bytes", "<", 38000)])]
     return run(nodes, edges, steps)
 
 
 RECIPE = f"WITH n AS (SELECT id, sum(orig_len) t FROM (SELECT src_ip id, orig_len FROM packets WHERE src_ip <> dst_ip UNION ALL SELECT dst_ip, orig_len FROM packets WHERE src_ip <> dst_ip) GROUP BY id), e AS (SELECT DISTINCT concat_ws('|', src_ip, dst_ip, protocol) id, src_ip, dst_ip, protocol FROM packets WHERE src_ip <> dst_ip) "
-R.add("r03_recipe_edges", lambda s, d: recipe(s, d).edges.where("visible").select("id"), RECIPE + "SELECT id FROM e WHERE protocol = 'SSH' AND src_ip IN (SELECT id FROM n WHERE t >= 15000) AND dst_ip IN (SELECT id FROM n WHERE t >= 15000)")
-R.add("r05_recipe_nodes", lambda s, d: recipe(s, d).nodes.select("id", "visible"), RECIPE + "SELECT id, t >= 15000 AS visible FROM n")
+R.add("r03_recipe_edges", lambda s, d: recipe(s, d).edges.where("visible").select("id"), RECIPE + "SELECT id FROM e WHERE protocol = 'SSH' AND src_ip IN (SELECT id FROM n WHERE t >= 38000) AND dst_ip IN (SELECT id FROM n WHERE t >= 38000)")
+R.add("r05_recipe_nodes", lambda s, d: recipe(s, d).nodes.select("id", "visible"), RECIPE + "SELECT id, t >= 38000 AS visible FROM n")
 
 
 def orphans(s, d):
