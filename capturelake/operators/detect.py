@@ -80,7 +80,7 @@ def weak_tls(sessions: DataFrame) -> DataFrame:
 
 def user_agents(sessions: DataFrame) -> DataFrame:
     """Tool user agents, one alert a pair: the rule that comes first on the pair's earliest session."""
-    lower = F.lower(F.explode("user_agents"))
+    lower = F.explode(F.transform("user_agents", lambda x: F.lower(x)))
     rows = sessions.select("src_ip", "dst_ip", "start_time", "id", lower.alias("ua"))
     rule = F.lit(None).cast("string")
     for r in reversed(USER_AGENTS):
