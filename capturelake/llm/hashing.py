@@ -63,7 +63,7 @@ def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray
     count = np.bincount(owner, minlength=len(texts))
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
     total = np.zeros(len(words), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(words))):
         total[: len(words) - j] += words[j:] * _powers[0][j + 1]
     keep = np.arange(len(words)) + width <= (begin + count)[owner]
     short = np.flatnonzero((count > 0) & (count < width))

@@ -26,7 +26,8 @@ EPOCHS = 3
 #: Children an island makes in an epoch.
 CHILDREN = 4
 
-Bins = list[list[int]]
+#: A bin is its load and its items.
+Bins = list[tuple[int, list[int]]]
 
 
 def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -58,46 +59,52 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int =
 
 
 def best_fit(items: list[int], lengths: list[int], bins: Bins, capacity: int) -> Bins:
-    """Puts ``items``, longest first, into the fullest bin with room, or into a new one."""
-    bins = [list(b) for b in bins]
-    free = sorted((capacity - sum(lengths[i] for i in b), n) for n, b in enumerate(bins))
+    """Puts ``items``, longest first, into the fullest bin with room, or into a new one. ``bins`` itself stays as it is."""
+    bins = list(bins)
+    free = sorted((capacity - load, n) for n, (load, _) in enumerate(bins) if load < capacity)
     for i in sorted(items, key=lambda i: (-lengths[i], i)):
-        at = bisect_left(free, (lengths[i], -1))
+        size = lengths[i]
+        at = bisect_left(free, (size, -1))
         if at < len(free):
             room, n = free.pop(at)
-            bins[n].append(i)
+            load, inside = bins[n]
+            bins[n] = (load + size, [*inside, i])
         else:
             room, n = capacity, len(bins)
-            bins.append([i])
-        if room > lengths[i]:
-            insort(free, (room - lengths[i], n))
+            bins.append((size, [i]))
+        if room > size:
+            insort(free, (room - size, n))
     return bins
 
 
-def fitness(bins: Bins, lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then the mean square of how full they are."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(len(bins), 1)
+def fitness(bins: Bins) -> tuple[int, int]:
+    """Fewer bins first, then the sum of the squared loads: of two packings in as many bins the one with fuller bins."""
+    return -len(bins), sum(load * load for load, _ in bins)
 
 
 def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
     """Injects a section of b's best-filled bins whole into a; a's bins that share an item with them are
     dissolved, and the items that lose their place are best-fitted."""
-    ranked = sorted(b, key=lambda x: -sum(lengths[i] for i in x))[: max(1, len(b) // 2)]
+    ranked = sorted(b, key=lambda x: -x[0])[: max(1, len(b) // 2)]
     at = rng.randrange(len(ranked))
     section = ranked[at : at + max(1, len(ranked) // 3)]
-    inside = {i for x in section for i in x}
-    kept = [x for x in a if inside.isdisjoint(x)]
-    placed = inside.union(*kept)
-    return best_fit([i for x in a for i in x if i not in placed], lengths, [*section, *kept], capacity)
+    inside = {i for _, x in section for i in x}
+    kept, displaced = [], []
+    for one in a:
+        if inside.isdisjoint(one[1]):
+            kept.append(one)
+        else:
+            displaced += [i for i in one[1] if i not in inside]
+    return best_fit(displaced, lengths, [*section, *kept], capacity)
 
 
 def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
     """Dissolves the emptiest bins and some others, and best-fits their items."""
-    ranked = sorted(bins, key=lambda x: sum(lengths[i] for i in x))
+    ranked = sorted(bins, key=lambda x: x[0])
     n = max(1, len(bins) // 50)
-    out = ranked[:n] + rng.sample(ranked[n:], min(n, len(ranked) - n))
-    gone = set(map(id, out))
-    return best_fit([i for x in out for i in x], lengths, [x for x in bins if id(x) not in gone], capacity)
+    others = set(rng.sample(range(n, len(ranked)), min(n, len(ranked) - n)))
+    out = [i for k, (_, x) in enumerate(ranked) if k < n or k in others for i in x]
+    return best_fit(out, lengths, [x for k, x in enumerate(ranked) if k >= n and k not in others], capacity)
 
 
 def evolve(lengths: list[int], population: list[Bins], capacity: int, children: int, seed: str) -> list[Bins]:
@@ -113,30 +120,29 @@ def evolve(lengths: list[int], population: list[Bins], capacity: int, children:
         else:
             noisy = sorted(items, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
             population.append(mutate(best_fit(noisy[: len(noisy) // 2], lengths, best_fit(noisy[len(noisy) // 2 :], lengths, [], capacity), capacity), lengths, capacity, rng))
-    key = lambda s: fitness(s, lengths, capacity)
-    population.sort(key=key, reverse=True)
+    population.sort(key=fitness, reverse=True)
     for _ in range(children):
         if len(population[0]) <= bound:
             break
         a, b = rng.sample(population, 2)
         child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        population = sorted([*population, child], key=key, reverse=True)[:POPULATION]
+        population = sorted([*population, child], key=fitness, reverse=True)[:POPULATION]
     return population
 
 
 def _as_labels(bins: Bins, n: int) -> list[int]:
     out = [0] * n
-    for k, b in enumerate(bins):
-        for i in b:
+    for k, (_, inside) in enumerate(bins):
+        for i in inside:
             out[i] = k
     return out
 
 
-def _as_bins(labels) -> Bins:
+def _as_bins(labels, lengths: list[int]) -> Bins:
     bins: dict[int, list[int]] = {}
-    for i, k in enumerate(labels):
-        bins.setdefault(int(k), []).append(i)
-    return list(bins.values())
+    for i, k in enumerate(labels.tolist()):
+        bins.setdefault(k, []).append(i)
+    return [(sum(lengths[i] for i in x), x) for x in bins.values()]
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -153,6 +159,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands:
     full = rows.where(F.col("length") >= capacity).select("*", (-1 - row_number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = rows.where(F.col("length") < capacity)
     blocks = max(1, -(-short.count() // block))
+    # the rows are few and the work on each is long, so their number of tasks is fixed
+    tasks = max(1, min(blocks * islands, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = short.select(F.struct(*names).alias("item"), F.pmod(F.xxhash64(row_number), F.lit(blocks)).alias("block"))
     # a block's rows, longest first: about `block` of them by the even deal
     grouped = cut(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col("item.length").alias("by"), "item")), False).alias("x")).select("block", F.col("x.item").alias("items")))
@@ -164,8 +172,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands:
             for pdf in batches:
                 out = []
                 for n, island, lengths, solutions in pdf[["block", "island", "lengths", "solutions"]].itertuples(index=False):
-                    lengths = [int(x) for x in lengths]
-                    best = evolve(lengths, [_as_bins(s) for s in solutions], capacity, CHILDREN, f"{n}/{island}/{epoch}")
+                    lengths = lengths.tolist()
+                    best = evolve(lengths, [_as_bins(s, lengths) for s in solutions], capacity, CHILDREN, f"{n}/{island}/{epoch}")
                     out.append((n, island, lengths, [_as_labels(s, len(lengths)) for s in best]))
                 yield pd.DataFrame(out, columns=["block", "island", "lengths", "solutions"])
 
@@ -179,19 +187,20 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands:
             move = F.struct(((F.col("island") + 1) % islands).alias("island"), F.slice("solutions", 1, 1).alias("solutions"))
             sent = now.select("block", "lengths", F.explode(F.array(stay, move)).alias("m"))
             now = sent.groupBy("block", "m.island").agg(F.first("lengths").alias("lengths"), F.flatten(F.array_sort(F.collect_list("m.solutions"))).alias("solutions"))
-        now = now.repartition("block", "island").mapInPandas(breed(epoch), state)
+        now = now.repartition(tasks, "block", "island").mapInPandas(breed(epoch), state)
         now = cut(now)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for n, lengths, solutions in pdf[["block", "lengths", "solutions"]].itertuples(index=False):
-                bins = max((_as_bins(s) for s in solutions), key=lambda s: fitness(s, lengths, capacity))
+                lengths = lengths.tolist()
+                bins = max((_as_bins(s, lengths) for s in solutions), key=fitness)
                 offsets = [0] * len(lengths)
-                for b in bins:
+                for _, inside in bins:
                     at = 0
-                    for i in b:
-                        offsets[i], at = at, at + int(lengths[i])
+                    for i in inside:
+                        offsets[i], at = at, at + lengths[i]
                 out.append((n, _as_labels(bins, len(lengths)), offsets))
             yield pd.DataFrame(out, columns=["block", "labels", "offsets"])
 

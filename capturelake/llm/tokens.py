@@ -18,6 +18,9 @@ JOINED = 2000
 SPACE_MARK = "Ġ"
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Letters after which a full stop or comma always starts a new pre-token.
+LETTERS = {chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()} | set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+MARKS = (".", ",")
 _SPLIT = re.compile(r"(?<=\S)(?=\n)|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,])|(?<=\S\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
 
 
@@ -78,15 +81,21 @@ class Encoder:
     def _learn(self, pieces: set[str], kept: dict[str, bytes], lead: str) -> dict[str, bytes]:
         """Ids of ``lead`` + piece for pieces not kept so far; parts at certain pre-token ends are encoded once."""
         parts: dict[str, list[str]] = {}
+        ended: dict[str, str] = {}  # letters and one mark after them
         first: set[str] = set()
         rest: set[str] = set()
         for p in pieces:
             if p.isalpha():
                 first.add(p)
+            elif p[-1:] in MARKS and p[:-1].isalpha() and p[-2] in LETTERS:
+                ended[p] = head = p[:-1]
+                first.add(head)
             else:
                 parts[p] = x = _SPLIT.split(lead + p)
                 first.add(x[0][len(lead) :])
                 rest.update(x[1:])
+        if ended:
+            rest.update(MARKS)
         first -= kept.keys()
         rest -= self.bare.keys()
         names, others = [*first], [*rest]
@@ -94,6 +103,9 @@ class Encoder:
         bare = dict(zip(others, self._fresh(others, "")))
         if len(self.bare) + len(bare) <= KEEP_PIECES // 4:
             self.bare.update(bare)
+        for p, head in ended.items():
+            mark = p[-1]
+            new[p] = (new[head] if head in new else kept[head]) + (bare[mark] if mark in bare else self.bare[mark])
         for p, x in parts.items():
             if len(x) > 1:
                 head = x[0][len(lead) :]
