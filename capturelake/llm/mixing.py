@@ -12,6 +12,9 @@ BROADCAST_SOURCES = 10_000
 #: Ranks are summed in this many slices a source before single documents are looked at.
 SLICES = 4096
 SEED = "mix-1:"
+#: Documents that may close a source's target by their size, one after the other.
+CLOSING = 4
+ARRAY_OF_KEYS = "array<struct<odds: double, nid: boolean, doc_id: bigint>>"
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...], max_copies: int) -> DataFrame:
@@ -54,8 +57,8 @@ def copies(units: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_copies: int
     Returns (doc_id, size, source_size, target, copies) in the rows' own number. Every document gets
     floor(target / source size) certain copies. What is left of a target is filled by Pareto order sampling: a
     document has the random odds u / (1 - u) of its id's hash, divided by the inclusion odds p / (1 - p) of its
-    source; documents are taken in ascending order of that number while their words fit; then the one
-    document left whose size comes nearest to the words still missing is taken too, if that lowers the error.
+    source; documents are taken in ascending order of that number while their words fit; then, up to CLOSING
+    times, the document left whose size comes nearest to the words still missing is taken too, if that lowers the error.
 
     Rows with one doc_id and source are taken or left together. Null ids have one hash, null sources are a
     source of their own (last), null sizes count as 0, sources without words have target 0, and an empty table
@@ -74,33 +77,37 @@ def copies(units: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_copies: int
     slices = groups.groupBy("source", "slice").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice"))
     edge = slices.withColumn("upto", upto).groupBy("source").agg(
-        F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slice", (F.col("upto") - F.col("n")).alias("before")))).alias("e")
-    ).select(F.col("source").alias("s"), "e.slice", "e.before")
+        F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slice", (F.col("upto") - F.col("n")).alias("before")))).alias("e"),
+        F.first("rest").alias("rest"),
+    ).select(F.col("source").alias("s"), "e.slice", "e.before", "rest")
     edge = cut(edge)
     side = F.broadcast(edge) if few else edge
-    at_edge = groups.join(side.withColumnRenamed("slice", "edge"), F.col("source").eqNullSafe(F.col("s")), "left")
+    at_edge = groups.join(side.drop("rest").withColumnRenamed("slice", "edge"), F.col("source").eqNullSafe(F.col("s")), "left")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("odds", F.col("doc_id").isNull(), "doc_id"))
     last = at_edge.where("slice = edge").withColumn("upto", run + F.col("before")).where("upto <= rest")
     last = last.groupBy(F.col("source").alias("s2")).agg(F.max(F.struct("odds", F.col("doc_id").isNull().alias("nid"), "doc_id", "upto")).alias("c"))
-    cuts = edge.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "slice", "before", "c")
+    cuts = edge.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "slice", "before", "rest", "c")
     side = F.broadcast(cuts) if few else cuts
-    marked = groups.join(side.withColumnRenamed("slice", "edge"), F.col("source").eqNullSafe(F.col("s")), "left")
+    marked = groups.join(side.drop("rest").withColumnRenamed("slice", "edge"), F.col("source").eqNullSafe(F.col("s")), "left")
     mine = F.struct("odds", F.col("doc_id").isNull().alias("nid"), "doc_id")
     upto_cut = mine <= F.struct("c.odds", "c.nid", "c.doc_id")
     taken = F.col("edge").isNull() | (F.col("slice") < F.col("edge")) | ((F.col("slice") == F.col("edge")) & F.coalesce(upto_cut, F.lit(False)))
+    left = cut(marked.where(~taken).select("source", mine.alias("k"), "size"))
     missing = F.col("rest") - F.coalesce(F.col("c.upto"), F.col("before")).cast("double")
-    gap = F.abs(missing - F.col("size"))
-    closing = marked.where(~taken & (gap < missing)).groupBy(F.col("source").alias("s3")).agg(
-        F.min(F.struct(gap.alias("gap"), "odds", F.col("doc_id").isNull().alias("nid"), "doc_id")).alias("f")
-    )
-    chosen = cut(cuts.join(closing, F.col("s").eqNullSafe(F.col("s3")), "left").select(
-        F.col("s").alias("source"), F.lit(True).alias("known"), F.col("slice").alias("edge"),
-        F.struct("c.odds", "c.nid", "c.doc_id").alias("c"), F.struct("f.odds", "f.nid", "f.doc_id").alias("f"),
-    ))
+    state = cut(cuts.select(F.col("s").alias("source"), missing.alias("missing"), F.array().cast(ARRAY_OF_KEYS).alias("closing")))
+    for _ in range(CLOSING):
+        gap = F.abs(F.col("missing") - F.col("size"))
+        open_ = _with_sources(left, state, few).where((gap < F.col("missing")) & ~F.array_contains("closing", F.col("k")))
+        pick = open_.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(gap.alias("gap"), "k", "size")).alias("f"))
+        state = state.join(pick, F.col("source").eqNullSafe(F.col("s")), "left")
+        state = cut(state.select("source", (F.col("missing") - F.coalesce("f.size", F.lit(0))).alias("missing"), F.when(F.col("f").isNull(), F.col("closing")).otherwise(F.concat("closing", F.array("f.k"))).alias("closing")))
+    chosen = cut(cuts.join(state, F.col("s").eqNullSafe(F.col("source")), "left").select(
+        F.col("s").alias("source"), F.lit(True).alias("known"), F.col("slice").alias("edge"), F.struct("c.odds", "c.nid", "c.doc_id").alias("c"), "closing"
+    ))
     rows = _with_sources(rows, chosen, few)
     rows = rows.withColumn("slice", F.floor(F.col("odds") / (1 + F.col("odds")) * SLICES))
     upto_cut = mine <= F.col("c")
-    taken = F.col("known") & (F.col("edge").isNull() | (F.col("slice") < F.col("edge")) | ((F.col("slice") == F.col("edge")) & F.col("c.odds").isNotNull() & upto_cut) | (F.col("f.odds").isNotNull() & (mine == F.col("f"))))
+    taken = F.col("known") & (F.col("edge").isNull() | (F.col("slice") < F.col("edge")) | ((F.col("slice") == F.col("edge")) & F.col("c.odds").isNotNull() & upto_cut) | F.array_contains("closing", mine))
     extra = F.when(F.col("odds").isNotNull() & F.coalesce(taken, F.lit(False)), 1).otherwise(0)
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
 
@@ -121,6 +128,22 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _closing_sql() -> str:
+    """CTEs m, u, p by round: words missing, documents left, the one picked."""
+    out = [
+        "m0 AS (SELECT source, max(rest) - max(CASE WHEN upto <= rest THEN upto ELSE 0 END) AS missing FROM c GROUP BY source),",
+        "u0 AS (SELECT source, odds, doc_id, size FROM c WHERE upto > rest),",
+    ]
+    for k in range(CLOSING):
+        same = f"u{k}.source IS NOT DISTINCT FROM m{k}.source"
+        out += [
+            f"p{k} AS (SELECT * FROM (SELECT u{k}.*, row_number() OVER (PARTITION BY u{k}.source ORDER BY abs(missing - size), odds, doc_id NULLS LAST) AS n FROM u{k} JOIN m{k} ON {same} WHERE abs(missing - size) < missing) WHERE n = 1),",
+            f"m{k + 1} AS (SELECT m{k}.source, missing - coalesce(size, 0) AS missing FROM m{k} LEFT JOIN p{k} ON m{k}.source IS NOT DISTINCT FROM p{k}.source),",
+            f"u{k + 1} AS (SELECT * FROM u{k} WHERE NOT EXISTS (SELECT 1 FROM p{k} WHERE p{k}.doc_id = u{k}.doc_id)),",
+        ]
+    return "\n".join(out)
+
+
 MIX_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source,
@@ -147,12 +170,9 @@ j AS (
   SELECT d.*, source_size, target, whole, rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j WHERE odds IS NOT NULL),
-x AS (SELECT source, max(CASE WHEN upto <= rest THEN upto ELSE 0 END) AS got FROM c GROUP BY source),
-f AS (
-  SELECT c.source, c.doc_id, row_number() OVER (PARTITION BY c.source ORDER BY abs(rest - got - size), odds, c.doc_id NULLS LAST) AS n
-  FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source
-  WHERE upto > rest AND abs(rest - got - size) < rest - got)
+{_closing_sql()}
+f AS ({" UNION ALL ".join(f"SELECT source, doc_id FROM p{k}" for k in range(CLOSING))})
 SELECT j.doc_id, j.size, j.source_size, j.target,
-       CAST(j.size * (j.whole + CASE WHEN j.odds IS NOT NULL AND (c.upto <= c.rest OR f.n = 1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM j LEFT JOIN c ON j.doc_id = c.doc_id LEFT JOIN f ON f.doc_id = j.doc_id AND f.n = 1
+       CAST(j.size * (j.whole + CASE WHEN j.odds IS NOT NULL AND (c.upto <= c.rest OR f.doc_id IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM j LEFT JOIN c ON j.doc_id = c.doc_id LEFT JOIN f ON f.doc_id = j.doc_id
 """
