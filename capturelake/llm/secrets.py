@@ -25,7 +25,8 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Texts that have none of these in lower case have no assignment.
 KEYS = ("passw", "secret", "token", "api")
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Characters whose steps the models have. Signs join ordinary names (paths, slugs, rules of dashes) as well as random ones.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Nats by which a string must be likelier as random than as an identifier.
 THRESHOLD = 20.0
@@ -55,8 +56,8 @@ class MarkovModels:
     ratio: np.ndarray
 
     def score(self, value: str) -> float:
-        codes = _CODE[np.frombuffer(value.encode(), np.uint8)]
-        return float(self.ratio[codes[:-1], codes[1:]].sum())
+        """Sum over the value's steps. A step that it repeats counts once, so one letter many times is no evidence."""
+        return float(self.ratio.reshape(-1)[_steps(value.encode()) > 0].sum())
 
 
 def _log_steps(counts: np.ndarray) -> np.ndarray:
@@ -74,7 +75,7 @@ def labelled_steps(docs: DataFrame) -> DataFrame:
     """(label, step, n): character steps of the labelled samples, over all rows of ``docs(text)``.
 
     Label 1, random: the values that the fixed patterns find. Label 0, ordinary: the words of texts
-    without such a value. Each task sums its rows, so at most 2 x 67 x 67 rows a task are shuffled.
+    without such a value. Each task sums its rows, so at most 2 x 62 x 62 rows a task are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def labelled_steps(docs: DataFrame) -> DataFrame:
                 for t in texts[a:b]:
                     found = base_spans(t)
                     if found:
-                        total[1] += _steps(" ".join(re.sub(r"[^A-Za-z0-9+/_=-]", " ", f[3]) for f in found).encode())
+                        total[1] += _steps(" ".join(f[3] for f in found).encode())
                     else:
                         plain.append(t)
                 total[0] += _steps("\n".join(plain).encode())
@@ -97,7 +98,7 @@ def labelled_steps(docs: DataFrame) -> DataFrame:
 
 
 def fit(steps: DataFrame) -> MarkovModels:
-    """Models from rows (label, step, n), at most 2 x 67 x 67 of them; a step not seen counts half a time."""
+    """Models from rows (label, step, n), at most 2 x 62 x 62 of them; a step not seen counts half a time."""
     counts = np.zeros((2, N * N))
     for r in steps.collect():
         counts[r["label"], r["step"]] = r["n"]

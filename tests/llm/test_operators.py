@@ -387,6 +387,8 @@ def test_markov_models_tell_random_from_words(spark):
     for _ in range(50):
         assert models.score("".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(48))) > secrets.THRESHOLD / 2
     assert all(models.score(a + b) < 0 for a in words for b in words)
+    for plain in ("-" * 60, "=-" * 30, "A" * 60, "/usr/share/internationalisation/configuration", "a-responsibility-of-the-transportation"):
+        assert not secrets.find(f"a {plain} b", models), plain
     text = "key " + "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(40)) + " internationalisationcharacterisation"
     assert [(k, a, b) for a, k, b in secrets.find(text, models)] == [(3, 4, 44)]
 

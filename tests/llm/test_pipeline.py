@@ -21,7 +21,7 @@ def folder(spark, tmp_path_factory):
     good[81] = good[4] + " tail"
     good[82] = good[82 - 60] + ' password = "hunter2hunter2"'
     bad = {i: " ".join("#$%" + str(rng.randrange(9999)) for _ in range(80)) for i in range(200, 240)}
-    rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in {**good, **bad, 300: None, 301: ""}.items()]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in {**good, **bad, 300: None, 301: ""}.items()]
     path = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
     labels = [(i, 1, 0) for i in list(good)[:60]] + [(i, 0, 0) for i in list(bad)[:30]]
