@@ -90,6 +90,7 @@ R.add("a20_gap_collapse", lambda s, d: stats.collapse_gaps(stats.buckets(_sparse
       l AS (SELECT *, count(*) OVER (PARTITION BY run) len, ceil(greatest(5.0, (max(end_time) OVER () - min(start_time) OVER ()) * 0.01) / (end_time - start_time)) need FROM r),
       g AS (SELECT packet_count = 0 AND len >= need is_gap, CASE WHEN packet_count = 0 AND len >= need THEN -run ELSE bucket + 1 END k, * FROM l)
       SELECT CAST(row_number() OVER (ORDER BY min(start_time)) - 1 AS INT) AS "index", min(start_time) start_time, max(end_time) end_time, CAST(sum(packet_count) AS BIGINT) packet_count, CAST(sum(total_bytes) AS BIGINT) total_bytes, is_gap FROM g GROUP BY k, is_gap""")
+R.add("a20_gap_collapse_all", lambda s, d: stats.collapse_gaps(stats.buckets(packets(s, d), 1.0), 5.0, 0.01))
 
 # view graph
 LIST = "array_to_string(list_sort(list_distinct(list({0}))), ',')"
