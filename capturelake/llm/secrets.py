@@ -60,6 +60,43 @@ class MarkovModels:
         return float(self.ratio.reshape(-1)[_steps(value.encode()) > 0].sum())
 
 
+    def stretches(self, value: str, threshold: float) -> list[tuple[int, int]]:
+        """Parts of the value that look random though the whole need not: best stretches of steps, each ended where its sum has
+        fallen from its best by the threshold. A step counts once in a stretch, and a stretch below 0 is left.
+
+        A stretch is widened to the ends of the pieces between signs that it begins and ends in.
+        """
+        codes = _CODE[np.frombuffer(value.encode(), np.uint8)].astype(np.int64)
+        steps = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1] * N + codes[1:], -1)
+        gain = np.where(steps >= 0, self.ratio.reshape(-1)[steps], 0.0).tolist()
+        steps, found = steps.tolist(), []
+        i = start = end = 0
+        total = best = 0.0
+        last: dict[int, int] = {}
+        while i <= len(steps):
+            if best > threshold and (i == len(steps) or total <= best - threshold):
+                a, b = start, end + 1
+                while a > 0 and value[a - 1] not in "/_-":
+                    a -= 1
+                while b < len(value) and value[b] not in "/_-":
+                    b += 1
+                if found and a <= found[-1][1]:
+                    a = found.pop()[0]
+                found.append((a, b))
+                i = start = end = max(b - 1, end)
+                total, best, last = 0.0, 0.0, {}
+            if i < len(steps):
+                if steps[i] not in last:
+                    total += gain[i]
+                last[steps[i]] = i
+                if total > best:
+                    best, end = total, i + 1
+                elif total <= 0:
+                    total, best, start, end, last = 0.0, 0.0, i + 1, i + 1, {}
+            i += 1
+        return found
+
+
 def _log_steps(counts: np.ndarray) -> np.ndarray:
     counts = counts.reshape(N, N) + 0.5
     return np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -106,12 +143,18 @@ def fit(steps: DataFrame) -> MarkovModels:
 
 
 def find(text: str, models: MarkovModels, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the base spans, and of the long runs beside them that look random."""
+    """(start, kind number, end) of the base spans, and of what looks random in the long runs outside them."""
     spans = [s[:3] for s in base_spans(text)]
     extra = []
     for m in LONG_RUN.finditer(text):
-        if all(m.end() <= a or b <= m.start() for a, _, b in spans) and models.score(m[0]) > threshold:
-            extra.append((m.start(), 3, m.end()))
+        at, touching = m.start(), [s for s in spans if s[0] < m.end() and m.start() < s[2]]
+        for a, _, b in [*touching, (m.end(), 3, m.end())]:
+            rest = LONG_RUN.fullmatch(text, at, a) if a > at else None
+            if rest and models.score(rest[0]) > threshold:
+                extra.append((at, 3, a))
+            elif rest:
+                extra += [(at + x, 3, at + y) for x, y in models.stretches(rest[0], threshold)]
+            at = max(at, b)
     return sorted([*spans, *extra])
 
 
