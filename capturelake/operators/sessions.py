@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from capturelake.functions import net
 
@@ -22,26 +26,30 @@ def by_gap(packets: DataFrame) -> DataFrame:
     return rows.withColumn("generation", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def _step(state: Column, p: Column) -> Column:
-    """The boundary state after one packet of a flow."""
-    tcp = p["tcp"]
-    since = p["t"] - state["closed"]
-    closed = tcp & (state["closed"] > 0)
-    syn_only, syn_ack = p["syn"] & ~p["ack"], p["syn"] & p["ack"]
-    reopened = closed & (syn_only | (syn_ack & state["isn"].isNotNull() & (p["seq"] != state["isn"])) | (since > CLOSE_GRACE))
-    gap = F.when(state["last"] > 0, p["t"] - state["last"]).otherwise(0.0)
-    idle = (state["last"] > 0) & (gap > F.when(tcp, TCP_GAP).otherwise(UDP_GAP))
-    raw = F.abs(p["seq"] - state["seq"])
-    jump = tcp & (F.least(raw, SEQ_SPACE - raw) > SEQ_JUMP) & (gap > SEQ_JUMP_GAP)
-    split = F.coalesce(reopened, F.lit(False)) | idle | F.coalesce(jump, F.lit(False))
-    closing = F.when(tcp & p["end"] & (state["closed"] == 0), p["t"]).otherwise(state["closed"])
-    isn = F.when(tcp & syn_ack, p["seq"]).otherwise(state["isn"])
-    generation = state["generation"] + split.cast("int")
-    none = F.lit(None).cast("long")
-    return F.struct(
-        F.when(split, 0.0).otherwise(closing).alias("closed"), p["t"].alias("last"), F.when(split, none).otherwise(F.when(tcp, p["seq"]).otherwise(state["seq"])).alias("seq"),
-        F.when(split, none).otherwise(isn).alias("isn"), generation.alias("generation"), F.concat(state["out"], F.array(F.struct(p["n"].alias("seq_no"), generation.alias("generation")))).alias("out"),
-    )
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds generation to batches sorted by flow and time. The boundary state of the flow at hand goes from batch to batch."""
+    flow = closed = last = seq = isn = generation = None
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("session_key", "timestamp", "transport", "tcp_flags_str", "seq_num")]
+        out = []
+        for key, t, transport, said, number in zip(*columns):
+            if key != flow:
+                flow, closed, last, seq, isn, generation = key, 0.0, 0.0, None, None, 0
+            tcp, flags = transport == "TCP", (said or "").split(" ")
+            syn, ack = "SYN" in flags, "ACK" in flags
+            gap = t - last if last and last > 0 and t is not None else 0.0
+            reopened = tcp and closed > 0 and ((syn and not ack) or (syn and ack and None not in (isn, number) and number != isn) or (t is not None and t - closed > CLOSE_GRACE))
+            raw = abs(number - seq) if None not in (number, seq) else 0
+            jump = tcp and min(raw, SEQ_SPACE - raw) > SEQ_JUMP and gap > SEQ_JUMP_GAP
+            if reopened or gap > (TCP_GAP if tcp else UDP_GAP) or jump:
+                generation, closed, seq, isn = generation + 1, 0.0, None, None
+            elif tcp:
+                if closed == 0 and t is not None and ("FIN" in flags or "RST" in flags):
+                    closed = t
+                seq, isn = number, number if syn and ack else isn
+            last = t
+            out.append(generation)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "generation"])
 
 
 def with_generations(packets: DataFrame) -> DataFrame:
@@ -49,17 +57,14 @@ def with_generations(packets: DataFrame) -> DataFrame:
 
     A flow splits at: a packet after FIN or RST that opens a connection (pure SYN, SYN-ACK of a new
     number) or comes over 5 s later; a gap over 120 s (TCP) or 60 s; a sequence jump over a million with a gap over 5 s.
-    Flows without a TCP packet take the window form, so only TCP flows are gathered; a flow's fold is sequential.
+    Flows without a TCP packet take the window form. The rest are sorted, which spills, and read with a state of one packet:
+    a flow's fold is sequential, but its size doesn't matter for memory.
     """
     rows = packets.where("src_ip <> '' and dst_ip <> ''").withColumn("session_key", net.session_key())
-    flags = F.split("tcp_flags_str", " ")
-    has = lambda f: F.array_contains(flags, f)
-    tcp = rows.where("transport = 'TCP'")
-    item = F.struct(F.col("timestamp").alias("t"), F.col("seq_no").alias("n"), F.lit(True).alias("tcp"), has("SYN").alias("syn"), has("ACK").alias("ack"), (has("FIN") | has("RST")).alias("end"), F.col("seq_num").cast("long").alias("seq"))
-    start = F.struct(F.lit(0.0).alias("closed"), F.lit(0.0).alias("last"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("isn"), F.lit(0).alias("generation"), F.array().cast("array<struct<seq_no:bigint,generation:int>>").alias("out"))
-    folded = tcp.groupBy("session_key").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    generations = folded.select(F.explode(F.aggregate("items", start, _step, lambda s: s["out"])).alias("g")).select("g.seq_no", "g.generation")
-    named = tcp.join(generations, "seq_no").unionByName(by_gap(packets.where("transport <> 'TCP'")))
+    tcp = rows.where("transport = 'TCP'").withColumn("seq_num", F.col("seq_num").cast("long"))
+    ordered = tcp.repartition("session_key").sortWithinPartitions("session_key", "timestamp", "seq_no")
+    split = ordered.mapInArrow(_split, StructType([*ordered.schema.fields, StructField("generation", IntegerType())]))
+    named = split.unionByName(by_gap(packets.where("transport <> 'TCP'")))
     return named.withColumn("session_id", F.when(F.col("generation") > 0, F.concat("session_key", F.lit("#"), F.col("generation").cast("string"))).otherwise(F.col("session_key")))
 
 
