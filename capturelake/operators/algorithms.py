@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections import defaultdict, deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PATHS, CUTOFF = 20, 10
-#: Centrality sends the adjacency to every task: more edges than this are refused.
-MAX_BROADCAST_EDGES = 2_000_000
+#: Rows (source, node) of a block of centrality; they are written for each level's checkpoint.
+STATES = 1_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -157,49 +154,53 @@ def paths(edges: DataFrame, source: str, target: str, cutoff: int = CUTOFF, most
     return done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops")).orderBy("hops", "path").limit(most)
 
 
-def centrality(edges: DataFrame) -> DataFrame:
+def centrality(edges: DataFrame, states: int = STATES) -> DataFrame:
     """(node, degree, betweenness): shortest-path betweenness, undirected and without weights, by single sources.
 
-    Sources are spread over the tasks and their shares summed by node. The adjacency goes to every task, so
-    it is refused beyond MAX_BROADCAST_EDGES.
+    The sources go in blocks of about ``states`` rows (source, node). In a block the breadth-first levels are joins with
+    the edges that count shortest paths, and the shares go back from the last level to the first as sums by source and node.
     """
     pairs = _cut(both_ways(edges))
-    if pairs.count() > 2 * MAX_BROADCAST_EDGES:
-        raise ValueError(f"centrality needs the adjacency in each task: over {MAX_BROADCAST_EDGES} edges")
-    spark = edges.sparkSession
-    around: dict[str, list[str]] = defaultdict(list)
-    for a, b in pairs.orderBy("a", "b").toLocalIterator():
-        around[a].append(b)
-    shared = spark.sparkContext.broadcast(dict(around))
-
-    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
-        for pdf in batches:
-            total: dict[str, float] = defaultdict(float)
-            for s in pdf["a"]:
-                order, ways, far, before = [], {s: 1.0}, {s: 0}, defaultdict(list)
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near[v]:
-                        if w not in far:
-                            far[w], ways[w] = far[v] + 1, 0.0
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                load = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        load[v] += ways[v] / ways[w] * (1 + load[w])
-                    if w != s:
-                        total[w] += load[w]
-            yield pd.DataFrame({"node": list(total), "x": list(total.values())})
-
-    sums = pairs.select("a").distinct().repartition(spark.sparkContext.defaultParallelism).mapInPandas(shares, "node string, x double").groupBy("node").agg(F.sum("x").alias("betweenness"))
-    degree = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    return degree.join(sums, "node", "left").select("node", "degree", F.round(F.coalesce("betweenness", F.lit(0.0)), 6).alias("betweenness"))
+    nodes = _cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumn("id", F.monotonically_increasing_id()))
+    ids = nodes.select("a", "id")
+    step = _cut(pairs.join(ids.toDF("a", "at"), "a").join(ids.toDF("b", "to"), "b").select("at", "to"))
+    n = nodes.count()
+    blocks = max(1, -(-n * n // states))
+    sums = None
+    for block in range(blocks):
+        mine = nodes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        part = _shares(step, mine.select(F.col("id").alias("source")))
+        if part is not None:
+            sums = _cut((part if sums is None else sums.union(part)).groupBy("id").agg(F.sum("x").alias("x")))
+    found = nodes.withColumn("x", F.lit(0.0)) if sums is None else nodes.join(sums, "id", "left")
+    return found.select(F.col("a").alias("node"), "degree", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("betweenness"))
+
+
+def _shares(step: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """(id, x): what each node takes of the shortest paths from ``sources(source)``; None where no source has a node at distance 2.
+
+    A neighbour of a level lies in that level or in one beside it, so a new level is told from the last two alone.
+    """
+    levels = [_cut(sources.select("source", F.col("source").alias("at"), F.lit(1.0).alias("ways")))]
+    while True:
+        reached = levels[-1].join(step, "at").groupBy("source", F.col("to").alias("at")).agg(F.sum("ways").alias("ways"))
+        for level in levels[-2:]:
+            reached = reached.join(level.select("source", "at"), ["source", "at"], "left_anti")
+        level = _cut(reached)
+        if level.isEmpty():
+            break
+        levels.append(level)
+    shares, below = None, None
+    for level in reversed(levels[1:]):
+        if below is None:
+            loaded = level.withColumn("x", F.lit(0.0))
+        else:
+            given = below.select("source", "at", ((1 + F.col("x")) / F.col("ways")).alias("y")).join(step, "at").groupBy("source", F.col("to").alias("at")).agg(F.sum("y").alias("y"))
+            loaded = _cut(level.join(given, ["source", "at"], "left").select("source", "at", "ways", F.coalesce(F.col("ways") * F.col("y"), F.lit(0.0)).alias("x")))
+            part = loaded.groupBy(F.col("at").alias("id")).agg(F.sum("x").alias("x"))
+            shares = part if shares is None else shares.union(part)
+        below = loaded
+    return shares
 
 
 def central_nodes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
