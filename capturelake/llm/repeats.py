@@ -1,6 +1,6 @@
-"""Exact removal of repeated passages: prefix doubling on sorted (position, rank) rows.
+"""Exact removal of repeated passages: anchored window hashing in place of prefix doubling.
 
-Full doubling would sort a row for each byte in each round. Two facts make the rows few:
+No rank is made from ranks of an earlier round: two sorts group hashes of bytes. Full doubling would sort a row for each byte in each round. Two facts make the rows few:
 
 * Windows that are equal have their anchor (least-hashed 32-byte gram) at one place, so only anchors are ranked first:
   a window whose anchor's rank is unique is unique. This is the round at length 32, on about one position in 30.
