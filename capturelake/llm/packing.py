@@ -24,7 +24,7 @@ ISLANDS = 3
 POPULATION = 4
 EPOCHS = 3
 #: Children an island makes in an epoch.
-CHILDREN = 4
+CHILDREN = 10
 
 #: A bin is its load and its items.
 Bins = list[tuple[int, list[int]]]
@@ -34,7 +34,8 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int =
     """(doc_id, piece, start, length, ids_crc32): each row's ids and ``end_id``, cut into pieces of ``capacity``.
 
     A document of up to ``capacity`` tokens is one piece; of a longer one the first piece takes what is over.
-    A null text counts as '' and is one piece of the end id.
+    A null text counts as '' and is one piece of the end id. Null ids stay null; rows that repeat are cut each for itself;
+    an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +83,82 @@ def fitness(bins: Bins) -> tuple[int, int]:
     return -len(bins), sum(load * load for load, _ in bins)
 
 
-def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Injects a section of b's best-filled bins whole into a; a's bins that share an item with them are
-    dissolved, and the items that lose their place are best-fitted."""
+def exchange(items: list[int], lengths: list[int], bins: Bins, capacity: int) -> tuple[list[int], Bins]:
+    """Fills open bins from ``items``: one goes in, for nothing, one or two shorter ones of the bin, wherever that leaves the
+    least room. Passes over the bins end with one that changes nothing, or the third. Returns the items left and the bins."""
+    bins, pool = list(bins), sorted((lengths[i], i) for i in items)
+    open_bins = [n for n, (load, _) in enumerate(bins) if load < capacity]
+    for _ in range(3):
+        moved, still_open = 0, []
+        for n in open_bins:
+            load, inside = bins[n]
+            room, gain = capacity - load, 0
+            outs = [(0, ())] + [(lengths[x], (x,)) for x in inside]
+            if len(inside) < 9:
+                outs += [(lengths[x] + lengths[y], (x, y)) for k, x in enumerate(inside) for y in inside[:k]]
+            for size, out in outs:
+                at = bisect_left(pool, (size + room + 1,)) - 1
+                if at >= 0 and pool[at][0] - size > gain:
+                    gain, leave, enter = pool[at][0] - size, out, at
+                    if gain == room:
+                        break
+            if gain:
+                _, i = pool.pop(enter)
+                for x in leave:
+                    insort(pool, (lengths[x], x))
+                bins[n] = (load + gain, [*(x for x in inside if x not in leave), i])
+                moved += gain
+            if gain < room:
+                still_open.append(n)
+        open_bins = still_open
+        if not moved:
+            break
+    return [i for _, i in pool], bins
+
+
+def refill(items: list[int], lengths: list[int], bins: Bins, capacity: int) -> Bins:
+    """Adds new bins for ``items``: the longest one, then again and again the one or two others that fit best."""
+    bins, pool = list(bins), sorted((lengths[i], i) for i in items)
+    while pool:
+        load, first = pool.pop()
+        inside, take = [first], (0,)
+        while pool and take:
+            room, best, take = capacity - load, 0, ()
+            top = bisect_left(pool, (room + 1,)) - 1
+            if top >= 0:
+                best, take = pool[top][0], (top,)
+            low = 0
+            while low < top and best < room:
+                both = pool[low][0] + pool[top][0]
+                if best < both <= room:
+                    best, take = both, (top, low)
+                low, top = (low, top - 1) if both > room else (low + 1, top)
+            inside += [pool.pop(k)[1] for k in take]
+            load += best
+        bins.append((load, inside))
+    return bins
+
+
+def place_displaced(items: list[int], lengths: list[int], bins: Bins, capacity: int) -> Bins:
+    """Displaced items fill open bins by exchange; those left are best-fitted into new ones."""
+    left, bins = exchange(items, lengths, bins, capacity)
+    return refill(left, lengths, bins, capacity)
+
+
+def dissolve(bins: Bins, rng: random.Random, share: int) -> tuple[Bins, list[int]]:
+    """Takes the emptiest bins and some others apart, up to one in ``share``. Returns the bins left and the displaced items."""
+    ranked = sorted(range(len(bins)), key=lambda k: bins[k][0])
+    gone = set(ranked[: rng.randint(1, max(4, len(bins) // 40))])
+    gone |= set(rng.sample(ranked, min(len(bins), rng.randint(0, max(8, len(bins) // share)))))
+    return [x for k, x in enumerate(bins) if k not in gone], [i for k in sorted(gone) for i in bins[k][1]]
+
+
+def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random, share: int = 15) -> Bins:
+    """Injects a section of b's well-filled bins whole into a. a's bins that share an item with them are taken apart, and some
+    others as in a mutation; the items that lose their place are placed anew."""
     ranked = sorted(b, key=lambda x: -x[0])[: max(1, len(b) // 2)]
     at = rng.randrange(len(ranked))
-    section = ranked[at : at + max(1, len(ranked) // 3)]
+    section = ranked[at : at + rng.randint(1, max(2, len(b) // 40))]
     inside = {i for _, x in section for i in x}
     kept, displaced = [], []
     for one in a:
@@ -95,39 +166,39 @@ def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.R
             kept.append(one)
         else:
             displaced += [i for i in one[1] if i not in inside]
-    return best_fit(displaced, lengths, [*section, *kept], capacity)
+    kept, more = dissolve([*section, *kept], rng, share)
+    return place_displaced(displaced + more, lengths, kept, capacity)
 
 
-def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Dissolves the emptiest bins and some others, and best-fits their items."""
-    ranked = sorted(bins, key=lambda x: x[0])
-    n = max(1, len(bins) // 50)
-    others = set(rng.sample(range(n, len(ranked)), min(n, len(ranked) - n)))
-    out = [i for k, (_, x) in enumerate(ranked) if k < n or k in others for i in x]
-    return best_fit(out, lengths, [x for k, x in enumerate(ranked) if k >= n and k not in others], capacity)
+def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random, share: int = 15) -> Bins:
+    """Takes bins apart and places their items anew."""
+    kept, displaced = dissolve(bins, rng, share)
+    return place_displaced(displaced, lengths, kept, capacity)
 
 
 def evolve(lengths: list[int], population: list[Bins], capacity: int, children: int, seed: str) -> list[Bins]:
-    """One island's epoch; best solution first. It ends at once where the bound of full bins is met."""
+    """One island's epoch, of a population filled up by mutation and ``children`` by crossover; best solution first. It ends at
+    once where the bound of full bins is met."""
     rng = random.Random(seed)
-    items = list(range(len(lengths)))
     bound = -(-sum(lengths) // capacity)
-    while len(population) < POPULATION:
-        if not population:
-            population.append(best_fit(items, lengths, [], capacity))
-        elif len(population[0]) <= bound:
+    if not population:
+        population = [best_fit(list(range(len(lengths))), lengths, [], capacity)]
+    # by fitness: of equal ones, taken for equal solutions, one stays, so that the population keeps its variety
+    scored = {fitness(x): x for x in population}
+    ranked = sorted(scored, reverse=True)
+    for _ in range(POPULATION - len(ranked) + children):
+        best = scored[ranked[0]]
+        if len(best) <= bound:
             break
+        if len(ranked) < POPULATION:
+            child = mutate(best, lengths, capacity, rng, 8)
         else:
-            noisy = sorted(items, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
-            population.append(mutate(best_fit(noisy[: len(noisy) // 2], lengths, best_fit(noisy[len(noisy) // 2 :], lengths, [], capacity), capacity), lengths, capacity, rng))
-    population.sort(key=fitness, reverse=True)
-    for _ in range(children):
-        if len(population[0]) <= bound:
-            break
-        a, b = rng.sample(population, 2)
-        child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        population = sorted([*population, child], key=fitness, reverse=True)[:POPULATION]
-    return population
+            mine, other = rng.sample(ranked, 2)
+            child = crossover(scored[mine], scored[other], lengths, capacity, rng)
+        scored[fitness(child)] = child
+        ranked = sorted(scored, reverse=True)[:POPULATION]
+        scored = {f: scored[f] for f in ranked}
+    return [scored[f] for f in ranked]
 
 
 def _as_labels(bins: Bins, n: int) -> list[int]:
@@ -145,13 +216,14 @@ def _as_bins(labels, lengths: list[int]) -> Bins:
     return [(sum(lengths[i] for i in x), x) for x in bins.values()]
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, children: int = CHILDREN) -> DataFrame:
     """Adds (sequence_id, offset) to rows (.., length), 1 <= length <= capacity.
 
     Full pieces are sequences by themselves. The others are dealt into blocks of about ``block`` rows, evenly
     however often a row repeats. A block has ``islands`` populations; in each epoch every island breeds alone and then
     sends its best solution to the next one. The best of a block's islands is its packing. Reruns on one
-    table of pieces agree. An empty table gives no rows.
+    table of pieces agree. Rows that repeat, or that have a null id, are packed one by one like others; rows of one length are
+    told apart by their place in the block. An empty table gives no rows.
     """
     rows = cut(rows)
     names = rows.columns
@@ -173,7 +245,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands:
                 out = []
                 for n, island, lengths, solutions in pdf[["block", "island", "lengths", "solutions"]].itertuples(index=False):
                     lengths = lengths.tolist()
-                    best = evolve(lengths, [_as_bins(s, lengths) for s in solutions], capacity, CHILDREN, f"{n}/{island}/{epoch}")
+                    best = evolve(lengths, [_as_bins(s, lengths) for s in solutions], capacity, children, f"{n}/{island}/{epoch}")
                     out.append((n, island, lengths, [_as_labels(s, len(lengths)) for s in best]))
                 yield pd.DataFrame(out, columns=["block", "island", "lengths", "solutions"])
 
