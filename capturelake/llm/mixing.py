@@ -2,124 +2,174 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturelake.llm.common import cut, documents, unit_hash, word_count
 
 #: Sources up to this number are joined as a broadcast table; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
-#: Ranks are summed in this many slices a source before single documents are looked at.
+#: Ranks of a source are summed in this many slices, and those of its edge slice in as many again, before single documents are looked at.
 SLICES = 4096
-SEED = "mix-1:"
-#: Documents that may close a source's target by their size, one after the other.
-CLOSING = 4
-ARRAY_OF_KEYS = "array<struct<odds: double, nid: boolean, doc_id: bigint>>"
+SEED = "mix-2:"
+#: Documents of each size class, the best-ranked ones left, that may close a source's target.
+OFFERS = 8
+
+
+def size_class(size: Column) -> Column:
+    """Number of binary digits of a size, 0 for 0."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0).cast("long")
+
+
+def draw_weight(size: Column) -> Column:
+    """How likely a document is drawn against others of its source: 8 and one more for each doubling of its size."""
+    return F.lit(8).cast("long") + size_class(size)
+
+
+def _levels(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Adds ``level`` to rows (total, cap, w): the level at which the rows of one ``by`` share their total, each level x w
+    but at most its cap. Rows sorted by cap / w fill up one after the other: the level rises up to the first
+    row that takes it whole and falls from there on, so it is the largest of the prefixes' levels."""
+    every = Window.partitionBy(*by)
+    by_ratio = every.orderBy(F.col("cap").cast("double") / F.col("w").cast("double"), *order)
+    filled = F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1))
+    left = F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
+    level = (F.col("total").cast("double") - F.coalesce(filled, F.lit(0)).cast("double")) / left.cast("double")
+    return rows.withColumn("level", level).withColumn("level", F.max("level").over(every))
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...], max_copies: int) -> DataFrame:
-    """(source, source_size, target, whole, rest, p) for rows (source, size).
+    """(source, source_size, target) for rows (source, size).
 
     The sources in code-point order, null last, weigh ``cycle`` repeated. They share the sum of all
     sizes by weight; none gets more than ``max_copies`` times its own size, and what is above goes to the
-    others by weight. The level of the share is found in closed form: sources sorted by cap / weight
-    fill up one after the other.
+    others by weight.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    at = F.row_number().over(by_name) - 1
+    at = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in cycle]), (at % len(cycle) + 1).cast("int")).cast("long")
-    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * max_copies)
-    by_ratio = Window.orderBy(F.col("cap").cast("double") / F.col("w"), F.col("source").isNull(), "source")
-    every = Window.partitionBy()
-    filled = F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1))
-    left_w = F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(filled, F.lit(0))).cast("double") / left_w)
-    # the level rises up to the first source that takes it whole and falls from there on
-    per = per.withColumn("level", F.max("level").over(every))
-    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("w"))
-    per = per.withColumn("target", target)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    per = per.withColumn("whole", F.least(whole, F.lit(max_copies)).cast("long"))
-    per = per.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double"))
-    p = F.when((F.col("source_size") > 0) & (F.col("whole") < max_copies), F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
-    return per.select("source", "source_size", "target", "whole", "rest", F.greatest(p, F.lit(0.0)).alias("p"))
+    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * max_copies).withColumn("total", F.sum("source_size").over(Window.partitionBy()))
+    per = _levels(per, [], [F.col("source").isNull(), F.col("source")])
+    return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
+
+
+def inclusion(units: DataFrame, per: DataFrame, max_copies: int) -> DataFrame:
+    """(source, weight, source_size, target, rest, whole, p): expected copies of the documents of one source and weight.
+
+    A document is expected in level x weight copies, at most ``max_copies``, so that a source's expected words are its
+    target. ``whole`` of them are certain, ``p`` is the chance of one more, ``rest`` the words that a source draws by chance.
+    """
+    cells = units.groupBy("source", "weight").agg(F.sum("size").alias("n"))
+    rows = cells.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumns({"total": F.col("target"), "cap": F.col("n") * max_copies, "w": F.col("n") * F.col("weight")}).where("n > 0")
+    rows = _levels(rows, ["source"], [F.col("weight")])
+    expected = F.least(F.lit(float(max_copies)), F.col("level") * F.col("weight").cast("double"))
+    rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long"))
+    sure = F.sum(F.col("whole") * F.col("n")).over(Window.partitionBy("source"))
+    rows = rows.withColumn("rest", F.greatest(F.col("target") - sure.cast("double"), F.lit(0.0)))
+    return rows.select("source", "weight", "rest", "whole", (F.col("expected") - F.col("whole").cast("double")).alias("p"))
 
 
 def _with_sources(df: DataFrame, per: DataFrame, few: bool) -> DataFrame:
+    """``df`` with the columns of ``per``, whose source column is ``s``."""
     side = F.broadcast(per) if few else per
-    return df.join(side, df["source"].eqNullSafe(per["source"]), "left").drop(per["source"])
+    return df.join(side, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
-def copies(units: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
-    """How often the mix takes each row of ``units(doc_id, source, size)``.
+def _edge(rows: DataFrame, slice_: str, rest: str) -> DataFrame:
+    """(s, edge, before): by source, the slice in which the running words of rows (source, slice, size) pass the rest."""
+    sums = rows.groupBy("source", slice_).agg(F.sum("size").alias("n"), F.first(rest).alias("r"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy(slice_))
+    over = F.when(F.col("upto") > F.col("r"), F.struct(F.col(slice_).alias("edge"), (F.col("upto") - F.col("n")).alias("before")))
+    return sums.withColumn("upto", upto).groupBy(F.col("source").alias("s")).agg(F.min(over).alias("e")).select("s", "e.edge", "e.before")
+
+
+def _closing(offers: Column, missing: Column) -> Column:
+    """Keys of the offers (key, size) that are taken one after the other while they fit, and then of the one that brings
+    the words nearest, if one does."""
+    none = F.array().cast("array<struct<rank: double, nid: boolean, doc_id: bigint>>")
+
+    def fit(state: Column, x: Column) -> Column:
+        return F.when(x["size"] <= state["m"], F.struct((state["m"] - x["size"]).alias("m"), F.concat(state["y"], F.array(x["key"])).alias("y"))).otherwise(state)
+
+    def nearest(state: Column) -> Column:
+        open_ = F.filter(offers, lambda x: ~F.array_contains(state["y"], x["key"]) & (F.abs(state["m"] - x["size"]) < state["m"]))
+        gaps = F.transform(open_, lambda x: F.struct(F.abs(state["m"] - x["size"]).alias("gap"), x["key"].alias("key")))
+        return F.when(F.size(gaps) > 0, F.concat(state["y"], F.array(F.array_min(gaps)["key"]))).otherwise(state["y"])
 
-    Returns (doc_id, size, source_size, target, copies) in the rows' own number. Every document gets
-    floor(target / source size) certain copies. What is left of a target is filled by Pareto order sampling: a
-    document has the random odds u / (1 - u) of its id's hash, divided by the inclusion odds p / (1 - p) of its
-    source; documents are taken in ascending order of that number while their words fit; then, up to CLOSING
-    times, the document left whose size comes nearest to the words still missing is taken too, if that lowers the error.
+    return F.aggregate(offers, F.struct(missing.alias("m"), none.alias("y")), fit, nearest)
 
-    Rows with one doc_id and source are taken or left together. Null ids have one hash, null sources are a
-    source of their own (last), null sizes count as 0, sources without words have target 0, and an empty table
-    gives no rows.
+
+def copies(units: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, weight: Column | None = None, seed: str = SEED) -> DataFrame:
+    """How often the mix takes each row of ``units(doc_id, source, size)``.
+
+    Returns (doc_id, size, source_size, target, p, copies) in the rows' own number. ``weight`` (of the row's columns, positive
+    long; :func:`draw_weight` of the size unless given) says how the documents of a source differ: each is expected in level x
+    weight copies (:func:`inclusion`). The whole ones are certain. The rest of a target is filled by Pareto order sampling:
+    a document with chance p of one more copy has the rank u / (1 - u) : p / (1 - p), u from its id's hash, and
+    documents are taken in ascending rank while their words fit. So that a long document at the edge leaves no gap, the
+    OFFERS best-ranked ones left of each size class, largest class first, are taken where they still fit, and then the one of them that
+    brings the words nearest, if one does.
+
+    Rows with one doc_id, source and weight are taken or left together. Null ids have one hash, null sources are a
+    source of their own (last), null sizes count as 0, documents without words are not drawn, sources without words have
+    target 0, and an empty table gives no rows. Equal ranks go by doc_id.
     """
-    units = units.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce("size", F.lit(0)).cast("long")
+    units = cut(units.withColumn("size", size).select("doc_id", "source", "size", (draw_weight(F.col("size")) if weight is None else weight).cast("long").alias("weight")))
     per = cut(source_targets(units, cycle, max_copies))
     few = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    u = unit_hash(SEED, F.col("doc_id"))
-    odds = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
-    rows = _with_sources(units.withColumn("u", u), per, few).withColumn("odds", odds)
-    groups = cut(rows.where("odds is not null").groupBy("source", "odds", "doc_id").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")))
-
-    # where the running words of a source pass its rest: first the slice, then the document
-    groups = groups.withColumn("slice", F.floor(F.col("odds") / (1 + F.col("odds")) * SLICES))
-    slices = groups.groupBy("source", "slice").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice"))
-    edge = slices.withColumn("upto", upto).groupBy("source").agg(
-        F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slice", (F.col("upto") - F.col("n")).alias("before")))).alias("e"),
-        F.first("rest").alias("rest"),
-    ).select(F.col("source").alias("s"), "e.slice", "e.before", "rest")
-    edge = cut(edge)
-    side = F.broadcast(edge) if few else edge
-    at_edge = groups.join(side.drop("rest").withColumnRenamed("slice", "edge"), F.col("source").eqNullSafe(F.col("s")), "left")
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("odds", F.col("doc_id").isNull(), "doc_id"))
-    last = at_edge.where("slice = edge").withColumn("upto", run + F.col("before")).where("upto <= rest")
-    last = last.groupBy(F.col("source").alias("s2")).agg(F.max(F.struct("odds", F.col("doc_id").isNull().alias("nid"), "doc_id", "upto")).alias("c"))
-    cuts = edge.join(last, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "slice", "before", "rest", "c")
-    side = F.broadcast(cuts) if few else cuts
-    marked = groups.join(side.drop("rest").withColumnRenamed("slice", "edge"), F.col("source").eqNullSafe(F.col("s")), "left")
-    mine = F.struct("odds", F.col("doc_id").isNull().alias("nid"), "doc_id")
-    upto_cut = mine <= F.struct("c.odds", "c.nid", "c.doc_id")
-    taken = F.col("edge").isNull() | (F.col("slice") < F.col("edge")) | ((F.col("slice") == F.col("edge")) & F.coalesce(upto_cut, F.lit(False)))
-    left = cut(marked.where(~taken).select("source", mine.alias("k"), "size"))
-    missing = F.col("rest") - F.coalesce(F.col("c.upto"), F.col("before")).cast("double")
-    state = cut(cuts.select(F.col("s").alias("source"), missing.alias("missing"), F.array().cast(ARRAY_OF_KEYS).alias("closing")))
-    for _ in range(CLOSING):
-        gap = F.abs(F.col("missing") - F.col("size"))
-        open_ = _with_sources(left, state, few).where((gap < F.col("missing")) & ~F.array_contains("closing", F.col("k")))
-        pick = open_.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(gap.alias("gap"), "k", "size")).alias("f"))
-        state = state.join(pick, F.col("source").eqNullSafe(F.col("s")), "left")
-        state = cut(state.select("source", (F.col("missing") - F.coalesce("f.size", F.lit(0))).alias("missing"), F.when(F.col("f").isNull(), F.col("closing")).otherwise(F.concat("closing", F.array("f.k"))).alias("closing")))
-    chosen = cut(cuts.join(state, F.col("s").eqNullSafe(F.col("source")), "left").select(
-        F.col("s").alias("source"), F.lit(True).alias("known"), F.col("slice").alias("edge"), F.struct("c.odds", "c.nid", "c.doc_id").alias("c"), "closing"
-    ))
-    rows = _with_sources(rows, chosen, few)
-    rows = rows.withColumn("slice", F.floor(F.col("odds") / (1 + F.col("odds")) * SLICES))
-    upto_cut = mine <= F.col("c")
-    taken = F.col("known") & (F.col("edge").isNull() | (F.col("slice") < F.col("edge")) | ((F.col("slice") == F.col("edge")) & F.col("c.odds").isNotNull() & upto_cut) | F.array_contains("closing", mine))
-    extra = F.when(F.col("odds").isNotNull() & F.coalesce(taken, F.lit(False)), 1).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
+    chance = cut(inclusion(units, per, max_copies))
+    u = unit_hash(seed, F.col("doc_id"))
+    rank = F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    side = chance.withColumnsRenamed({"source": "s", "weight": "sw"})
+    # at most a row for each source and weight
+    small = few and chance.limit(64 * BROADCAST_SOURCES + 1).count() <= 64 * BROADCAST_SOURCES
+    rows = units.withColumn("u", u).join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("s")) & (F.col("weight") == F.col("sw")), "left").drop("s", "sw")
+    rows = rows.withColumn("rank", rank)
+    groups = rows.where("rank is not null").groupBy("source", "rank", "doc_id").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
+    at = F.col("rank") / (1 + F.col("rank")) * SLICES
+    groups = cut(groups.withColumns({"slice": F.floor(at), "part": F.floor((at - F.floor(at)) * SLICES)}))
+
+    # where the running words of a source pass its rest: the slice, its part, then the document
+    edge = cut(_edge(groups, "slice", "rest"))
+    inner = _with_sources(groups, edge, few).where("slice = edge").withColumn("rest", F.col("rest") - F.col("before").cast("double"))
+    inner = cut(inner.drop("edge", "before"))
+    part = cut(_edge(inner, "part", "rest"))
+    order = Window.partitionBy("source").orderBy("rank", F.col("doc_id").isNull(), "doc_id")
+    last = _with_sources(inner, part, few).where("part = edge").withColumn("upto", F.sum("size").over(order) + F.col("before")).where("upto <= rest")
+    key = F.struct("rank", F.col("doc_id").isNull().alias("nid"), "doc_id")
+    last = last.groupBy(F.col("source").alias("s3")).agg(F.max(key).alias("c"), F.max("upto").alias("upto"))
+    both = edge.select("s", F.col("edge").alias("slice_at"), "before").join(part.select(F.col("s").alias("s2"), F.col("edge").alias("part_at"), F.col("before").alias("inside")), F.col("s").eqNullSafe(F.col("s2")), "left")
+    both = both.join(last, F.col("s").eqNullSafe(F.col("s3")), "left")
+    # the words that the ranks take, and up to where they take them; no edge: all
+    both = cut(both.select("s", "slice_at", "part_at", "c", (F.col("before") + F.coalesce("upto", "inside")).alias("drawn")))
+    here, there = F.struct("slice", "part"), F.struct("slice_at", "part_at")
+    drawn = F.col("slice_at").isNull() | F.coalesce(here < there, F.lit(False)) | F.coalesce((here == there) & (key <= F.col("c")), F.lit(False))
+
+    left = _with_sources(groups, both, few).where(F.col("slice_at").isNotNull() & ~drawn).withColumn("k", size_class(F.col("size")))
+    place = F.row_number().over(Window.partitionBy("source", "k").orderBy("rank", F.col("doc_id").isNull(), "doc_id"))
+    offers = left.withColumn("n", place).where(F.col("n") <= OFFERS)
+    closing = offers.groupBy(F.col("source").alias("s4")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), key.alias("key"), "size"))).alias("x"), F.first(F.col("rest") - F.col("drawn").cast("double")).alias("missing")
+    ).select("s4", _closing(F.col("x"), F.col("missing")).alias("closing"))
+    chosen = both.join(closing, F.col("s").eqNullSafe(F.col("s4")), "left").drop("s4", "drawn").withColumn("known", F.lit(True))
+    chosen = cut(chosen)
+    rows = _with_sources(rows, chosen, few).withColumns({"slice": F.floor(at), "part": F.floor((at - F.floor(at)) * SLICES)})
+    extra = F.when(F.col("rank").isNotNull() & F.coalesce(F.col("known") & (drawn | F.coalesce(F.array_contains("closing", key), F.lit(False))), F.lit(False)), 1).otherwise(0)
+    rows = _with_sources(rows, per.withColumnRenamed("source", "s"), few)
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("whole", F.lit(0)) + extra).cast("long").alias("copies"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document with the words the mix takes of it; rules as in :func:`copies`."""
     docs = documents(spark, sf_dir)
     mix = copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as the mix takes it."""
+    """The documents, each as often as the mix takes it. Documents without words are not taken; other columns stay as they are."""
     mix = copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     times = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
@@ -128,51 +178,51 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def _closing_sql() -> str:
-    """CTEs m, u, p by round: words missing, documents left, the one picked."""
-    out = [
-        "m0 AS (SELECT source, max(rest) - max(CASE WHEN upto <= rest THEN upto ELSE 0 END) AS missing FROM c GROUP BY source),",
-        "u0 AS (SELECT source, odds, doc_id, size FROM c WHERE upto > rest),",
-    ]
-    for k in range(CLOSING):
-        same = f"u{k}.source IS NOT DISTINCT FROM m{k}.source"
-        out += [
-            f"p{k} AS (SELECT * FROM (SELECT u{k}.*, row_number() OVER (PARTITION BY u{k}.source ORDER BY abs(missing - size), odds, doc_id NULLS LAST) AS n FROM u{k} JOIN m{k} ON {same} WHERE abs(missing - size) < missing) WHERE n = 1),",
-            f"m{k + 1} AS (SELECT m{k}.source, missing - coalesce(size, 0) AS missing FROM m{k} LEFT JOIN p{k} ON m{k}.source IS NOT DISTINCT FROM p{k}.source),",
-            f"u{k + 1} AS (SELECT * FROM u{k} WHERE NOT EXISTS (SELECT 1 FROM p{k} WHERE p{k}.doc_id = u{k}.doc_id)),",
-        ]
-    return "\n".join(out)
-
-
 MIX_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          (CAST(CAST('0x' || substr(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM documents),
+e AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS k FROM d),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
-  FROM d GROUP BY source),
+  FROM e GROUP BY source),
 l AS (
-  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(3 * source_size) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
             / CAST(sum(w) OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev
   FROM s),
-m AS (SELECT *, max(lev) OVER () AS level FROM l),
 t AS (
-  SELECT source, source_size,
-         least(CAST(3 * source_size AS DOUBLE), level * w) AS target
-  FROM m),
-k AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS whole FROM t),
-r AS (SELECT *, target - CAST(whole * source_size AS DOUBLE) AS rest FROM k),
-p AS (SELECT *, CASE WHEN source_size > 0 AND whole < 3 THEN greatest(rest / source_size, 0) ELSE 0 END AS p FROM r),
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * w) AS target
+  FROM (SELECT *, max(lev) OVER () AS level FROM l)),
+c AS (
+  SELECT source, 8 + k AS weight, CAST(sum(size) AS BIGINT) AS n, any_value(target) AS target
+  FROM (SELECT e.*, target FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source) GROUP BY source, k HAVING sum(size) > 0),
+cl AS (
+  SELECT *, (target - CAST(coalesce(sum(3 * n) OVER (PARTITION BY source ORDER BY CAST(3 * n AS DOUBLE) / CAST(n * weight AS DOUBLE), weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+            / CAST(sum(n * weight) OVER (PARTITION BY source ORDER BY CAST(3 * n AS DOUBLE) / CAST(n * weight AS DOUBLE), weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev
+  FROM c),
+ce AS (SELECT *, least(CAST(3 AS DOUBLE), level * CAST(weight AS DOUBLE)) AS expected FROM (SELECT *, max(lev) OVER (PARTITION BY source) AS level FROM cl)),
+cw AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole FROM ce),
+i AS (SELECT source, weight, whole, expected - CAST(whole AS DOUBLE) AS p,
+             greatest(target - CAST(sum(whole * n) OVER (PARTITION BY source) AS DOUBLE), 0) AS rest FROM cw),
 j AS (
-  SELECT d.*, source_size, target, whole, rest, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j WHERE odds IS NOT NULL),
-{_closing_sql()}
-f AS ({" UNION ALL ".join(f"SELECT source, doc_id FROM p{k}" for k in range(CLOSING))})
+  SELECT e.*, source_size, target, coalesce(whole, 0) AS whole, rest, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds
+  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source LEFT JOIN i ON e.source IS NOT DISTINCT FROM i.source AND 8 + e.k = i.weight),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j WHERE odds IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k DESC, odds, doc_id NULLS LAST) AS at
+      FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY odds, doc_id NULLS LAST) AS n FROM r WHERE upto > rest) WHERE n <= {OFFERS}),
+m AS (
+  SELECT source, CAST(0 AS BIGINT) AS at, max(rest) - max(CASE WHEN upto <= rest THEN upto ELSE 0 END) AS missing, false AS take, CAST(NULL AS BIGINT) AS doc_id FROM r GROUP BY source
+  UNION ALL
+  SELECT m.source, b.at, m.missing - CASE WHEN b.size <= m.missing THEN b.size ELSE 0 END, b.size <= m.missing, b.doc_id
+  FROM m JOIN b ON m.source IS NOT DISTINCT FROM b.source AND b.at = m.at + 1),
+g AS (SELECT source, min(missing) AS missing FROM m GROUP BY source),
+h AS (SELECT doc_id, row_number() OVER (PARTITION BY b.source ORDER BY abs(missing - size), odds, doc_id NULLS LAST) AS n
+      FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source WHERE abs(missing - size) < missing AND doc_id NOT IN (SELECT doc_id FROM m WHERE take)),
+f AS (SELECT doc_id FROM m WHERE take UNION ALL SELECT doc_id FROM h WHERE n = 1)
 SELECT j.doc_id, j.size, j.source_size, j.target,
-       CAST(j.size * (j.whole + CASE WHEN j.odds IS NOT NULL AND (c.upto <= c.rest OR f.doc_id IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM j LEFT JOIN c ON j.doc_id = c.doc_id LEFT JOIN f ON f.doc_id = j.doc_id
+       CAST(j.size * (j.whole + CASE WHEN j.odds IS NOT NULL AND (r.upto <= r.rest OR f.doc_id IS NOT NULL) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM j LEFT JOIN r ON j.doc_id = r.doc_id LEFT JOIN f ON f.doc_id = j.doc_id
 """
