@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,22 @@ KEYS = ("passw", "secret", "token", "api")
 
 #: Characters whose steps the models have. Signs join ordinary names (paths, slugs, rules of dashes) as well as random ones.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Nats by which a string must be likelier as random than as an identifier.
-THRESHOLD = 20.0
+#: Shortest run that is scored.
+SHORTEST = 16
+LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Nats by which a string must be likelier as random than as an identifier: the least evidence, whatever its length.
+THRESHOLD = 12.0
+#: The rate, nats a step, that a string must exceed too is the least one that held-out identifiers exceed no oftener than this.
+FALSE_SHARE = 0.001
+#: One labelled text in so many is held out from the counts.
+HELD_OUT = 10
+#: Edges of the bins of rates in which held-out samples are counted.
+RATES = np.linspace(-4, 4, 401)
 _CODE = np.full(256, -1, np.int16)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 N = len(ALPHABET)
+_KIND = np.array([0 if c.isupper() else 1 if c.islower() else 2 for c in ALPHABET])
+BACKED = 0.3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -51,14 +63,30 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 @dataclass(frozen=True)
 class MarkovModels:
-    """Log-likelihood ratio of each step between characters: random against ordinary."""
+    """Log-likelihood ratio of each step between characters: random against ordinary.
+
+    ``level``: nats a step that a random string exceeds; ``false_share`` and ``recall``: shares of the held-out identifiers and
+    random strings that are found at it (None: nothing was held out).
+    """
 
     ratio: np.ndarray
+    level: float = 0.0
+    false_share: float | None = None
+    recall: float | None = None
+
+    def _scored(self, value: str) -> tuple[float, float]:
+        """Sum over the value's steps, and its mean. A step that the value repeats counts once, so one letter many times is no evidence."""
+        seen = _steps(value.encode()) > 0
+        total = float(self.ratio.reshape(-1)[seen].sum())
+        return total, total / max(int(seen.sum()), 1)
 
     def score(self, value: str) -> float:
-        """Sum over the value's steps. A step that it repeats counts once, so one letter many times is no evidence."""
-        return float(self.ratio.reshape(-1)[_steps(value.encode()) > 0].sum())
+        return self._scored(value)[0]
 
+    def random(self, value: str, threshold: float) -> bool:
+        """Is the whole value likelier random, in sum and by the step?"""
+        total, rate = self._scored(value)
+        return total > threshold and rate > self.level
 
     def stretches(self, value: str, threshold: float) -> list[tuple[int, int]]:
         """Parts of the value that look random though the whole need not: best stretches of steps, each ended where its sum has
@@ -66,13 +94,25 @@ class MarkovModels:
 
         A stretch is widened to the ends of the pieces between signs that it begins and ends in.
         """
+        found = []
+        for a, b, rate in self._best(value, threshold):
+            if rate > self.level:
+                if found and a <= found[-1][1]:
+                    a = found.pop()[0]
+                found.append((a, b))
+        return found
+
+    def _best(self, value: str, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """(start, end, rate) of the stretches, whatever their rate."""
         codes = _CODE[np.frombuffer(value.encode(), np.uint8)].astype(np.int64)
         steps = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1] * N + codes[1:], -1)
-        gain = np.where(steps >= 0, self.ratio.reshape(-1)[steps], 0.0).tolist()
-        steps, found = steps.tolist(), []
-        i = start = end = 0
+        gain = np.where(steps >= 0, self.ratio.reshape(-1)[steps], 0.0)
+        if gain[gain > 0].sum() <= threshold:
+            return
+        gain, steps = gain.tolist(), steps.tolist()
+        i = start = end = count = 0
         total = best = 0.0
-        last: dict[int, int] = {}
+        last: set[int] = {-1}
         while i <= len(steps):
             if best > threshold and (i == len(steps) or total <= best - threshold):
                 a, b = start, end + 1
@@ -80,26 +120,33 @@ class MarkovModels:
                     a -= 1
                 while b < len(value) and value[b] not in "/_-":
                     b += 1
-                if found and a <= found[-1][1]:
-                    a = found.pop()[0]
-                found.append((a, b))
+                yield a, b, best / max(count, 1)
                 i = start = end = max(b - 1, end)
-                total, best, last = 0.0, 0.0, {}
+                total, best, last = 0.0, 0.0, {-1}
             if i < len(steps):
                 if steps[i] not in last:
                     total += gain[i]
-                last[steps[i]] = i
+                    last.add(steps[i])
                 if total > best:
-                    best, end = total, i + 1
+                    best, end, count = total, i + 1, len(last) - 1
                 elif total <= 0:
-                    total, best, start, end, last = 0.0, 0.0, i + 1, i + 1, {}
+                    total, best, start, end, last = 0.0, 0.0, i + 1, i + 1, {-1}
             i += 1
-        return found
+
+    def top_rate(self, value: str, threshold: float) -> float:
+        """The rate that decides whether any of the value is found: the best of the whole and its stretches."""
+        total, rate = self._scored(value)
+        return max([*([rate] if total > threshold else []), *(r for _, _, r in self._best(value, threshold))], default=-np.inf)
 
 
 def _log_steps(counts: np.ndarray) -> np.ndarray:
+    """Log chance of each next character. A share BACKED of it is the chance of its kind (capital, small letter, digit) after a
+    character of that kind, so that a pair of letters which the corpus' words don't have is no proof by itself."""
     counts = counts.reshape(N, N) + 0.5
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    kinds = np.zeros((3, 3))
+    np.add.at(kinds, (_KIND[:, None], _KIND[None, :]), counts)
+    by_kind = kinds / kinds.sum(axis=1, keepdims=True) / np.bincount(_KIND)[None, :]
+    return np.log((1 - BACKED) * counts / counts.sum(axis=1, keepdims=True) + BACKED * by_kind[_KIND[:, None], _KIND[None, :]])
 
 
 def _steps(data: bytes) -> np.ndarray:
@@ -108,11 +155,63 @@ def _steps(data: bytes) -> np.ndarray:
     return np.bincount(pair[(codes[:-1] >= 0) & (codes[1:] >= 0)], minlength=N * N)
 
 
+def _table(alphabet: str) -> bytes:
+    return bytes(ord(alphabet[i % len(alphabet)]) for i in range(256))
+
+
+#: Alphabets of the random samples, as tables from a digest's bytes.
+BASE62, BASE36, BASE32 = map(_table, (ALPHABET, "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+_GAPS = np.zeros(256, bool)
+_GAPS[[0x20, *range(0x09, 0x0E), *b"/_-"]] = True
+
+
+def random_samples(text: str) -> list[bytes]:
+    """Strings of 64 characters or so over several alphabets, from digests of the text: the same in every run."""
+    one, two = hashlib.sha512(text.encode()).digest(), hashlib.blake2b(text.encode()).digest()
+    return [one.translate(BASE62), two.translate(BASE62), base64.b64encode(one), two.translate(BASE36), one.translate(BASE32), two[:32].hex().encode()]
+
+
+def camel(data: bytes) -> bytes:
+    """WordsJoinedLikeThis."""
+    x = np.frombuffer(data, np.uint8)
+    gap = _GAPS[x]
+    first = np.ones(len(x), bool)
+    first[1:] = gap[:-1]
+    return np.where(first & (x >= 97) & (x <= 122), x - 32, x).astype(np.uint8)[~gap].tobytes()
+
+
+def numbered(text: str, words: list[str]) -> str:
+    """Names with numbers: versions, dates, times, counters, made of a text's first words and its checksum."""
+    h = zlib.crc32(text.encode())
+    date = f"20{h % 30:02}{h % 12 + 1:02}{h % 28 + 1:02}"
+    plain = [w for w in words if w.isascii() and w.isalpha()][:4]
+    tails = [f"{h % 10}", f"{h % 100}", f"V{h % 10}", f"{1 << h % 10}"]
+    return f"v{h % 7}.{h % 31}.{h % 101} {date} {date}{h % 24:02}{h % 60:02}{h % 59:02} {h % 10000} " + " ".join(map(str.__add__, plain, tails))
+
+
+def identifiers(text: str) -> list[str]:
+    """Ordinary names of SHORTEST characters or more, made of four words of a text: camel case, snake case, a slug, a path, names with numbers."""
+    words = re.findall("[A-Za-z]+", text)
+    if not words:
+        return []
+    h = zlib.crc32(text.encode())
+    w = [x.lower() for x in (words * 4)[h % len(words) :][:4]]
+    title = [x.capitalize() for x in w]
+    made = [w[0] + "".join(title[1:]), "".join(title), "_".join(w), "-".join(w), "_".join(w).upper(), "/".join([w[0], w[1], *title[2:]]), f"{'-'.join(w)}-{h % 9}_{h % 40}", f"{title[0]}{title[1]}V{h % 10}/{w[2]}{h % 100}_{title[3]}"]
+    return [x for x in made if len(x) >= SHORTEST]
+
+
+def _is_held(text: str) -> bool:
+    return zlib.crc32(text.encode()) // 7 % HELD_OUT == 0
+
+
 def labelled_steps(docs: DataFrame) -> DataFrame:
-    """(label, step, n): character steps of the labelled samples, over all rows of ``docs(text)``.
+    """(label, step, n): character steps of the labelled samples, over all rows of ``docs(text)`` that aren't held out.
 
-    Label 1, random: the values that the fixed patterns find. Label 0, ordinary: the words of texts
-    without such a value. Each task sums its rows, so at most 2 x 62 x 62 rows a task are shuffled.
+    Label 1, random: the values that the fixed patterns find, and random strings of several alphabets. Label 0, ordinary: the
+    words of texts without such a value as they are (slugs, paths and snake case have the same steps), in camel case, in
+    upper case, and with numbers. Null texts give nothing, rows that repeat count again, an empty table gives no rows.
+    Each task sums its rows, so at most 2 x 62 x 62 rows a task are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,20 +219,44 @@ def labelled_steps(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in slices(texts):
-                plain = []
+                plain, others, made = [], [], []
                 for t in texts[a:b]:
                     found = base_spans(t)
                     if found:
-                        total[1] += _steps(" ".join(f[3] for f in found).encode())
-                    else:
+                        others += [f[3].encode() for f in found]
+                    elif t and not _is_held(t):
                         plain.append(t)
-                total[0] += _steps("\n".join(plain).encode())
+                        made.append(numbered(t, t[:200].split()))
+                        others += random_samples(t)
+                data = "\n".join(plain).encode()
+                total[1] += _steps(b" ".join(others))
+                for form in (data, camel(data), data.upper(), "\n".join(made).encode()):
+                    total[0] += _steps(form)
         label, step = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(total[label, step])], names=["label", "step", "n"])
 
     return docs.select("text").mapInArrow(run, "label int, step int, n long").groupBy("label", "step").agg(F.sum("n").alias("n"))
 
 
+def held_out_rates(docs: DataFrame, models: MarkovModels, threshold: float = THRESHOLD) -> DataFrame:
+    """(label, bin, n): held-out identifiers (0) and random strings of 20 to 40 characters (1), counted by the bin of
+    their deciding rate; at most 2 x 402 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(RATES) + 1), np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t and _is_held(t) and not base_spans(t):
+                    n = 20 + zlib.crc32(t.encode()) % 21
+                    for label, values in enumerate((identifiers(t), [x[:n].decode() for x in random_samples(t)[:4]])):
+                        rates = [models.top_rate(v, threshold) for v in values]
+                        np.add.at(total[label], np.searchsorted(RATES, rates), 1)
+        label, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[label, at])], names=["label", "bin", "n"])
+
+    return docs.select("text").mapInArrow(run, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n"))
+
+
 def fit(steps: DataFrame) -> MarkovModels:
     """Models from rows (label, step, n), at most 2 x 62 x 62 of them; a step not seen counts half a time."""
     counts = np.zeros((2, N * N))
@@ -142,6 +265,24 @@ def fit(steps: DataFrame) -> MarkovModels:
     return MarkovModels(_log_steps(counts[1]) - _log_steps(counts[0]))
 
 
+def with_level(models: MarkovModels, rates: DataFrame, false_share: float = FALSE_SHARE) -> MarkovModels:
+    """The models with the least level >= 0 that at most ``false_share`` of the held-out identifiers exceed; without any, 0."""
+    counts = np.zeros((2, len(RATES) + 1))
+    for r in rates.collect():
+        counts[r["label"], r["bin"]] = r["n"]
+    # share of each label at or above a bin's lower edge
+    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    fits = np.flatnonzero((RATES >= 0) & (above[0, 1:] <= false_share))
+    at = int(fits[0]) if len(fits) else len(RATES) - 1
+    return replace(models, level=float(RATES[at]), false_share=float(above[0, at + 1]), recall=float(above[1, at + 1]))
+
+
+def train(docs: DataFrame) -> MarkovModels:
+    """Models of the corpus's labelled samples, with the level that held-out ones give."""
+    models = fit(labelled_steps(docs))
+    return with_level(models, held_out_rates(docs, models))
+
+
 def find(text: str, models: MarkovModels, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base spans, and of what looks random in the long runs outside them."""
     spans = [s[:3] for s in base_spans(text)]
@@ -150,7 +291,7 @@ def find(text: str, models: MarkovModels, threshold: float = THRESHOLD) -> list[
         at, touching = m.start(), [s for s in spans if s[0] < m.end() and m.start() < s[2]]
         for a, _, b in [*touching, (m.end(), 3, m.end())]:
             rest = LONG_RUN.fullmatch(text, at, a) if a > at else None
-            if rest and models.score(rest[0]) > threshold:
+            if rest and models.random(rest[0], threshold):
                 extra.append((at, 3, a))
             elif rest:
                 extra += [(at + x, 3, at + y) for x, y in models.stretches(rest[0], threshold)]
@@ -159,7 +300,11 @@ def find(text: str, models: MarkovModels, threshold: float = THRESHOLD) -> list[
 
 
 def scan(docs: DataFrame, models: MarkovModels, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row's whole text; null: ''."""
+    """(doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans) of every row's whole text; null: ''.
+
+    Null ids stay null, rows that repeat are scanned each for itself, spans that start together go by kind, an empty
+    table gives no rows.
+    """
     say = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +333,14 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
+    """Secrets of every document; nulls and repeats as in :func:`scan`."""
     docs = documents(spark, sf_dir)
-    return scan(docs, fit(labelled_steps(docs)))
+    return scan(docs, train(docs))
 
 
 def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret masked; n_chars follows the text."""
-    models = fit(labelled_steps(docs))
+    """The documents with every secret masked; n_chars follows the text. Null texts stay null, all rows and columns stay."""
+    models = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
