@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a
+    cluster, whose machines would not share it, that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="capturelake-")
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = folder or tempfile.mkdtemp(prefix="capturelake-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder or spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:

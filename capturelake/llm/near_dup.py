@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from capturelake.llm.common import components, cut, documents
 from capturelake.llm.hashing import distinct, mix, shingles, unit
@@ -69,10 +70,35 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return key.view(np.int64)
 
 
+def elements(texts: list[str], weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index, value, weight) of the texts' distinct shingles, and (index, value) of their elements.
+
+    ``weights``: 'set' gives every shingle weight 1. 'count' gives it its count, and one element for each time it occurs, so
+    that the Jaccard similarity of the elements is the weighted one of the counts.
+    """
+    index, value, count = distinct(*shingles([t.encode() for t in texts], WIDTH))
+    if weights != "count":
+        return index, value, np.ones(len(index)), index, value
+    row = np.repeat(np.arange(len(index)), count)
+    time = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    each = np.where(time == 0, value[row], mix(value[row] + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return index, value, count.astype(float), index[row], each
+
+
+def fingerprints(index: np.ndarray, value: np.ndarray, n: int) -> list[pa.Array]:
+    """Two independent sums of hashes over each text's elements."""
+    out = []
+    for salt in (1, 2):
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, index, mix(value * np.uint64(2 * salt + 1) + np.uint64(salt)))
+        out.append(pa.array(total.view(np.int64)))
+    return out
+
+
 def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """(doc_id, n, print_a, print_b, bands): number and fingerprint of the distinct shingles, and the band keys.
+    """(doc_id, n, print_a, print_b, bands): number and fingerprint of a row's elements (:func:`elements`), and the band keys.
 
-    ``weights``: 'set' gives every shingle weight 1 (Jaccard), 'count' its count (weighted Jaccard).
+    Null texts have no elements, null ids stay null, rows that repeat come again, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,36 +106,34 @@ def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 m = b - a
-                index, value, count = distinct(*shingles([t.encode() for t in texts[a:b]], WIDTH))
-                weight = count.astype(float) if weights == "count" else np.ones(len(index))
+                index, value, weight, at, each = elements(texts[a:b], weights)
                 bands = band_keys(dart_minhash(index, value, weight, m, BANDS * ROWS))
-                prints = []
-                for salt in (1, 2):
-                    total = np.zeros(m, np.uint64)
-                    np.add.at(total, index, mix(value * np.uint64(2 * salt + 1) + np.uint64(salt)) * (weight.astype(np.uint64)))
-                    prints.append(pa.array(total.view(np.int64)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, m), pa.array(np.bincount(index, minlength=m)), *prints, flat], names=["doc_id", "n", "print_a", "print_b", "bands"]
+                    [batch.column(0).slice(a, m), pa.array(np.bincount(at, minlength=m)), *fingerprints(at, each, m), flat], names=["doc_id", "n", "print_a", "print_b", "bands"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n long, print_a long, print_b long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the distinct shingle hashes of whole texts."""
+def shingle_sets(docs: DataFrame, weights: str = "set") -> DataFrame:
+    """(doc_id, n, print_a, print_b, shingles): the elements of each row's whole text beside its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                index, value, _ = distinct(*shingles([t.encode() for t in texts[a:b]], WIDTH))
-                ends = np.searchsorted(index, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
+                m = b - a
+                *_, at, each = elements(texts[a:b], weights)
+                ends = np.searchsorted(at, np.arange(m + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, m), pa.array(np.diff(ends).astype(np.int64)), *fingerprints(at, each, m), pa.ListArray.from_arrays(pa.array(ends), pa.array(each.view(np.int64)))],
+                    names=["doc_id", "n", "print_a", "print_b", "shingles"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, print_a long, print_b long, shingles array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -144,33 +168,48 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     return x.join(y, "s").where(fits).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+SAME = ["print_a", "print_b", "n"]
+
+
+def _one_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): representatives of the different sets that rows of one doc_id have."""
+    mine = F.struct(*SAME)
+    several = rows.groupBy("doc_id").agg(F.min(mine).alias("lo"), F.max(mine).alias("hi")).where("lo <> hi").select("doc_id")
+    known = cut(rows.join(several, "doc_id", "left_semi").select("doc_id", *SAME).distinct().join(reps.select(*SAME, "rep"), SAME).select("doc_id", "rep"))
+    first = known.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return known.join(first, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set") -> DataFrame:
     """(doc_id, class_id) for every row of ``docs(doc_id, text)``; class_id is the least doc_id of the class.
 
-    A class is a component of the links: equal shingle sets, and pairs of different sets of at least that similarity
-    that share a band. Equal sets become one representative first. In each band bucket the representative with
-    the largest share of shingles found elsewhere leads: every member is checked against it, so a bucket of many near
+    A class is a component of the links: equal sets of elements (:func:`elements`, by ``weights``), and pairs of different sets of
+    at least that similarity that share a band. Equal sets become one representative first. In each band bucket the representative
+    with the largest share of elements found elsewhere leads: every member is checked against it, so a bucket of many near
     copies of one text closes after one check a member. Members of buckets that still hold several components are
-    then joined on their rarest shingles (:func:`prefix_pairs`), which no similar pair escapes, and checked too. No link
+    then joined on their rarest elements (:func:`prefix_pairs`), which no similar pair escapes, and checked too. No link
     is dropped by a cap.
 
-    Texts without words are equal to each other. Null ids are dropped from linking and form a class of their own row.
+    Rows that repeat a doc_id are one document, whatever their texts: each text's links are the document's. Texts without words
+    are equal to each other. Null ids are dropped from linking and form a class of their own row. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    rows = cut(signatures(known))
-    same = ["print_a", "print_b", "n"]
-    reps = cut(rows.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    rows = cut(signatures(known, weights))
+    reps = rows.groupBy(*SAME).agg(F.min("doc_id").alias("first_id"), F.min_by("bands", "doc_id").alias("bands"))
+    # a number for each set: an id may stand for several
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
     member = reps.where("n > 0").select("rep", "n", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     member = cut(member.join(shared, "bucket"))
 
-    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = shingle_sets(known.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets)
+    wanted = cut(reps.join(member.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("doc_id"), *SAME, "rep"))
+    found = shingle_sets(known.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), weights)
+    sets = found.groupBy("doc_id", *SAME).agg(F.first("shingles").alias("shingles")).join(wanted, ["doc_id", *SAME])
+    sets = cut(sets.select(F.col("rep").alias("doc_id"), "shingles"))
     alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("rep"))
     alone = cut(alone.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone")))
-    # a member's shingles that some other candidate has: what a partner can share at most
+    # a member's elements that some other candidate has: what a partner can share at most
     member = member.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     member = cut(member.where(F.col("common") >= similarity * F.col("n")).select("bucket", "rep", "n", "common"))
 
@@ -187,21 +226,30 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rooted = cut(rooted.join(largest, "bucket").groupBy("rep", "n", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("aside")))
     pairs = prefix_pairs(rooted, sets, similarity)
     more = similar(pairs.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"), sets, similarity)
-    part = components(links.union(more))
+    part = cut(components(links.union(more).union(_one_id(rows, reps))))
 
-    named = reps.join(part, reps["rep"] == part["node"], "left").select(*same, F.coalesce("root", "rep").alias("root"))
-    # the least id of a component of representatives is the least of the class: representatives are the least of their copies
-    found = rows.select("doc_id", *same).join(named, same).select("doc_id", F.col("root").alias("class_id"))
-    return found.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    linked = reps.join(part, reps["rep"] == part["node"], "left").select(*SAME, "first_id", "root")
+    least = linked.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
+    named = linked.join(least, "root", "left").select(*SAME, F.coalesce("least", "first_id").alias("class_id"))
+    out = rows.select("doc_id", *SAME).join(named, SAME).select("doc_id", "class_id")
+    return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 
 def op1_near_dup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its class; nulls, repeats and ties as in :func:`classes`."""
     return classes(documents(spark, sf_dir))
 
 
+def _has_map(kind: DataType) -> bool:
+    return isinstance(kind, (MapType, VariantType)) or any(map(_has_map, [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []))
+
+
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least doc_id. Rows without an id stay."""
+    """One document of each class: the one with the least doc_id. Of rows that repeat an id the least by their columns in
+    order stays (maps are not compared). Rows without an id stay."""
     keep = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    key = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)])
+    first = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*others), key).alias("_row"))
     rest = docs.where("doc_id is null")
-    return first.select("doc_id", "_row.*").select(*docs.columns).unionByName(rest)
+    return first.select("doc_id", "_row.*").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rest)
