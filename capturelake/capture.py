@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from capturelake.operators import algorithms, charts, detect, filters, graph, stats
+from capturelake.operators import algorithms, charts, detect, fields, filters, graph, stats
 from capturelake.operators import sessions as ses
 from capturelake.plans import predicates, recipe
 from capturelake.sources import negotiation, pcap, text_logs
@@ -85,9 +86,26 @@ class Capture:
         nodes, edges = self.graph()
         return self.packets.sparkSession.sql(text, packets=self.packets, sessions=ses.sessions(self.split), nodes=nodes, edges=edges)
 
-    def alerts(self) -> DataFrame:
-        found = ses.sessions(self.split)
-        return detect.alerts(detect.port_scans(found), detect.port_scans(found, "UDP"))
+    def alerts(self, malicious: DataFrame | None = None) -> DataFrame:
+        """Alerts of every detector whose columns the packets have; ``malicious(hash, name)`` lists known TLS client hashes."""
+        found, has = ses.sessions(self.split), set(self.packets.columns)
+        out = [detect.port_scans(found), detect.port_scans(found, "UDP")]
+        if {"arp_src_ip", "arp_src_mac"} <= has:
+            out.append(detect.arp_spoofing(self.packets))
+            if {"arp_dst_ip", "arp_opcode"} <= has:
+                out.append(detect.arp_flood(self.packets))
+        opened = self.split.join(found.select(F.col("id").alias("session_id"), F.col("src_ip").alias("initiator")), "session_id")
+        if "ja3" in has and malicious is not None:
+            tls = fields.accumulate(opened, ["tls"])
+            out.append(detect.malicious_ja3(found.join(tls, found["id"] == tls["session_id"]), malicious))
+        if "tls_selected_version" in has:
+            tls = fields.accumulate(opened, ["tls"])
+            out.append(detect.weak_tls(found.join(tls, found["id"] == tls["session_id"])))
+        if "http_user_agent" in has:
+            http = fields.accumulate(opened, ["http"]).withColumnRenamed("http_fwd_user_agents", "user_agents")
+            agents = found.join(http, found["id"] == http["session_id"])
+            out += [detect.user_agents(agents), detect.empty_user_agents(agents)]
+        return detect.alerts(*out)
 
     def gantt(self) -> DataFrame:
         return charts.session_gantt(ses.sessions(self.split))

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.scratch import cut as _cut
+
 MAX_PATHS, CUTOFF = 20, 10
 #: Rows (source, node) of a block of centrality; they are written for each level's checkpoint.
 STATES = 1_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir; one of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="capturelake-"))
-    return df.checkpoint()
-
-
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst", size: str = "total_bytes") -> DataFrame:
     """(a, b, weight): a pair's bytes, where an edge without bytes counts 1."""
     w = F.when(F.coalesce(F.col(size), F.lit(0)) > 0, F.col(size)).otherwise(1)

@@ -14,6 +14,9 @@ from capturelake.functions import net
 TCP_GAP, UDP_GAP = 120.0, 60.0
 SEQ_JUMP, SEQ_JUMP_GAP, SEQ_SPACE = 1_000_000, 5.0, 2**32
 CLOSE_GRACE = 5.0
+#: A packet is of one of these protocols if it has a value in a column of it; packets of one so many seconds apart are of two sessions.
+SIGNALS = {"dhcp": ("dhcp_msg_type", "dhcp_xid"), "dns": ("dns_query", "dns_qr"), "http": ("http_method", "http_status", "http_host")}
+QUIET = {"dhcp": 10.0, "dns": 10.0, "http": 30.0}
 
 
 def by_gap(packets: DataFrame) -> DataFrame:
@@ -26,22 +29,48 @@ def by_gap(packets: DataFrame) -> DataFrame:
     return rows.withColumn("generation", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
+def _protocol_split(seen: dict, kinds: list[str], xid, t: float) -> bool:
+    """Does a protocol's own rule open a new session at time t? ``seen`` has the last times by protocol and the last xid."""
+    if "dhcp" in kinds:
+        quiet = seen.get("dhcp", 0) > 0 and t - seen["dhcp"] > QUIET["dhcp"]
+        seen["dhcp"] = t
+        if quiet:
+            seen["xid"] = xid
+            return True
+    if xid:
+        before, seen["xid"] = seen.get("xid"), xid
+        if before is not None and before != xid:
+            return True
+    for kind in ("dns", "http"):
+        if kind in kinds:
+            before, seen[kind] = seen.get(kind, 0), t
+            if before > 0 and t - before > QUIET[kind]:
+                return True
+    return False
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds generation to batches sorted by flow and time. The boundary state of the flow at hand goes from batch to batch."""
     flow = closed = last = seq = isn = generation = None
+    seen: dict = {}
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("session_key", "timestamp", "transport", "tcp_flags_str", "seq_num")]
+        marks = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for names in SIGNALS.values() for c in names if c in batch.schema.names}
         out = []
-        for key, t, transport, said, number in zip(*columns):
+        for row, (key, t, transport, said, number) in enumerate(zip(*columns)):
             if key != flow:
-                flow, closed, last, seq, isn, generation = key, 0.0, 0.0, None, None, 0
+                flow, closed, last, seq, isn, generation, seen = key, 0.0, 0.0, None, None, 0, {}
             tcp, flags = transport == "TCP", (said or "").split(" ")
             syn, ack = "SYN" in flags, "ACK" in flags
             gap = t - last if last and last > 0 and t is not None else 0.0
             reopened = tcp and closed > 0 and ((syn and not ack) or (syn and ack and None not in (isn, number) and number != isn) or (t is not None and t - closed > CLOSE_GRACE))
             raw = abs(number - seq) if None not in (number, seq) else 0
             jump = tcp and min(raw, SEQ_SPACE - raw) > SEQ_JUMP and gap > SEQ_JUMP_GAP
-            if reopened or gap > (TCP_GAP if tcp else UDP_GAP) or jump:
+            split = reopened or gap > (TCP_GAP if tcp else UDP_GAP) or jump
+            if marks and not split and t is not None:
+                kinds = [k for k, names in SIGNALS.items() if any(marks[c][row] for c in names if c in marks)]
+                split = bool(kinds) and _protocol_split(seen, kinds, marks["dhcp_xid"][row] if "dhcp_xid" in marks else None, t)
+            if split:
                 generation, closed, seq, isn = generation + 1, 0.0, None, None
             elif tcp:
                 if closed == 0 and t is not None and ("FIN" in flags or "RST" in flags):
@@ -53,24 +82,29 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_generations(packets: DataFrame) -> DataFrame:
-    """Adds session_key, generation and session_id by all transport signals, with an ordered fold over each flow.
+    """Adds session_key, generation and session_id by all signals, with an ordered fold over each flow.
 
     A flow splits at: a packet after FIN or RST that opens a connection (pure SYN, SYN-ACK of a new
-    number) or comes over 5 s later; a gap over 120 s (TCP) or 60 s; a sequence jump over a million with a gap over 5 s.
-    Flows without a TCP packet take the window form. The rest are sorted, which spills, and read with a state of one packet:
-    a flow's fold is sequential, but its size doesn't matter for memory.
+    number) or comes over 5 s later; a gap over 120 s (TCP) or 60 s; a sequence jump over a million with a gap over 5 s; and, where
+    the packets have the columns of SIGNALS, DNS or DHCP packets over 10 s or HTTP ones over 30 s apart, or another DHCP transaction.
+    Without such columns, flows without a TCP packet take the window form. The rest are sorted, which spills, and read with a
+    state of one packet: a flow's fold is sequential, but its size doesn't matter for memory. Packets of equal time go by seq_no;
+    ones without an address go.
     """
-    rows = packets.where("src_ip <> '' and dst_ip <> ''").withColumn("session_key", net.session_key())
-    tcp = rows.where("transport = 'TCP'").withColumn("seq_num", F.col("seq_num").cast("long"))
-    ordered = tcp.repartition("session_key").sortWithinPartitions("session_key", "timestamp", "seq_no")
-    split = ordered.mapInArrow(_split, StructType([*ordered.schema.fields, StructField("generation", IntegerType())]))
-    named = split.unionByName(by_gap(packets.where("transport <> 'TCP'")))
+    rows = packets.where("src_ip <> '' and dst_ip <> ''").withColumn("session_key", net.session_key()).withColumn("seq_num", F.col("seq_num").cast("long"))
+    signals = any(c in packets.columns for names in SIGNALS.values() for c in names)
+    tcp = F.coalesce(F.col("transport") == "TCP", F.lit(False))
+    ordered = (rows if signals else rows.where(tcp)).repartition("session_key").sortWithinPartitions("session_key", "timestamp", "seq_no")
+    named = ordered.mapInArrow(_split, StructType([*ordered.schema.fields, StructField("generation", IntegerType())]))
+    if not signals:
+        named = named.unionByName(by_gap(packets.where(~tcp)).withColumn("seq_num", F.col("seq_num").cast("long")))
     return named.withColumn("session_id", F.when(F.col("generation") > 0, F.concat("session_key", F.lit("#"), F.col("generation").cast("string"))).otherwise(F.col("session_key")))
 
 
 def sessions(packets: DataFrame) -> DataFrame:
     """Sessions of packets that have session_id: totals, directions by the running initiator, TCP state, ranges.
 
+    Packets with window_size or ack_num also give the window's range and mean by direction, or the first and last number.
     The initiator of a packet is the sender of the last pure SYN up to it, else of the session's first packet.
     """
     order = Window.partitionBy("session_id").orderBy("timestamp", "seq_no")
@@ -84,7 +118,18 @@ def sessions(packets: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(c)
     sent = lambda c, x: F.sum(F.when(c, F.col(x)).otherwise(0))
     specific = F.min_by("protocol", F.when(F.col("protocol") != F.col("transport"), at))
+    more = []
+    if "window_size" in packets.columns:
+        for side, mine in (("fwd", forward), ("rev", ~forward)):
+            size = F.when(mine & (F.col("window_size") > 0), F.col("window_size"))
+            more += [F.min(size).alias(f"{side}_window_min"), F.max(size).alias(f"{side}_window_max"), F.avg(size).alias(f"{side}_window_avg")]
+    if "ack_num" in packets.columns:
+        known = F.when(F.col("ack_num") > 0, at)
+        more += [F.min_by("ack_num", known).alias("ack_first"), F.max_by("ack_num", known).alias("ack_last")]
+    names = ["fwd_window_min", "fwd_window_max", "fwd_window_avg", "rev_window_min", "rev_window_max", "rev_window_avg"] if "window_size" in packets.columns else []
+    names += ["ack_first", "ack_last"] if "ack_num" in packets.columns else []
     out = rows.groupBy(F.col("session_id").alias("id")).agg(
+        *more,
         F.max_by("_who", at).alias("who"), F.min_by("transport", at).alias("transport"), F.min_by("protocol", at).alias("_first"), specific.alias("_specific"),
         F.count(F.lit(1)).alias("packet_count"), F.sum("orig_len").alias("total_bytes"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
         count(forward).alias("fwd_packets"), sent(forward, "orig_len").alias("fwd_bytes"), count(~forward).alias("rev_packets"), sent(~forward, "orig_len").alias("rev_bytes"),
@@ -96,7 +141,7 @@ def sessions(packets: DataFrame) -> DataFrame:
         "id", "who.src_ip", "who.src_port", "who.dst_ip", "who.dst_port", "transport",
         F.when(F.col("_first") == F.col("transport"), F.coalesce("_specific", "_first")).otherwise(F.col("_first")).alias("protocol"),
         "packet_count", "total_bytes", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "fwd_packets", "fwd_bytes", "rev_packets", "rev_bytes",
-        ((F.col("syn") >= 2) & (F.col("ack") >= 1)).alias("has_handshake"), (F.col("fin") >= 1).alias("has_fin"), (F.col("rst") >= 1).alias("has_reset"), "ttl_min", "ttl_max", "seq_first", "seq_last",
+        ((F.col("syn") >= 2) & (F.col("ack") >= 1)).alias("has_handshake"), (F.col("fin") >= 1).alias("has_fin"), (F.col("rst") >= 1).alias("has_reset"), "ttl_min", "ttl_max", "seq_first", "seq_last", *names,
     )
 
 

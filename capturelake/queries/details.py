@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from capturelake.operators import detect, fields, graph
 from capturelake.operators import algorithms as alg
 from capturelake.queries.registry import Registry, text
-from capturelake.queries.sessions import GAPS, gap_sessions, named
+from capturelake.queries.graphs import parted, recursive
+from capturelake.queries.sessions import SESSIONS, SYS, built, named
 from capturelake.sources.capture_view import packets
 
 R = Registry()
@@ -28,7 +29,7 @@ def rich(s, d):
     return named(s, d).selectExpr("*", *[f"{v.format(s='STRING')} AS {k}" for k, v in EXTRA.items()])
 
 
-FIELDS = GAPS + f", x AS (SELECT *, {DUCK} FROM i) "
+FIELDS = SESSIONS + f", x AS (SELECT *, {DUCK} FROM i) "
 
 
 def field_query(name, protocol, columns):
@@ -46,7 +47,7 @@ R.add("a04_edge_details", lambda s, d: fields.edge_details(graph.with_ids(rich(s
 
 def session_fields(s, d):
     found = fields.accumulate(rich(s, d), ["tls", "http"]).withColumnsRenamed({"session_id": "id", "http_fwd_user_agents": "user_agents"})
-    return gap_sessions(s, d).join(found, "id")
+    return built(s, d).join(found, "id")
 
 
 def known(s):
@@ -57,24 +58,25 @@ HASHES = ", f AS (SELECT session_id, list_sort(list_distinct(list(ja3) FILTER (j
 R.add("n05_malicious_ja3", lambda s, d: detect.malicious_ja3(session_fields(s, d), known(s)),
       FIELDS + HASHES + ", h AS (SELECT id, start_time, list_filter(ja3, lambda y: y IN ('j3', 'j4', 'j5', 'j6', 'j7', 'j8'))[1] h FROM s) SELECT 'critical' severity, 'malicious_ja3' kind, id subject, concat('family', substr(h, 2), ' ', h) evidence, start_time first_seen FROM h WHERE h IS NOT NULL")
 R.add("n06_deprecated_tls", lambda s, d: detect.weak_tls(session_fields(s, d)), FIELDS + HASHES + "SELECT 'medium' severity, 'deprecated_tls' kind, id subject, 'TLS 1.0' evidence, start_time first_seen FROM s WHERE list_contains(v, 'TLS 1.0')")
-R.add("n07_user_agents", lambda s, d: detect.user_agents(session_fields(s, d)).drop("evidence"),
-      FIELDS + HASHES + "SELECT 'medium' severity, 'suspicious_ua' kind, concat(src_ip, ' -> ', dst_ip) subject, min(start_time) first_seen FROM s WHERE list_contains(u, 'Curl/8.0') OR list_contains(u, 'sqlmap') GROUP BY src_ip, dst_ip")
+R.add("n07_user_agents", lambda s, d: detect.user_agents(session_fields(s, d)),
+      FIELDS + HASHES + ", v AS (SELECT src_ip, dst_ip, start_time, id, lower(unnest(u)) ua FROM s), r AS (SELECT *, CASE WHEN contains(ua, 'curl/') THEN 'curl/' WHEN contains(ua, 'sqlmap') THEN 'sqlmap' END rule FROM v) SELECT 'medium' severity, 'suspicious_ua' kind, concat(src_ip, ' -> ', dst_ip) subject, first(rule ORDER BY start_time, id, ua) evidence, min(start_time) first_seen FROM r WHERE rule IS NOT NULL GROUP BY src_ip, dst_ip")
 R.add("n08_empty_user_agents", lambda s, d: detect.empty_user_agents(session_fields(s, d).withColumn("user_agents", F.when(F.col("total_bytes") % 2 == 0, F.col("user_agents")))),
       FIELDS + HASHES + "SELECT 'low' severity, 'empty_ua' kind, src_ip subject, CAST(count(*) AS VARCHAR) evidence, min(start_time) first_seen FROM s WHERE protocol = 'HTTP' AND (total_bytes % 2 <> 0 OR len(u) = 0) GROUP BY src_ip")
-R.add("n03_arp_spoofing", lambda s, d: detect.arp_spoofing(rich(s, d).withColumn("arp_src_ip", F.col("src_ip"))).drop("evidence"),
-      FIELDS + "SELECT 'high' severity, 'arp_spoofing' kind, src_ip subject, min(timestamp) first_seen FROM x GROUP BY src_ip HAVING count(DISTINCT arp_src_mac) >= 2")
+R.add("n03_arp_spoofing", lambda s, d: detect.arp_spoofing(rich(s, d).withColumn("arp_src_ip", F.col("src_ip"))),
+      FIELDS + ", m AS (SELECT src_ip, arp_src_mac, min(timestamp) t FROM x GROUP BY 1, 2) SELECT 'high' severity, 'arp_spoofing' kind, src_ip subject, string_agg(arp_src_mac, ',' ORDER BY t, arp_src_mac) evidence, min(t) first_seen FROM m GROUP BY src_ip HAVING count(*) >= 2")
 R.add("n04_arp_flood", lambda s, d: detect.arp_flood(rich(s, d).withColumns({"arp_src_ip": F.col("src_ip"), "arp_dst_ip": F.col("src_ip"), "arp_opcode": (F.col("seq_no") % 3).cast("int")})),
       FIELDS + "SELECT 'medium' severity, 'gratuitous_arp' kind, arp_src_mac subject, CAST(count(*) AS VARCHAR) evidence, min(timestamp) first_seen FROM x WHERE seq_no % 3 = 2 GROUP BY 3 HAVING count(*) >= 15")
 R.add("n12_dns_names", lambda s, d: detect.dns_names(rich(s, d).withColumns({"dns_qr": F.lit(1), "dns_answers": F.array("dst_ip", F.lit("not.an.address"))})).select("ip", text("names")),
       FIELDS + "SELECT dst_ip ip, array_to_string(list_sort(list_distinct(list(lower(dns_query)))), ',') AS names FROM x WHERE dns_query <> '' GROUP BY 1")
 R.add("n13_top_domains", lambda s, d: detect.top_domains(rich(s, d)), FIELDS + "SELECT lower(dns_query) \"domain\", count(*) n FROM x WHERE dns_query <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
-R.add("j08_enrich", lambda s, d: fields.enrich(graph.view_nodes(graph.with_ids(packets(s, d))), detect.fingerprints(packets(s, d)).select(F.col("ip").alias("key"), F.col("system").alias("value")), "system").select("id", F.col("system").isNotNull().alias("known")),
-      "SELECT id, id IN (SELECT src_ip FROM packets WHERE contains(tcp_flags_str, 'SYN')) AS known FROM (SELECT src_ip id FROM packets UNION SELECT dst_ip FROM packets)")
-R.add("f17_components", lambda s, d: fields.of_components(packets(s, d), alg.components(packets(s, d).select(F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"))), ["10.0.0.1"]).select("seq_no"), "SELECT seq_no FROM packets")
+R.add("j08_enrich", lambda s, d: fields.enrich(graph.view_nodes(graph.with_ids(packets(s, d))), detect.fingerprints(packets(s, d)).select(F.col("ip").alias("key"), F.col("system").alias("value")), "system").select("id", "system"),
+      SYS + "SELECT id, system FROM (SELECT src_ip id FROM packets UNION SELECT dst_ip FROM packets) LEFT JOIN g ON g.ip = id")
+R.add("f17_components", lambda s, d: fields.of_components(parted(s, d), alg.components(parted(s, d).select(F.col("src_ip").alias("a"), F.col("dst_ip").alias("b"))), ["10.0.0.1"]).select("seq_no"),
+      recursive("SELECT seq_no FROM parted WHERE src_ip IN (SELECT node FROM c WHERE component = '10.0.0.1') OR dst_ip IN (SELECT node FROM c WHERE component = '10.0.0.1')"), packets=False)
 R.add("f10_resolved", lambda s, d: fields.resolve(packets(s, d), s.sql("SELECT '10.0.0.1' AS ip, '10.0.0.2' AS host UNION ALL SELECT '10.0.0.3', 'fd00::3'"), include_ipv6=False).groupBy("src").agg(F.count(F.lit(1)).alias("n")),
       "SELECT CASE src_ip WHEN '10.0.0.1' THEN '10.0.0.2' ELSE src_ip END src, count(*) n FROM packets WHERE src_ip <> '10.0.0.3' GROUP BY 1")
-R.add("f24_search", lambda s, d: fields.search(*_view(s, d), gap_sessions(s, d), "10.0.0.15"),
-      GAPS + """, e AS (SELECT DISTINCT concat_ws('|', src_ip, dst_ip, protocol) id, src_ip, dst_ip FROM packets WHERE src_ip <> dst_ip), m AS (SELECT * FROM e WHERE contains(id, '10.0.0.15'))
+R.add("f24_search", lambda s, d: fields.search(*_view(s, d), built(s, d), "10.0.0.15"),
+      SESSIONS + """, e AS (SELECT DISTINCT concat_ws('|', src_ip, dst_ip, protocol) id, src_ip, dst_ip FROM packets WHERE src_ip <> dst_ip), m AS (SELECT * FROM e WHERE contains(id, '10.0.0.15'))
       SELECT 'session' kind, id FROM sessions WHERE contains(src_ip, '10.0.0.15') OR contains(dst_ip, '10.0.0.15') UNION ALL SELECT 'edge', id FROM m UNION ALL
       SELECT 'node', id FROM (SELECT src_ip id FROM m UNION SELECT dst_ip FROM m UNION SELECT src_ip FROM packets WHERE contains(src_ip, '10.0.0.15'))""")
 

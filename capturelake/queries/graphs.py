@@ -12,15 +12,18 @@ from capturelake.queries.registry import Registry
 from capturelake.sources.capture_view import packets
 
 R = Registry()
-#: A graph of several components: the pairs of rare ports. Only the queries whose SQL has this filter use it; each has
-#: one named ``_all`` beside it that reads all packets.
-SPARSE = "src_port = 40003 AND dst_port = 22"
-PAIRS = f"e AS (SELECT least(src_ip, dst_ip) a, greatest(src_ip, dst_ip) b, CAST(sum(orig_len) AS BIGINT) weight, count(*) packets FROM packets WHERE {SPARSE} GROUP BY 1, 2), "
+# All packets, with the far ends named after the near end's port: five groups that never talk to each other.
+FAR = "concat(dst_ip, '-', CAST(src_port % 5 AS {s}))"
+PAIRS = f"parted AS (SELECT * REPLACE ({FAR.format(s='VARCHAR')} AS dst_ip) FROM packets), e AS (SELECT least(src_ip, dst_ip) a, greatest(src_ip, dst_ip) b, CAST(sum(orig_len) AS BIGINT) weight, count(*) packets FROM parted GROUP BY 1, 2), "
 BOTH = "t AS (SELECT a, b FROM e UNION SELECT b, a FROM e) "
 
 
-def sparse(s, d):
-    return packets(s, d).where(SPARSE).groupBy(F.least("src_ip", "dst_ip").alias("a"), F.greatest("src_ip", "dst_ip").alias("b")).agg(F.sum("orig_len").alias("weight"), F.count(F.lit(1)).alias("packets"))
+def parted(s, d):
+    return packets(s, d).withColumn("dst_ip", F.expr(FAR.format(s="STRING")))
+
+
+def parted_pairs(s, d):
+    return parted(s, d).groupBy(F.least("src_ip", "dst_ip").alias("a"), F.greatest("src_ip", "dst_ip").alias("b")).agg(F.sum("orig_len").alias("weight"), F.count(F.lit(1)).alias("packets"))
 
 
 def talk(s, d):
@@ -48,23 +51,24 @@ def recursive(select: str) -> str:
     return COMPONENTS.replace("WITH RECURSIVE ", f"WITH RECURSIVE packets AS ({PACKETS_SQL}), ") + select
 
 
-R.add("g03_components", lambda s, d: alg.components(sparse(s, d)), recursive("SELECT * FROM c"), packets=False)
-R.add("g09_labelled_components", lambda s, d: alg.labelled(alg.components(sparse(s, d))).withColumn("cluster", F.col("cluster").cast("long")),
+R.add("g03_components", lambda s, d: alg.components(parted_pairs(s, d)), recursive("SELECT * FROM c"), packets=False)
+R.add("g09_labelled_components", lambda s, d: alg.labelled(alg.components(parted_pairs(s, d))).withColumn("cluster", F.col("cluster").cast("long")),
       recursive("SELECT node, CAST(rank - 1 AS BIGINT) AS cluster FROM c JOIN (SELECT component, row_number() OVER (ORDER BY count(*) DESC, min(node)) AS rank FROM c GROUP BY component HAVING count(*) >= 2) USING (component)"), packets=False)
-R.add("a45_component_summary", lambda s, d: alg.component_summary(sparse(s, d)).drop("top"),
+R.add("a45_component_summary", lambda s, d: alg.component_summary(parted_pairs(s, d)).drop("top"),
       recursive("SELECT component, nodes, edges, packets FROM (SELECT component, count(*) nodes FROM c GROUP BY 1) JOIN (SELECT component, count(*) edges, CAST(sum(packets) AS BIGINT) packets FROM e JOIN c ON c.node = e.a GROUP BY 1) USING (component) ORDER BY nodes DESC, component LIMIT 100"), packets=False)
 R.add("g06_core", lambda s, d: alg.core_clusters(talk(s, d), 2))
-TREE = "orig_len > 800 AND dst_port = 22"
-R.add("g07_hubs", lambda s, d: alg.hubs(packets(s, d).where(TREE).select(F.col("src_ip").alias("a"), F.col("dst_ip").alias("b")), 2).withColumn("cluster", F.col("cluster").cast("long")),
-      "WITH " + PAIRS.replace(SPARSE, TREE) + BOTH + ", d AS (SELECT a, count(*) n, min(b) hub FROM t GROUP BY a), l AS (SELECT a AS node, hub FROM d WHERE n = 1), h AS (SELECT hub, CAST(row_number() OVER (ORDER BY max(d.n) DESC, hub) - 1 AS BIGINT) AS cluster FROM l JOIN (SELECT a, n FROM d) d ON d.a = hub GROUP BY hub HAVING count(*) >= 2) SELECT node, cluster FROM l JOIN h USING (hub) UNION ALL SELECT hub, cluster FROM h")
-R.add("g08_equivalent", lambda s, d: alg.equivalent(sparse(s, d), 2).withColumn("cluster", F.col("cluster").cast("long")),
+# the near end with its service and length: most are leaves of one far end, some of several
+LEAF = "concat(src_ip, '#', CAST(dst_port AS {s}), '#', CAST(orig_len AS {s}))"
+R.add("g07_hubs", lambda s, d: numbered(alg.hubs(packets(s, d).select(F.expr(LEAF.format(s="STRING")).alias("a"), F.col("dst_ip").alias("b")), 2)),
+      f"WITH e AS (SELECT DISTINCT {LEAF.format(s='VARCHAR')} a, dst_ip b FROM packets), " + BOTH + ", d AS (SELECT a, count(*) n, min(b) hub FROM t GROUP BY a), l AS (SELECT a AS node, hub FROM d WHERE n = 1), h AS (SELECT hub, CAST(row_number() OVER (ORDER BY max(d.n) DESC, hub) - 1 AS BIGINT) AS cluster FROM l JOIN (SELECT a, n FROM d) d ON d.a = hub GROUP BY hub HAVING count(*) >= 2) SELECT node, cluster FROM l JOIN h USING (hub) UNION ALL SELECT hub, cluster FROM h")
+R.add("g08_equivalent", lambda s, d: alg.equivalent(parted_pairs(s, d), 2).withColumn("cluster", F.col("cluster").cast("long")),
       "WITH " + PAIRS + BOTH + ", k AS (SELECT a AS node, array_to_string(list_sort(list(b)), ',') k FROM t GROUP BY a), g AS (SELECT k, CAST(row_number() OVER (ORDER BY count(*) DESC, min(node)) - 1 AS BIGINT) AS cluster FROM k GROUP BY k HAVING count(*) >= 2) SELECT node, cluster FROM k JOIN g USING (k)")
 R.add("g04_paths", lambda s, d: alg.paths(talk(s, d), "10.0.0.4", "192.168.1.1", cutoff=3, most=20))
 R.add("g05_communities", lambda s, d: alg.communities(talk(s, d)))
 R.add("g10_centrality", lambda s, d: alg.centrality(talk(s, d)))
 R.add("n11_central_nodes", lambda s, d: alg.central_nodes(talk(s, d), talk(s, d).select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("bytes"))))
 
-# the same over all packets: without SQL, since a recursive one is quadratic in the whole graph's nodes
+# the same on the graph of all addresses as they are: without SQL, tested against brute force
 R.add("g03_components_all", lambda s, d: alg.components(talk(s, d)))
 R.add("g09_labelled_components_all", lambda s, d: numbered(alg.labelled(alg.components(talk(s, d)))))
 R.add("a45_component_summary_all", lambda s, d: alg.component_summary(talk(s, d)).drop("top"))

@@ -80,14 +80,10 @@ R.add("a19_buckets", lambda s, d: stats.buckets(packets(s, d)), BUCKETS.format(w
 R.add("a19_bucket_protocols", lambda s, d: stats.bucket_protocols(packets(s, d)), "SELECT CAST(floor((timestamp - t0) / 15) AS INT) bucket, protocol, count(*) n FROM packets, (SELECT min(timestamp) t0 FROM packets) GROUP BY 1, 2")
 
 
-def _sparse(s, d):
-    return packets(s, d).where("seq_no % 200 = 1")
-
-
-R.add("a20_gap_collapse", lambda s, d: stats.collapse_gaps(stats.buckets(_sparse(s, d), 1.0), 5.0, 0.01),
-      BUCKETS.replace("FROM packets", "FROM p").replace("WITH s", "WITH p AS (SELECT * FROM packets WHERE seq_no % 200 = 1), s").format(w=1, p="p") + """,
+R.add("a20_gap_collapse", lambda s, d: stats.collapse_gaps(stats.buckets(packets(s, d), 0.125), 0.25, 0.0001),
+      BUCKETS.format(w=0.125, p="packets") + """,
       r AS (SELECT *, sum(CASE WHEN packet_count = 0 AND prev = 0 THEN 0 ELSE 1 END) OVER (ORDER BY bucket) run FROM (SELECT *, lag(packet_count) OVER (ORDER BY bucket) prev FROM z)),
-      l AS (SELECT *, count(*) OVER (PARTITION BY run) len, ceil(greatest(5.0, (max(end_time) OVER () - min(start_time) OVER ()) * 0.01) / (end_time - start_time)) need FROM r),
+      l AS (SELECT *, count(*) OVER (PARTITION BY run) len, ceil(greatest(0.25, (max(end_time) OVER () - min(start_time) OVER ()) * 0.0001) / (end_time - start_time)) need FROM r),
       g AS (SELECT packet_count = 0 AND len >= need is_gap, CASE WHEN packet_count = 0 AND len >= need THEN -run ELSE bucket + 1 END k, * FROM l)
       SELECT CAST(row_number() OVER (ORDER BY min(start_time)) - 1 AS INT) AS "index", min(start_time) start_time, max(end_time) end_time, CAST(sum(packet_count) AS BIGINT) packet_count, CAST(sum(total_bytes) AS BIGINT) total_bytes, is_gap FROM g GROUP BY k, is_gap""")
 R.add("a20_gap_collapse_all", lambda s, d: stats.collapse_gaps(stats.buckets(packets(s, d), 1.0), 5.0, 0.01))

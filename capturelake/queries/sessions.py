@@ -12,11 +12,25 @@ from capturelake.sources.capture_view import packets
 
 R = Registry()
 KEY = "concat_ws('|', least(src_ip, dst_ip), greatest(src_ip, dst_ip), CAST(least(src_port, dst_port) AS VARCHAR), CAST(greatest(src_port, dst_port) AS VARCHAR), transport)"
-# generations from gaps alone; the fold's other signals are tested on cases made by hand
-GAPS = f"""WITH k AS (SELECT *, {KEY} AS session_key FROM packets),
+# the fold's rule, a packet of each flow at a time; protocol signals are tested on cases made by hand
+FOLD = f"""WITH k AS (SELECT *, {KEY} AS session_key, row_number() OVER (PARTITION BY {KEY} ORDER BY timestamp, seq_no) AS place FROM packets),
+ folded AS (SELECT session_key, place, timestamp AS last_seen, CASE WHEN transport = 'TCP' AND contains(tcp_flags_str, 'FIN') THEN timestamp ELSE CAST(0 AS DOUBLE) END AS closed,
+   CASE WHEN transport = 'TCP' THEN seq_num END AS seq, CASE WHEN transport = 'TCP' AND tcp_flags_str = 'SYN ACK' THEN seq_num END AS isn, CAST(0 AS INT) AS generation FROM k WHERE place = 1
+  UNION ALL
+  SELECT session_key, place, timestamp, CASE WHEN split THEN CAST(0 AS DOUBLE) WHEN transport = 'TCP' AND closed = 0 AND contains(tcp_flags_str, 'FIN') THEN timestamp ELSE closed END,
+   CASE WHEN transport = 'TCP' AND NOT split THEN seq_num END, CASE WHEN split THEN NULL WHEN transport = 'TCP' AND tcp_flags_str = 'SYN ACK' THEN seq_num ELSE isn END, CAST(generation + CASE WHEN split THEN 1 ELSE 0 END AS INT)
+  FROM (SELECT k.*, f.closed, f.isn, f.generation,
+     coalesce(transport = 'TCP' AND closed > 0 AND (tcp_flags_str = 'SYN' OR coalesce(tcp_flags_str = 'SYN ACK' AND seq_num <> isn, false) OR timestamp - closed > 5), false)
+     OR timestamp - last_seen > CASE transport WHEN 'TCP' THEN 120.0 ELSE 60.0 END
+     OR coalesce(transport = 'TCP' AND least(abs(seq_num - seq), 4294967296 - abs(seq_num - seq)) > 1000000 AND timestamp - last_seen > 5, false) AS split
+    FROM folded f JOIN k ON k.session_key = f.session_key AND k.place = f.place + 1)),
+ n AS (SELECT k.*, f.generation FROM k JOIN folded f ON k.session_key = f.session_key AND k.place = f.place),
+"""
+BY_GAP = f"""WITH k AS (SELECT *, {KEY} AS session_key FROM packets),
  g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w > CASE transport WHEN 'TCP' THEN 120.0 ELSE 60.0 END THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY session_key ORDER BY timestamp, seq_no)),
  n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY session_key ORDER BY timestamp, seq_no ROWS UNBOUNDED PRECEDING) AS INT) AS generation FROM g),
- i AS (SELECT *, CASE WHEN generation > 0 THEN concat(session_key, '#', CAST(generation AS VARCHAR)) ELSE session_key END AS session_id FROM n),
+"""
+BUILT = """ i AS (SELECT *, CASE WHEN generation > 0 THEN concat(session_key, '#', CAST(generation AS VARCHAR)) ELSE session_key END AS session_id FROM n),
  w AS (SELECT *, coalesce(last_value(CASE WHEN tcp_flags_str = 'SYN' THEN struct_pack(s := src_ip, sp := src_port, d := dst_ip, dp := dst_port) END IGNORE NULLS) OVER o, first_value(struct_pack(s := src_ip, sp := src_port, d := dst_ip, dp := dst_port)) OVER o) AS who
        FROM i WINDOW o AS (PARTITION BY session_id ORDER BY timestamp, seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
  sessions AS (SELECT session_id AS id, last(who ORDER BY timestamp, seq_no).s AS src_ip, last(who ORDER BY timestamp, seq_no).sp AS src_port, last(who ORDER BY timestamp, seq_no).d AS dst_ip, last(who ORDER BY timestamp, seq_no).dp AS dst_port,
@@ -25,25 +39,30 @@ GAPS = f"""WITH k AS (SELECT *, {KEY} AS session_key FROM packets),
    count(*) FILTER (contains(tcp_flags_str, 'SYN')) >= 2 AND count(*) FILTER (contains(tcp_flags_str, 'ACK')) >= 1 AS has_handshake, count(*) FILTER (contains(tcp_flags_str, 'FIN')) >= 1 AS has_fin, count(*) FILTER (contains(tcp_flags_str, 'RST')) >= 1 AS has_reset,
    min(ttl) AS ttl_min, max(ttl) AS ttl_max, first(seq_num ORDER BY timestamp, seq_no) AS seq_first, last(seq_num ORDER BY timestamp, seq_no) AS seq_last
    FROM w GROUP BY session_id) """
+SESSIONS = FOLD + BUILT
 
 
 def named(s, d):
-    rows = ses.by_gap(packets(s, d))
-    return rows.withColumn("session_id", F.when(F.col("generation") > 0, F.concat("session_key", F.lit("#"), F.col("generation").cast("string"))).otherwise(F.col("session_key")))
+    return ses.with_generations(packets(s, d))
 
 
-def gap_sessions(s, d):
+def built(s, d):
     return ses.sessions(named(s, d))
 
 
+def named_by_gap(s, d):
+    rows = ses.by_gap(packets(s, d))
+    return rows.withColumn("session_id", F.when(F.col("generation") > 0, F.concat("session_key", F.lit("#"), F.col("generation").cast("string"))).otherwise(F.col("session_key")))
+
+
 def add(name, query, select):
-    R.add(name, lambda s, d: query(gap_sessions(s, d)), GAPS + select)
+    R.add(name, lambda s, d: query(built(s, d)), SESSIONS + select)
 
 
-R.add("a22_gap_generations", lambda s, d: named(s, d).select("seq_no", "session_id", "generation"), GAPS + "SELECT seq_no, session_id, generation FROM i")
-R.add("a22_fold_generations", lambda s, d: ses.with_generations(packets(s, d)).select("seq_no", "session_id", "generation"))
-R.add("a21_fold_sessions", lambda s, d: ses.sessions(ses.with_generations(packets(s, d))))
-add("a21_sessions", lambda x: x, "SELECT * FROM sessions")
+R.add("a22_gap_generations", lambda s, d: named_by_gap(s, d).select("seq_no", "session_id", "generation"), BY_GAP + BUILT + "SELECT seq_no, session_id, generation FROM i")
+R.add("a22_fold_generations", lambda s, d: named(s, d).select("seq_no", "session_id", "generation"), SESSIONS + "SELECT seq_no, session_id, generation FROM i")
+R.add("a21_sessions", lambda s, d: ses.sessions(named_by_gap(s, d)), BY_GAP + BUILT + "SELECT * FROM sessions")
+add("a21_fold_sessions", lambda x: x, "SELECT * FROM sessions")
 add("a18_session_counters", lambda x: x.agg(F.count_if("has_handshake").alias("handshakes"), F.count_if("has_reset").alias("resets"), F.count_if("has_fin").alias("fins"), F.count(F.lit(1)).alias("sessions")),
     "SELECT count(*) FILTER (has_handshake) handshakes, count(*) FILTER (has_reset) resets, count(*) FILTER (has_fin) fins, count(*) sessions FROM sessions")
 add("a41_edge_initiators", ses.edge_initiators, "SELECT least(src_ip, dst_ip) a, greatest(src_ip, dst_ip) b, CASE WHEN min(src_ip) = max(src_ip) THEN min(src_ip) ELSE 'both' END initiator FROM sessions GROUP BY 1, 2")
@@ -51,16 +70,16 @@ add("o01_session_page", lambda x: ses.page(x, limit=50, offset=25).select("id",
 add("f19_session_search", lambda x: filters.search_sessions(x, "113.3").select("id"), "SELECT id FROM sessions WHERE contains(src_ip, '113.3') OR contains(dst_ip, '113.3')")
 add("t03_session_cards", lambda x: x.select("id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "transport", "packet_count", "total_bytes", "duration"), "SELECT id, src_ip, dst_ip, src_port, dst_port, protocol, transport, packet_count, total_bytes, duration FROM sessions")
 E_SQL = ", e AS (SELECT DISTINCT concat_ws('|', src_ip, dst_ip, protocol) id, least(src_ip, dst_ip) a, greatest(src_ip, dst_ip) b, protocol FROM packets WHERE src_ip <> dst_ip) "
-R.add("j01_edge_sessions", lambda s, d: ses.of_edges(gap_sessions(s, d), graph.view_edges(graph.with_ids(packets(s, d)))),
-      GAPS + E_SQL + "SELECT DISTINCT e.id AS edge, s.id AS session FROM e JOIN sessions s ON a = least(src_ip, dst_ip) AND b = greatest(src_ip, dst_ip) AND (s.protocol = e.protocol OR s.transport = e.protocol)")
+R.add("j01_edge_sessions", lambda s, d: ses.of_edges(built(s, d), graph.view_edges(graph.with_ids(packets(s, d)))),
+      SESSIONS + E_SQL + "SELECT DISTINCT e.id AS edge, s.id AS session FROM e JOIN sessions s ON a = least(src_ip, dst_ip) AND b = greatest(src_ip, dst_ip) AND (s.protocol = e.protocol OR s.transport = e.protocol)")
 NET = "regexp_replace(%s, '[.][0-9]+$', '.0/24')"
-R.add("j01_subnet_edge_sessions", lambda s, d: ses.of_subnet_edges(gap_sessions(s, d), graph.view_edges(graph.with_ids(packets(s, d), 24)), 24).groupBy("edge").agg(F.count(F.lit(1)).alias("n")),
-      GAPS + f", e AS (SELECT DISTINCT concat_ws('|', x, y, protocol) id, least(x, y) a, greatest(x, y) b, protocol FROM (SELECT *, {NET % 'src_ip'} x, {NET % 'dst_ip'} y FROM packets) WHERE x <> y) SELECT e.id AS edge, count(DISTINCT s.id) n FROM e JOIN sessions s ON a = least({NET % 'src_ip'}, {NET % 'dst_ip'}) AND b = greatest({NET % 'src_ip'}, {NET % 'dst_ip'}) AND (s.protocol = e.protocol OR s.transport = e.protocol) GROUP BY 1")
-R.add("j04_session_packets", lambda s, d: named(s, d).where("src_ip = '10.0.0.1' or dst_ip = '10.0.0.1'").select("session_id", "seq_no"), GAPS + "SELECT session_id, seq_no FROM i WHERE src_ip = '10.0.0.1' OR dst_ip = '10.0.0.1'")
-R.add("f21_exact_sessions", lambda s, d: gap_sessions(s, d).join(named(s, d).where("protocol = 'SSH' and orig_len > 300").select(F.col("session_id").alias("id")).distinct(), "id", "left_semi").select("id"),
-      GAPS + "SELECT DISTINCT session_id AS id FROM i WHERE protocol = 'SSH' AND orig_len > 300")
-R.add("a12_node_sessions", lambda s, d: gap_sessions(s, d).select(F.explode(F.array("src_ip", "dst_ip")).alias("ip"), "id").groupBy("ip").agg(F.count_distinct("id").alias("sessions")),
-      GAPS + "SELECT ip, count(DISTINCT id) sessions FROM (SELECT src_ip ip, id FROM sessions UNION ALL SELECT dst_ip, id FROM sessions) GROUP BY ip")
+R.add("j01_subnet_edge_sessions", lambda s, d: ses.of_subnet_edges(built(s, d), graph.view_edges(graph.with_ids(packets(s, d), 24)), 24).groupBy("edge").agg(F.count(F.lit(1)).alias("n")),
+      SESSIONS + f", e AS (SELECT DISTINCT concat_ws('|', x, y, protocol) id, least(x, y) a, greatest(x, y) b, protocol FROM (SELECT *, {NET % 'src_ip'} x, {NET % 'dst_ip'} y FROM packets) WHERE x <> y) SELECT e.id AS edge, count(DISTINCT s.id) n FROM e JOIN sessions s ON a = least({NET % 'src_ip'}, {NET % 'dst_ip'}) AND b = greatest({NET % 'src_ip'}, {NET % 'dst_ip'}) AND (s.protocol = e.protocol OR s.transport = e.protocol) GROUP BY 1")
+R.add("j04_session_packets", lambda s, d: named(s, d).where("src_ip = '10.0.0.1' or dst_ip = '10.0.0.1'").select("session_id", "seq_no"), SESSIONS + "SELECT session_id, seq_no FROM i WHERE src_ip = '10.0.0.1' OR dst_ip = '10.0.0.1'")
+R.add("f21_exact_sessions", lambda s, d: built(s, d).join(named(s, d).where("protocol = 'SSH' and orig_len > 300").select(F.col("session_id").alias("id")).distinct(), "id", "left_semi").select("id"),
+      SESSIONS + "SELECT DISTINCT session_id AS id FROM i WHERE protocol = 'SSH' AND orig_len > 300")
+R.add("a12_node_sessions", lambda s, d: built(s, d).select(F.explode(F.array("src_ip", "dst_ip")).alias("ip"), "id").groupBy("ip").agg(F.count_distinct("id").alias("sessions")),
+      SESSIONS + "SELECT ip, count(DISTINCT id) sessions FROM (SELECT src_ip ip, id FROM sessions UNION ALL SELECT dst_ip, id FROM sessions) GROUP BY ip")
 SCAN = "SELECT CASE WHEN ports >= {high} THEN 'high' ELSE 'medium' END severity, '{kind}' kind, concat(src_ip, ' -> ', dst_ip) subject, concat(ports, ' ports') evidence, first_seen FROM (SELECT src_ip, dst_ip, count(DISTINCT dst_port) ports, count(*) n, count(*) FILTER (NOT has_handshake) o, min(start_time) first_seen FROM sessions WHERE transport = '{t}' GROUP BY 1, 2) WHERE ports >= {p} {extra}"
 add("n01_port_scan", lambda x: detect.port_scans(x, ports=4, high=5), SCAN.format(high=5, kind="tcp_port_scan", t="TCP", p=4, extra="AND o / n >= 0.6"))
 add("n02_udp_port_scan", lambda x: detect.port_scans(x, "UDP", ports=1, high=5), SCAN.format(high=5, kind="udp_port_scan", t="UDP", p=1, extra=""))

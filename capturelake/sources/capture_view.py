@@ -33,7 +33,7 @@ PACKETS_SQL = _BODY.format(us="epoch_us(ts)", u250="(user_id // 250)", k="json_e
 
 def with_packets(sql: str) -> str:
     """SQL over ``packets`` (and ``events``) for the checking engine."""
-    return f"WITH packets AS ({PACKETS_SQL}), {sql[5:]}" if sql.lstrip()[:5].upper() == "WITH " else f"WITH packets AS ({PACKETS_SQL}) {sql}"
+    return f"WITH RECURSIVE packets AS ({PACKETS_SQL}), {sql[5:]}" if sql.lstrip()[:5].upper() == "WITH " else f"WITH packets AS ({PACKETS_SQL}) {sql}"
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

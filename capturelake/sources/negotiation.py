@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from capturelake.sources import text_logs
 from capturelake.sources.text_logs import RENAMES
@@ -78,12 +80,8 @@ def read(spark: SparkSession, path: str, source: str | None = None, mapping: dic
 
 
 def merge(*captures: DataFrame) -> DataFrame:
-    """Several captures as one, in order of time."""
-    from pyspark.sql import functions as F
-
+    """Several captures as one. A packet's number is its own times the number of captures, and its capture's place."""
     if len(captures) == 1:
         return captures[0]
-    out = captures[0]
-    for df in captures[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out.orderBy("timestamp", "seq_no").withColumn("seq_no", F.monotonically_increasing_id())
+    numbered = [df.withColumn("seq_no", F.col("seq_no") * len(captures) + n) for n, df in enumerate(captures)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)

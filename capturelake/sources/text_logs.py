@@ -16,26 +16,40 @@ DEFAULTS = {
 
 
 def as_packets(df: DataFrame, columns: dict[str, Column], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Packet rows: the given columns, defaults for the others, extra columns, and seq_no by time and line.
+    """Packet rows: the given columns, defaults for the others, extra columns, and seq_no.
 
-    Rows without an address or a time go. seq_no is a number that grows with (timestamp, line) in a sort of all rows.
+    Rows without an address or a time go. seq_no is the row's place in its source (file part and line), so it is the same in every
+    branch of a plan that reads the same files; with the timestamp it orders the packets.
     """
     chosen = {c: F.coalesce(columns[c].cast(kind), F.lit(value).cast(kind)) if c in columns else F.lit(value).cast(kind) for c, (kind, value) in DEFAULTS.items()}
     rows = df.select(*[v.alias(k) for k, v in chosen.items()], *[v.alias(k) for k, v in (extra or {}).items()], *([F.col("_line")] if "_line" in df.columns else []))
     rows = rows.where("src_ip <> '' and dst_ip <> '' and timestamp > 0")
-    line = "_line" if "_line" in rows.columns else "src_ip"
-    return rows.orderBy("timestamp", line).withColumn("seq_no", F.monotonically_increasing_id()).drop("_line")
+    line = F.col("_line") if "_line" in rows.columns else F.monotonically_increasing_id()
+    return rows.withColumn("seq_no", line).drop("_line")
 
 
-def read_fields_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log whose '#fields' line names the columns: other '#' lines and rows of another width are skipped, '-' is null."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
-    header = lines.where(F.col("value").startswith("#fields")).orderBy("_line").limit(1).collect()
-    if not header:
-        raise ValueError(f"{path}: no #fields line")
-    names = header[0]["value"].split("\t")[1:]
-    parts = lines.where(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p"), "_line").where(F.size("p") == len(names))
-    return parts.select(*[net.clean(F.col("p")[i]).alias(n) for i, n in enumerate(names)], "_line")
+def read_fields_log(spark: SparkSession, *paths: str) -> DataFrame:
+    """A log whose '#fields' line names the columns: other '#' lines and rows of another width are skipped, '-' is null.
+
+    Each file's first header names its columns; where all headers are one, it holds for files without one too. The driver
+    sees a line for each different header. Columns that a file lacks are null.
+    """
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    headers = lines.where(F.col("value").startswith("#fields")).groupBy("_file").agg(F.min_by("value", "_line").alias("_header"))
+    layouts = sorted(r[0] for r in headers.select("_header").distinct().collect())
+    if not layouts:
+        raise ValueError(f"{', '.join(paths)}: no #fields line")
+    rows = lines.where(~F.col("value").startswith("#"))
+    if len(layouts) > 1:
+        rows = rows.join(headers, "_file")
+    out = None
+    for header in layouts:
+        names = header.split("\t")[1:]
+        mine = rows.where(F.col("_header") == header) if len(layouts) > 1 else rows
+        parts = mine.select(F.split("value", "\t").alias("p"), "_line").where(F.size("p") == len(names))
+        part = parts.select(*[net.clean(F.col("p")[i]).alias(n) for i, n in enumerate(names)], "_line")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def _c(df: DataFrame, name: str) -> Column:
@@ -106,7 +120,7 @@ def dce_rpc(df: DataFrame) -> DataFrame:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated export, names in its first line; a row with one leading value more (an index) loses it, others of another width go."""
+    """A tab-separated export, names in its first line; a row with one leading value more (an index) loses it, others of another width go. The header may come again, as in several files."""
     lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
     first = lines.orderBy("_line").limit(1).collect()
     if not first:
@@ -114,7 +128,7 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     names, at = first[0]["value"].split("\t"), first[0]["_line"]
     n = len(names)
     p = F.split("value", "\t")
-    parts = lines.where(F.col("_line") != at).select(F.when(F.size(p) == n + 1, F.slice(p, 2, n)).otherwise(p).alias("p"), "_line").where(F.size("p") == n)
+    parts = lines.where((F.col("_line") != at) & (F.col("value") != first[0]["value"])).select(F.when(F.size(p) == n + 1, F.slice(p, 2, n)).otherwise(p).alias("p"), "_line").where(F.size("p") == n)
     return parts.select(*[net.clean(F.col("p")[i]).alias(name) for i, name in enumerate(names)], "_line")
 
 

@@ -49,13 +49,30 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert got == want
 
 
-def test_the_rest_stands_without_the_training_data_operators(tmp_path):
-    """A copy without those folders still imports, with the other queries."""
-    root = Path(entry.__file__).parent
+@pytest.mark.parametrize("left", [(), ("__pycache__",)])
+def test_the_rest_stands_without_the_training_data_operators(tmp_path, left):
+    """A copy of the whole tree without the two llm folders still imports, with the other queries and their SQL; also if the
+    folder stays with caches alone."""
     import shutil
 
-    shutil.copytree(root / "capturelake", tmp_path / "capturelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'a03_view_edges' in q and not any(k.startswith('op') or k == 'pipeline' for k in q if k[2:3].isdigit() or k == 'pipeline'); print(len(q))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp"})
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache"))
+    assert (tmp_path / "r/corpus_pipeline.py").exists()
+    for name in left:
+        (tmp_path / "r/capturelake/llm" / name).mkdir(parents=True)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'a03_view_edges' in q and 'pipeline' not in q and not any(k[2:3].isdigit() and k.startswith('op') for k in q) and set(s) <= set(q); print(len(q))"
+    env = {"PATH": "/usr/bin:/bin", "HOME": "/tmp"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
     assert done.returncode == 0, done.stderr
+    assert int(done.stdout) == len(CORE)
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
+    assert done.returncode == 0, done.stdout + done.stderr
+
+
+def test_other_missing_modules_are_errors(monkeypatch):
+    def missing(name):
+        raise ModuleNotFoundError("no", name="somewhere.else")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()

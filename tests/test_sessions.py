@@ -46,3 +46,37 @@ def test_metrics_follow_the_running_initiator(spark):
 
 def test_empty(spark):
     assert ses.sessions(ses.with_generations(spark.createDataFrame([], COLUMNS))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("column", "rows", "want"),
+    [
+        ("dns_query string", [(0, "a"), (9, "b"), (19.5, "c"), (25, None), (29, "d")], [0, 0, 1, 1, 1]),
+        ("http_host string", [(0, "a"), (30, "b"), (60.5, "c"), (85, "")], [0, 0, 1, 1]),
+        ("dhcp_xid long", [(0, 7), (1, 7), (2, 8), (13, 8), (14, 7)], [0, 0, 1, 2, 3]),
+    ],
+)
+@pytest.mark.parametrize("transport", ["UDP", "TCP"])
+def test_protocol_boundaries(spark, column, rows, want, transport):
+    data = [(*packet(n, at, "ACK", 1, transport=transport), value) for n, (at, value) in enumerate(rows)]
+    found = ses.with_generations(spark.createDataFrame(data, f"{COLUMNS}, {column}")).collect()
+    assert [r["generation"] for r in sorted(found, key=lambda r: r["seq_no"])] == want
+
+
+def test_window_and_acknowledgement_columns(spark):
+    data = [(*packet(n, n, "ACK", 1, back=n % 2 == 1), size, ack) for n, (size, ack) in enumerate([(100, 0), (50, 7), (300, 9), (0, 11)])]
+    (one,) = ses.sessions(ses.with_generations(spark.createDataFrame(data, f"{COLUMNS}, window_size int, ack_num long"))).collect()
+    assert (one["fwd_window_min"], one["fwd_window_max"], one["fwd_window_avg"]) == (100, 300, 200.0)
+    assert (one["rev_window_min"], one["rev_window_max"], one["ack_first"], one["ack_last"]) == (50, 50, 7, 11)
+
+
+def test_capture_runs_every_detector_it_has_columns_for(spark):
+    from capturelake.capture import Capture
+
+    data = [(*packet(n, n / 10, "ACK", 1, protocol="HTTP"), "sqlmap/1.0", "TLS 1.0", "bad", "10.0.0.1", f"m{n % 2}", "10.0.0.1", 2) for n in range(40)]
+    columns = f"{COLUMNS}, http_user_agent string, tls_selected_version string, ja3 string, arp_src_ip string, arp_src_mac string, arp_dst_ip string, arp_opcode int"
+    rows = Capture(spark.createDataFrame(data, columns)).alerts(spark.createDataFrame([("bad", "family")], "hash string, name string")).collect()
+    assert {(r["severity"], r["kind"]) for r in rows} == {("critical", "malicious_ja3"), ("high", "arp_spoofing"), ("medium", "gratuitous_arp"), ("medium", "deprecated_tls"), ("medium", "suspicious_ua")}
+    assert [r["severity"] for r in rows][:2] == ["critical", "high"]
+    plain = Capture(spark.createDataFrame([packet(1, 0)], COLUMNS)).alerts().collect()
+    assert plain == []
