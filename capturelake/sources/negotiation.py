@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capturelake import scratch
 from capturelake.sources import text_logs
 from capturelake.sources.text_logs import RENAMES
 
@@ -80,8 +81,10 @@ def read(spark: SparkSession, path: str, source: str | None = None, mapping: dic
 
 
 def merge(*captures: DataFrame) -> DataFrame:
-    """Several captures as one. A packet's number is its own times the number of captures, and its capture's place."""
+    """Several captures as one, numbered anew in order of time; of equal times and numbers the earlier capture's packet first.
+    Checkpointed with its numbers, as each source is."""
     if len(captures) == 1:
         return captures[0]
-    numbered = [df.withColumn("seq_no", F.col("seq_no") * len(captures) + n) for n, df in enumerate(captures)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
+    placed = [df.withColumn("_capture", F.lit(n)) for n, df in enumerate(captures)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed).orderBy("timestamp", "seq_no", "_capture")
+    return scratch.cut(rows.withColumn("seq_no", F.monotonically_increasing_id()).drop("_capture"))

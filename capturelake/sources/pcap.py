@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capturelake import scratch
 from capturelake.functions.net import FLAG_BITS
 
 SCHEMA = "timestamp double, src_mac string, dst_mac string, src_ip string, dst_ip string, ip_version int, ttl int, src_port int, dst_port int, transport string, tcp_flags_str string, seq_num long, ack_num long, window_size int, orig_len long, payload_len long, raw binary"
@@ -83,8 +84,8 @@ def read(spark: SparkSession, path: str, time_range: tuple[float, float] | None
                 yield pd.DataFrame(rows, columns=names)
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
-    # by file and record: the same in every branch of a plan
-    return rows.withColumn("seq_no", F.monotonically_increasing_id())
+    # checkpointed with its numbers, so that every branch of a plan sees the same ones
+    return scratch.cut(rows.orderBy("timestamp", "src_ip", "src_port", "seq_num").withColumn("seq_no", F.monotonically_increasing_id()))
 
 
 def slice_bytes(packets: DataFrame) -> DataFrame:

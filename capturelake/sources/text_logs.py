@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capturelake import scratch
 from capturelake.functions import net
 
 #: Columns every packet source gives, with their defaults.
@@ -16,16 +17,16 @@ DEFAULTS = {
 
 
 def as_packets(df: DataFrame, columns: dict[str, Column], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Packet rows: the given columns, defaults for the others, extra columns, and seq_no.
+    """Packet rows: the given columns, defaults for the others, extra columns, and seq_no by time and line.
 
-    Rows without an address or a time go. seq_no is the row's place in its source (file part and line), so it is the same in every
-    branch of a plan that reads the same files; with the timestamp it orders the packets.
+    Rows without an address or a time go. seq_no is a number that grows with (timestamp, line) in a sort of all rows. The rows
+    are checkpointed with it, so that every branch of a plan sees one numbering.
     """
     chosen = {c: F.coalesce(columns[c].cast(kind), F.lit(value).cast(kind)) if c in columns else F.lit(value).cast(kind) for c, (kind, value) in DEFAULTS.items()}
     rows = df.select(*[v.alias(k) for k, v in chosen.items()], *[v.alias(k) for k, v in (extra or {}).items()], *([F.col("_line")] if "_line" in df.columns else []))
     rows = rows.where("src_ip <> '' and dst_ip <> '' and timestamp > 0")
-    line = F.col("_line") if "_line" in rows.columns else F.monotonically_increasing_id()
-    return rows.withColumn("seq_no", line).drop("_line")
+    line = "_line" if "_line" in rows.columns else "src_ip"
+    return scratch.cut(rows.orderBy("timestamp", line).withColumn("seq_no", F.monotonically_increasing_id()).drop("_line"))
 
 
 def read_fields_log(spark: SparkSession, *paths: str) -> DataFrame:
