@@ -30,28 +30,53 @@ FEATURES = {
 }
 
 
-def _repeated(words: Column) -> Column:
-    """Words that lie in a window of three words which the text has twice or more."""
+def _covered(places: Column) -> Column:
+    """Words under windows of three that start at the places (sorted)."""
+    return let(places, lambda p: F.aggregate(
+        F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), x - F.coalesce(F.get(p, i - 1), F.lit(-3).cast("long")))),
+        F.lit(0).cast("long"), lambda total, x: total + x))
+
+
+def _repeated(words: Column, key=F.xxhash64) -> Column:
+    """Words that lie in a window of three words which the text has twice or more.
+
+    Windows are sorted by ``key`` (a 64-bit hash of three words), and neighbours that agree are compared word by word.
+    A text in which different windows agree is sorted by the words themselves, so the count is exact for every key.
+    """
 
     def count(w: Column) -> Column:
         n = F.size(w)
         # a window is one long: its hash in the upper bits, its place in as many lower bits as the text needs
         bits = (F.floor(F.log2(n.cast("double"))) + 1).cast("int")
+        places = F.sequence(F.lit(0), n - 3)
+        top = lambda x, b: F.call_function("shiftright", x, b)
+        place = lambda x, b: x - F.call_function("shiftleft", top(x, b), b)
+        packed = lambda b: F.transform(places, lambda i: F.call_function("shiftleft", top(key(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b), b).bitwiseOR(i.cast("long")))
+
+        def clash(s: Column, b: Column) -> Column:
+            """Whether two neighbours agree in their hash but not in their words."""
 
-        def packed(b: Column) -> Column:
-            place = F.sequence(F.lit(0), n - 3)
-            return F.transform(place, lambda i: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), b), b).bitwiseOR(i.cast("long")))
+            def differ(x: Column, y: Column) -> Column:
+                return let(place(x, b).cast("int"), lambda i: let(place(y, b).cast("int"), lambda j: (F.get(w, i) != F.get(w, j)) | (F.get(w, i + 1) != F.get(w, j + 1)) | (F.get(w, i + 2) != F.get(w, j + 2))))
 
-        def covered(s: Column, b: Column) -> Column:
-            top = lambda x: F.call_function("shiftright", x, b)
-            like = lambda x, y: F.coalesce(top(x) == top(y), F.lit(False))
+            pairs = F.transform(s, lambda x, i: F.when((i > 0) & (top(x, b) == top(F.get(s, i - 1), b)), differ(x, F.get(s, i - 1))).otherwise(F.lit(False)))
+            return F.exists(pairs, lambda x: x)
+
+        def by_hash(s: Column, b: Column) -> Column:
+            like = lambda x, y: F.coalesce(top(x, b) == top(y, b), F.lit(False))
             twice = F.filter(s, lambda x, i: like(x, F.get(s, i - 1)) | like(x, F.get(s, i + 1)))
-            places = F.sort_array(F.transform(twice, lambda x: x - F.call_function("shiftleft", top(x), b)))
-            return let(places, lambda p: F.aggregate(
-                F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), x - F.coalesce(F.get(p, i - 1), F.lit(-3).cast("long")))),
-                F.lit(0).cast("long"), lambda total, x: total + x))
+            return _covered(F.sort_array(F.transform(twice, lambda x: place(x, b))))
+
+        def by_words() -> Column:
+            windows = F.sort_array(F.transform(places, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("at"))))
+
+            def twice(s: Column) -> Column:
+                like = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+                return F.filter(s, lambda x, i: like(x, F.get(s, i - 1)) | like(x, F.get(s, i + 1)))
+
+            return _covered(F.sort_array(F.transform(let(windows, twice), lambda x: x["at"])))
 
-        return let(bits, lambda b: let(F.sort_array(packed(b)), lambda s: covered(s, b)))
+        return let(bits, lambda b: let(F.sort_array(packed(b)), lambda s: F.when(clash(s, b), by_words()).otherwise(by_hash(s, b))))
 
     return F.when(F.size(words) >= 3, let(words, count)).otherwise(F.lit(0).cast("long"))
 
