@@ -1,4 +1,4 @@
-"""Repeated passages by prefix doubling on ranked positions."""
+"""Runs of byte windows by their anchors, and a walk over sorted ranks in constant memory."""
 
 from __future__ import annotations
 
@@ -10,6 +10,14 @@ LENGTH = 100
 GRAM = 32
 
 
+def _lesser(least: np.ndarray, where: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value and the one ``step`` on, the lesser with its place; the left one of equals."""
+    if not step:
+        return least, where
+    right = least[step:] < least[:-step]
+    return np.where(right, least[step:], least[:-step]), np.where(right, where[step:], where[:-step])
+
+
 def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Splits all window starts of the texts by the anchor of their window.
 
@@ -27,17 +35,17 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         return (empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)), prefix, starts
     at = np.arange(n - gram + 1)
     ranks = prefix.hashes(at, at + gram)
-    bits = np.uint64(int(n).bit_length())
-    least = ((ranks >> bits) << bits) | at.astype(np.uint64)
+    # the least whole hash of each window and the leftmost place that has it: nothing of it depends on the slice
+    least, where = ranks, at
     span, width = 1, length - gram + 1
     while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
+        least, where = _lesser(least, where, span)
         span *= 2
-    least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    _, where = _lesser(least, where, width - span)
     text = np.repeat(np.arange(len(texts)), counts)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     place = np.arange(len(text)) - first[text] + starts[text]
-    anchor = (least[place] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = where[place]
     new = np.ones(len(place), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     begin = np.flatnonzero(new)
