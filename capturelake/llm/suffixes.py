@@ -18,6 +18,21 @@ def _lesser(least: np.ndarray, where: np.ndarray, step: int) -> tuple[np.ndarray
     return np.where(right, least[step:], least[:-step]), np.where(right, where[step:], where[:-step])
 
 
+def _least_places(ranks: np.ndarray, width: int, block: int = 1 << 17) -> np.ndarray:
+    """The leftmost place of the least of every ``width`` neighbouring ranks. Blocks keep what it needs beside the result small."""
+    n = len(ranks) - width + 1
+    places = np.empty(n, np.int32 if len(ranks) < 1 << 31 else np.int64)
+    for a in range(0, n, block):
+        b = min(a + block, n)
+        least, where = ranks[a : b + width - 1], np.arange(a, b + width - 1, dtype=places.dtype)
+        span = 1
+        while span * 2 <= width:
+            least, where = _lesser(least, where, span)
+            span *= 2
+        places[a:b] = _lesser(least, where, width - span)[1]
+    return places
+
+
 def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Splits all window starts of the texts by the anchor of their window.
 
@@ -35,17 +50,13 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         return (empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)), prefix, starts
     at = np.arange(n - gram + 1)
     ranks = prefix.hashes(at, at + gram)
-    # the least whole hash of each window and the leftmost place that has it: nothing of it depends on the slice
-    least, where = ranks, at
-    span, width = 1, length - gram + 1
-    while span * 2 <= width:
-        least, where = _lesser(least, where, span)
-        span *= 2
-    _, where = _lesser(least, where, width - span)
+    del at
+    # whole hashes, leftmost of equals: nothing of an anchor depends on the slice
+    least = _least_places(ranks, length - gram + 1)
     text = np.repeat(np.arange(len(texts)), counts)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     place = np.arange(len(text)) - first[text] + starts[text]
-    anchor = where[place]
+    anchor = least[place]
     new = np.ones(len(place), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     begin = np.flatnonzero(new)
