@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from capturelake.llm.audio import op7_audio
+from capturelake.llm.fim import FIM_SQL, op11_fill_in_middle
 from capturelake.llm.mixing import MIX_SQL, op8_mixing
 from capturelake.llm.near_dup import op1_near_dup
 from capturelake.llm.packing import op6_packing
+from capturelake.llm.periodic import op12_periodic_runs
 from capturelake.llm.quality import op2_quality
 from capturelake.llm.repeats import op3_repeats
 from capturelake.llm.secrets import op10_secrets
@@ -24,8 +26,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_secrets": op10_secrets,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL = {
     "op4_sharding": SHARD_SQL,
     "op8_mixing": MIX_SQL,
+    "op11_fill_in_middle": FIM_SQL,
 }
