@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from capturelake.llm.audio import op7_audio
 from capturelake.llm.fim import FIM_SQL, op11_fill_in_middle
+from capturelake.llm.jaccard_join import JACCARD_SQL, op13_jaccard_join
 from capturelake.llm.mixing import MIX_SQL, op8_mixing
 from capturelake.llm.near_dup import op1_near_dup
 from capturelake.llm.packing import op6_packing
@@ -28,9 +29,11 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 SQL = {
     "op4_sharding": SHARD_SQL,
     "op8_mixing": MIX_SQL,
     "op11_fill_in_middle": FIM_SQL,
+    "op13_jaccard_join": JACCARD_SQL,
 }
