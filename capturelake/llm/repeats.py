@@ -2,15 +2,14 @@
 
 No rank is made from ranks of an earlier round: two sorts group hashes of bytes. Full doubling would sort a row for each byte in each round. Two facts make the rows few:
 
-* Windows that are equal have their anchor (least-hashed 32-byte gram) at one place, so only anchors are ranked first:
-  a window whose anchor's rank is unique is unique. This is the round at length 32, on about one position in 30.
-* Neighbouring windows with one anchor form a run. Two runs of one rank over their whole stretch repeat each other in every window, so
+* Windows that are equal have their anchor (least-hashed 32-byte gram) at one place, so only anchors are grouped first:
+  a window whose anchor's hash is unique is unique. These are about one position in 30.
+* Neighbouring windows with one anchor form a run. Two runs of one hash over their whole stretch repeat each other in every window, so
   a long copy takes a row for each run, and only runs that share an anchor but not the stretch - at the ends of a copy -
-  are ranked by single windows, in the last round: pairs (rank of 64 bytes here, rank of 64 bytes at offset 36).
+  are grouped by single windows: pairs (hash of 64 bytes here, hash of 64 bytes at offset 36).
 
-Each round sorts (ranks, position) in Spark; equal neighbours get one rank, unique positions leave, and the
-rounds end past the threshold of 100 bytes. Ranks are 64-bit hashes of the bytes, so that no round has to number
-them globally. Copies within one task's slice are folded before the shuffle, so a passage of a third of all documents
+Spark sorts (hashes, position); the first place of a hash stays and later ones are covered. Hashes have 64 bits and are not
+compared with the bytes. Copies within one task's slice are folded before the shuffle, so a passage of a third of all documents
 comes to each sort once a slice.
 """
 
@@ -21,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import documents, scratch_dir
+from capturelake.llm.common import cut, documents, scratch_dir
 from capturelake.llm.hashing import Prefix, joined, mix
 from capturelake.llm.suffixes import LENGTH, FirstOnes, merged, runs
 from capturelake.llm.tokens import slices
@@ -34,6 +33,8 @@ NO_ID = -(1 << 63)
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Length of the ranks that the last round pairs, at offsets 0 and LENGTH - HALF.
 HALF = 64
+#: Texts of one doc_id lie this far apart in the order of places; a text is shorter.
+APART = 1 << 32
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -73,8 +74,10 @@ def _rank_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [t or "" for t in batch.column(1).to_pylist()]
+        shift = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) * APART
         for a, b in slices(texts):
             (text, lo, hi, anchor, stretch), _, _ = runs([t.encode() for t in texts[a:b]])
+            lo, hi = lo + shift[a:b][text], hi + shift[a:b][text]
             doc = ids[a:b][text]
             sure = _fold(stretch, doc, lo)
             # repeats of this slice go straight on, a row for each stretch of bytes
@@ -113,7 +116,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        texts, spans = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+        shift = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) * APART
         for a, b in slices(texts):
             data, starts = joined([t.encode() for t in texts[a:b]])
             prefix = Prefix(data)
@@ -131,6 +135,7 @@ def _rank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             near, far = prefix.hashes(at, at + HALF), prefix.hashes(at + LENGTH - HALF, at + LENGTH)
             pair = mix(near * np.uint64(3) + mix(far))
             doc = ids[a:b][owner]
+            place += shift[a:b][owner]
             sure = _fold(pair, doc, place)
             spread = np.where(sure, mix(doc.view(np.uint64) + place.view(np.uint64)), pair)
             yield pa.RecordBatch.from_arrays([_signed(spread), _signed(pair), pa.array(doc), pa.array(place), pa.array(sure)], names=["spread", "pair", "doc_id", "lo", "sure"])
@@ -146,30 +151,52 @@ def _walk_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo)], names=["doc_id", "lo"])
 
 
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with ``version``: 0, or the place of the text among the different texts of its doc_id, by their digests.
+
+    Texts are dealt out by it only where some doc_id has several.
+    """
+    prints = docs.select("doc_id", F.sha2("text", 256).alias("print"))
+    several = cut(prints.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").select("doc_id"))
+    if several.isEmpty():
+        return docs.withColumn("version", F.lit(0).cast("long"))
+    known = prints.join(several, "doc_id", "left_semi").distinct()
+    known = cut(known.withColumn("version", F.row_number().over(Window.partitionBy("doc_id").orderBy("print")).cast("long") - 1))
+    docs = docs.withColumn("print", F.sha2("text", 256))
+    return docs.join(known, ["doc_id", "print"], "left").select("doc_id", "text", F.coalesce("version", F.lit(0).cast("long")).alias("version"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): stretches of bytes of whole texts covered by a 100-byte string that also starts earlier.
+    """(doc_id, version, lo, hi): stretches of bytes of whole texts covered by a 100-byte string that also starts earlier.
 
-    Stretches may overlap; together they are exactly the covered bytes. ``docs(doc_id, text)`` needs
-    long ids without nulls; rows that repeat an id are one document.
+    Stretches may overlap; together they are exactly the covered bytes. ``docs(doc_id, text, version)`` needs
+    long ids without nulls (:func:`numbered_texts`). Rows of one doc_id and text are one document; further texts of the id come
+    after its first, in the order of their versions.
     """
-    ranked = docs.mapInArrow(_rank_runs, RANKED)
+    ranked = docs.select("doc_id", "text", "version").mapInArrow(_rank_runs, RANKED)
     found = _stored(ranked.repartition("spread").sortWithinPartitions("anchor", "stretch", "doc_id", "lo").mapInArrow(_walk, FOUND))
-    checks = found.where("not covered").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    windows = docs.join(checks, "doc_id").select("doc_id", "text", "spans")
+    version = F.floor(F.col("lo") / APART).cast("long")
+    apart = [version.alias("version"), (F.col("lo") - version * APART).alias("lo"), (F.col("hi") - version * APART).alias("hi")]
+    checks = found.where("not covered").select("doc_id", *apart).groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    windows = docs.join(checks, ["doc_id", "version"]).select("doc_id", "text", "version", "spans")
     windows = windows.mapInArrow(_rank_windows, "spread long, pair long, doc_id long, lo long, sure boolean")
     single = windows.repartition("spread").sortWithinPartitions("pair", "doc_id", "lo").mapInArrow(_walk_windows, "doc_id long, lo long")
     single = _stored(single)
-    return found.where("covered").select("doc_id", "lo", "hi").unionByName(single.select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    both = found.where("covered").select("doc_id", "lo", "hi").unionByName(single.select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    return both.select("doc_id", *apart)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, removed) for each row of ``docs(doc_id, text)``.
 
     ``kept`` has the bytes left (binary: a cut may fall inside a character), ``removed`` the spans. Null texts count as '',
-    texts under 100 bytes lose nothing, null ids sort first and count as one document.
+    texts under 100 bytes lose nothing. Rows that repeat an id and its text are one document, each of which loses the same; rows
+    that repeat an id with other texts are documents of their own, one after the other by their texts' digests. Null ids sort
+    first, as one id. An empty table gives no rows, other columns are not read.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    docs = numbered_texts(docs)
+    spans = repeated(docs).groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
@@ -185,11 +212,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.binary(), span]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<lo: long, hi: long>>"
     )
 
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
+    """Every document with what :func:`without_repeats` removes; nulls, empties and repeats as there."""
     out = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
