@@ -48,6 +48,17 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

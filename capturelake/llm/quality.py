@@ -7,14 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import SPACE_CHARS, cut, documents, let, words_of
+from capturelake.llm.common import SPACE_CHARS, cut, documents, free_names, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 #: Bins a feature; a threshold is the edge of a bin.
 BINS = 64
-MAX_RULES = 8
+#: Where learning ends; :attr:`DecisionList.ended` says if it was there.
+MAX_RULES = 32
 MAX_CONDITIONS = 3
+#: Weight of the share of bad rows that a condition starts from, in rows: small, so that precision counts more than cover.
+PRIOR_ROWS = 2
 #: A rule must be right on this share of the labelled documents it covers, in both halves, and cover this many.
 MIN_PRECISION = 0.95
 MIN_COVER = 8
@@ -129,9 +132,11 @@ class Condition:
 
 @dataclass(frozen=True)
 class DecisionList:
-    """Rules in order; the first that holds decides (reject), none keeps."""
+    """Rules in order; the first that holds decides (reject), none keeps. ``ended``: 'no rule left', or 'max_rules' where the
+    limit stopped the learning."""
 
     rules: tuple[tuple[Condition, ...], ...]
+    ended: str = "no rule left"
 
     def rule(self) -> Column:
         """Number of the first rule that holds, from 1; 0 if none does. Needs the columns of :func:`with_bins`."""
@@ -168,43 +173,58 @@ def _count(h: dict, part: int, c: Condition | None = None) -> tuple[int, int]:
     return sum(v[0] for v in take), sum(v[1] for v in take)
 
 
-def fit(labelled: DataFrame) -> DecisionList:
+def _best(h: dict, banned: set[Condition]) -> Condition | None:
+    """The condition of best m-estimate on the growing half that is more precise than all rows are."""
+    good, bad = _count(h, 0)
+    if bad < MIN_COVER or good == 0:
+        return None
+    prior = bad / (good + bad)
+    best, best_score = None, prior
+    for f in FEATURES:
+        for edge in range(1, BINS):
+            for above in (True, False):
+                c = Condition(f, edge, above)
+                g, b = _count(h, 0, c)
+                score = (b + PRIOR_ROWS * prior) / (g + b + PRIOR_ROWS)
+                if c not in banned and b >= MIN_COVER and (score, b) > (best_score + 1e-9, 0):
+                    best, best_score = c, score
+    return best
+
+
+def _as_broad(c: Condition) -> set[Condition]:
+    """The condition and those on the same side of its feature that cover no less."""
+    edges = range(1, c.edge + 1) if c.above else range(c.edge, BINS)
+    return {Condition(c.feature, e, c.above) for e in edges}
+
+
+def fit(labelled: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> DecisionList:
     """Learns the list that rejects class 0 from rows (statistics, ``label``, ``key``).
 
     Sequential covering on counts that Spark groups: rows are first summed by their bins. A rule grows by the
-    condition of best m-estimate on the growing half (two thirds by the key's hash), up to three conditions; then
+    condition of best m-estimate on the growing half (two thirds by the key's hash), up to ``max_conditions``; then
     conditions whose loss does not lower the precision on the pruning half are dropped; it is kept if it is right on
-    MIN_PRECISION of what it covers in both halves. What it covers leaves, and the next rule grows. Without rows
-    of both classes the list is empty.
+    MIN_PRECISION of what it covers in both halves. What it covers leaves, and the next rule grows. If no form of a rule is
+    precise enough, its first condition is set aside, with those as broad, until a rule is found; learning ends when no first condition is
+    left. Without rows of both classes the list is empty.
     """
     part = (F.pmod(F.xxhash64("key"), F.lit(3)) == 0).cast("int").alias("part")
     bins = [f"bin_{f}" for f in FEATURES]
     rows = with_bins(labelled.where("label is not null")).select(*bins, part, (F.col("label") != 0).cast("long").alias("good"), (F.col("label") == 0).cast("long").alias("bad"))
     cells = cut(rows.groupBy(*bins, "part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
     rules: list[tuple[Condition, ...]] = []
-    free = F.lit(True)
+    free, aside = F.lit(True), set()
     precise = lambda good, bad: bad / max(good + bad, 1)
-    while len(rules) < MAX_RULES:
+    whole = _histogram(cells, free)
+    while len(rules) < max_rules:
         grown: list[Condition] = []
-        while len(grown) < MAX_CONDITIONS:
-            h = _histogram(cells, free & _all(grown))
-            good, bad = _count(h, 0)
-            if bad < MIN_COVER or good == 0:
-                break
-            prior, best, best_score = bad / (good + bad), None, precise(good, bad)
-            for f in FEATURES:
-                for edge in range(1, BINS):
-                    for above in (True, False):
-                        c = Condition(f, edge, above)
-                        g, b = _count(h, 0, c)
-                        score = (b + 10 * prior) / (g + b + 10)
-                        if b >= MIN_COVER and (score, b) > (best_score + 1e-9, 0):
-                            best, best_score = c, score
+        while len(grown) < max_conditions:
+            h = _histogram(cells, free & _all(grown)) if grown else whole
+            best = _best(h, aside if not grown else set())
             if best is None:
                 break
             grown.append(best)
         if not grown:
-            break
+            return DecisionList(tuple(rules))
         score = {}
         for k in range(len(grown) + 1):
             conditions = tuple(grown[:k] + grown[k + 1 :]) if k < len(grown) else tuple(grown)
@@ -214,15 +234,18 @@ def fit(labelled: DataFrame) -> DecisionList:
         full = tuple(grown)
         good_enough = {c: v for c, v in score.items() if precise(*v[0]) >= MIN_PRECISION and precise(*v[1]) >= MIN_PRECISION and v[0][1] + v[1][1] >= MIN_COVER}
         if not good_enough:
-            break
+            aside |= _as_broad(grown[0])
+            continue
         rule = max(good_enough, key=lambda c: (good_enough[c][0][1] + good_enough[c][1][1], -len(c), c == full))
         rules.append(rule)
-        free = free & ~_all(rule)
-    return DecisionList(tuple(rules))
+        free, aside = free & ~_all(rule), set()
+        whole = _histogram(cells, free)
+    return DecisionList(tuple(rules), "max_rules")
 
 
 def labelled_statistics(spark, sf_dir: str, stats: DataFrame) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    """The statistics of labelled rows with ``label`` and ``key``. A doc_id with several labels has the least, so 0 wins; null labels and ids drop out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("label"))
     return stats.join(labels, "doc_id").withColumn("key", F.col("doc_id"))
 
 
@@ -233,14 +256,17 @@ def verdicts(stats: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document with its statistics and the verdict of the base rule and the learned list; a null text has no words."""
     stats = cut(with_statistics(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
     out = verdicts(stats, fit(labelled_statistics(spark, sf_dir, stats)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass; one doc_id passes if all its rows do."""
+    """The documents that pass, with all their columns, whatever their names. One doc_id, null too, passes if all its rows do; null and empty texts
+    fail the base rule; an empty table stays empty."""
     stats = cut(with_statistics(docs.select("doc_id", "text")).drop("text"))
     judged = verdicts(stats, fit(labelled_statistics(spark, sf_dir, stats)))
-    good = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept")).where("_kept")
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    name, kept = free_names(docs.columns, "id", "kept")
+    good = judged.groupBy(F.col("doc_id").alias(name)).agg(F.min("kept").alias(kept)).where(F.col(kept))
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
