@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import cut, documents, unit_hash, word_count
+from capturelake.llm.common import cut, documents, free_names, unit_hash, word_count
 
 #: Sources up to this number are joined as a broadcast table; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
@@ -171,11 +171,12 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, each as often as the mix takes it. Documents without words are not taken; other columns stay as they are."""
     mix = copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    times = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = docs.join(times, same).where("_copies > 0")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+    key, group, n, copy = free_names(docs.columns, "id", "of", "copies", "copy")
+    times = mix.groupBy(F.col("doc_id").alias(key), F.col("source").alias(group)).agg(F.max("copies").alias(n))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(group))
+    out = docs.join(times, same).where(F.col(n) > 0)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 MIX_SQL = rf"""
