@@ -99,21 +99,27 @@ _RESPONSE = pa.schema([("page_id", pa.int64()), ("record_id", _TEXT), ("target_u
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """Response records of rows (page_id, url, html). The id follows from page_id and url; null html is an empty payload,
-    a null url an empty target."""
+    """Response records of rows (page_id, url, html). The record's id follows from page_id, url, payload and, for rows that repeat
+    all three, their number, so no two records share one, and a second run gives the same ids. Null html is an empty payload, a null url an
+    empty target, a null page_id stays null and counts as the text 'None' in the id; an empty table gives no rows; other columns are not read.
+    A page is one value of one row, as long as it may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, page, time in zip(*(c.to_pylist() for c in batch.columns)):
                 url, payload = url or "", (page or "").encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-                rid, block = record_id("response", str(page_id), url), http.encode() + payload
+                rid, block = record_id("response", str(page_id), url, digest(payload), str(time)), http.encode() + payload
                 headers = [("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))]
                 rows.append((page_id, rid, url, DATE, http, payload, digest(payload), digest(block), record(headers, block)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RESPONSE)], schema=_RESPONSE)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, RESPONSE_SCHEMA)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    # rows that repeat are counted before they are dealt out, then come again with their numbers
+    counted = rows.groupBy("page_id", "url", "html").agg(F.count(F.lit(1)).alias("times"))
+    each = counted.select("page_id", "url", "html", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
+    return each.mapInArrow(run, RESPONSE_SCHEMA)
 
 
 DERIVED_SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, source_headers string, source_digest string, block_digest string, n_links int, block binary, record binary"
@@ -125,7 +131,8 @@ def derivatives(found: DataFrame) -> DataFrame:
 
     Both refer to the response (WARC-Refers-To) and keep its target, its date and its payload digest
     (WARC-Refers-To-Payload-Digest); the HTTP header lines are kept in the metadata block and in ``source_headers``.
-    A payload that isn't UTF-8 is read with replacement characters.
+    A payload that isn't UTF-8 is read with replacement characters. Empty payloads give both records with empty blocks or headers alone; each
+    response, repeated or not, gives its own two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +153,7 @@ def derivatives(found: DataFrame) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """The two derived records of every page; nulls, empties and repeats as in :func:`responses` and :func:`derivatives`."""
     out = derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     text = F.when(F.col("warc_type") == "conversion", F.col("block").cast("string"))
     return out.select(

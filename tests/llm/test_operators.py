@@ -225,10 +225,12 @@ def test_derivatives(spark):
     found = warc.responses(pages)
     rows = warc.derivatives(found).collect()
     assert len(rows) == 8 and warc.derivatives(warc.responses(pages.limit(0))).count() == 0
-    source = {r["page_id"]: r for r in found.collect()}
+    source = {r["record_id"]: r for r in found.collect()}
+    assert len(source) == 4
     for r in rows:
         ((head, block),) = warc.parse_records(bytes(r["record"]))
-        s = source[r["page_id"]]
+        s = source[r["refers_to"]]
+        assert s["page_id"] == r["page_id"]
         assert head["WARC-Refers-To"] == s["record_id"] == r["refers_to"] and head["WARC-Block-Digest"] == warc.digest(block) and block == bytes(r["block"])
         assert head["WARC-Refers-To-Payload-Digest"] == warc.digest(bytes(s["payload"])) and head["WARC-Type"] == r["warc_type"]
         (original,) = warc.parse_records(bytes(s["record"]))
