@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +42,10 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _small_batches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the named binary column has about four million bytes in each."""
+    """The batches, cut so that the named binary column has about a million bytes in each."""
     for batch in batches:
         column = batch.column(name)
-        for a, b in slices([b"" if v is None else memoryview(v.as_buffer()) for v in column]):
+        for a, b in slices([b"" if v is None else memoryview(v.as_buffer()) for v in column], 1_000_000):
             yield batch.slice(a, b - a)
 
 
@@ -91,7 +92,8 @@ def entries(functions: DataFrame) -> DataFrame:
 
 
 CUT = "struct<chunk_no:bigint,entry:bigint,rest:bigint>"
-OUT = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
+OUT = "doc_id long, n long, form string, prefix_chars long, middle_chars long, "
+TEXT, DIGESTS = OUT + "output string", OUT + "output_sha256 string, restored_sha256 string"
 
 
 def _forms(n: np.ndarray, marked: np.ndarray, h3: np.ndarray, h4: np.ndarray, plain: int, suffix_first: int) -> np.ndarray:
@@ -100,7 +102,19 @@ def _forms(n: np.ndarray, marked: np.ndarray, h3: np.ndarray, h4: np.ndarray, pl
     return out
 
 
-def _assembled(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, n, form, low, high, at_low, at_high) -> pa.RecordBatch:
+def rebuilt(form: str, output: bytes) -> bytes:
+    """The text again, from the output and its form. A cut text has no mark, and no end of it with a mark's head makes one, so the first of each mark
+    is the one that was put in."""
+    if form == "plain":
+        return output
+    p, s, m = PREFIX.encode(), SUFFIX.encode(), MIDDLE.encode()
+    opens, second = (p, s) if form == "psm" else (s, p)
+    first, rest = output[len(opens) :].split(second, 1)
+    other, middle = rest.split(m, 1)
+    return b"".join((first, middle, other) if form == "psm" else (other, middle, first))
+
+
+def _assembled(digests: bool, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, n, form, low, high, at_low, at_high) -> pa.RecordBatch:
     """The texts in their order of parts; low and high are cut places in units, at_low and at_high in bytes of ``data``."""
     raw, out = data.tobytes(), []
     for i, kind in enumerate(form):
@@ -112,14 +126,19 @@ def _assembled(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, n, form, lo
         else:
             out.append(b"".join((SUFFIX.encode(), raw[c:d], PREFIX.encode(), raw[a:b], MIDDLE.encode(), raw[b:c])))
     parts = [pa.array(low, pa.int64(), mask=form == "plain"), pa.array(high - low, pa.int64(), mask=form == "plain")]
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(form.tolist(), pa.string()), *parts, pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
+    if digests:
+        sha = lambda texts: pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+        last = {"output_sha256": sha(out), "restored_sha256": sha(map(rebuilt, form, out))}
+    else:
+        last = {"output": pa.array(out, pa.binary()).cast(pa.string())}
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(form.tolist(), pa.string()), *parts, *last.values()], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", *last])
 
 
 def _h(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch.column(f"h{i}").to_numpy(zero_copy_only=False) for i in range(1, 5)]
 
 
-def _in_place(rows: DataFrame, unit: str, plain: int, suffix_first: int) -> DataFrame:
+def _in_place(rows: DataFrame, unit: str, plain: int, suffix_first: int, digests: bool = False) -> DataFrame:
     """Texts of one chunk: scanned, cut and put together where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +151,12 @@ def _in_place(rows: DataFrame, unit: str, plain: int, suffix_first: int) -> Data
             low, high = (f(h1 % (n + 1), h2 % (n + 1)) for f in (np.minimum, np.maximum))
             form, all_rows, start = _forms(n, found[:, 0], h3, h4, plain, suffix_first), np.arange(len(n)), np.zeros(len(n), np.int64)
             at = [np.where(c == 0, offsets[:-1], lanes.place(all_rows, start, c)) for c in (low, high)]
-            yield _assembled(batch.column("doc_id"), data, offsets, n, form, low, high, *at)
+            yield _assembled(digests, batch.column("doc_id"), data, offsets, n, form, low, high, *at)
 
-    return rows.select("doc_id", "bytes", "h1", "h2", "h3", "h4").mapInArrow(run, OUT)
+    return rows.select("doc_id", "bytes", "h1", "h2", "h3", "h4").mapInArrow(run, DIGESTS if digests else TEXT)
 
 
-def _across_tasks(rows: DataFrame, unit: str, chunk: int, plain: int, suffix_first: int) -> DataFrame:
+def _across_tasks(rows: DataFrame, unit: str, chunk: int, plain: int, suffix_first: int, digests: bool = False) -> DataFrame:
     """Texts of several chunks: these are dealt to all tasks and scanned there; the functions are composed, and each cut is then
     sought in the one chunk that has it, entered in its true state."""
 
@@ -182,19 +201,19 @@ def _across_tasks(rows: DataFrame, unit: str, chunk: int, plain: int, suffix_fir
                 lanes = Lanes(machine, data, first, np.minimum(first + chunk, offsets[1:][has]))
                 place[has] = lanes.place(np.arange(len(has)), np.array([where[i]["entry"] for i in has], np.int64), np.array([where[i]["rest"] for i in has], np.int64))
                 at.append(np.where(cut == 0, offsets[:-1], place))
-            yield _assembled(batch.column("doc_id"), data, offsets, n, _forms(n, marked, h3, h4, plain, suffix_first), low, high, *at)
+            yield _assembled(digests, batch.column("doc_id"), data, offsets, n, _forms(n, marked, h3, h4, plain, suffix_first), low, high, *at)
 
     wanted = ["doc_id", "bytes", "h1", "h2", "h3", "h4", "n", "n_marks", "low", "high", "in_low", "in_high"]
-    return keyed.join(cuts, "key").select(*[keyed[c] if c in ("h1", "h2") else c for c in wanted]).mapInArrow(assemble, OUT)
+    return keyed.join(cuts, "key").select(*[keyed[c] if c in ("h1", "h2") else c for c in wanted]).mapInArrow(assemble, DIGESTS if digests else TEXT)
 
 
-def fill_in_middle(docs: DataFrame, unit: str = "chars", seed: str = "1", plain: int = PLAIN, suffix_first: int = SUFFIX_FIRST, chunk: int = CHUNK) -> DataFrame:
+def fill_in_middle(docs: DataFrame, unit: str = "chars", seed: str = "1", plain: int = PLAIN, suffix_first: int = SUFFIX_FIRST, chunk: int = CHUNK, digests: bool = False) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) for every row of ``docs(doc_id, text)``.
 
     A text has n units (``unit``: 'chars', code points, or 'words', each with the white space after it). Two numbers drawn by
     ``seed`` and doc_id (:func:`draws`), each from 0 to n, part it into prefix, middle and suffix; their units are
     ``prefix_chars`` and ``middle_chars``. ``output`` is the text itself (form 'plain'), or prefix, suffix, middle ('psm'), or suffix, prefix, middle
-    ('spm'), each after its mark. Texts without units, with a mark, and ``plain`` of 100 others stay plain, with null parts.
+    ('spm'), each after its mark. With ``digests`` the sha256 of it and of the text rebuilt from it (:func:`rebuilt`) come in its place. Texts without units, with a mark, and ``plain`` of 100 others stay plain, with null parts.
 
     The cut places come from a byte automaton that counts units and marks. A text of up to ``chunk`` bytes is scanned in its task,
     in lanes of 256 bytes; a longer one is dealt out in chunks to all tasks. Each lane and chunk gives a function from
@@ -206,27 +225,14 @@ def fill_in_middle(docs: DataFrame, unit: str = "chars", seed: str = "1", plain:
     names = ["h1", "h2", "h3", "h4"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     rows = rows.withColumns(dict(zip(names, draws(F.col("doc_id"), seed), strict=True)))
-    short = _in_place(rows.where(F.octet_length("bytes") <= chunk), unit, plain, suffix_first)
-    return short.unionByName(_across_tasks(rows.where(F.octet_length("bytes") > chunk), unit, chunk, plain, suffix_first))
-
-
-def restored(form: Column, output: Column) -> Column:
-    """The text again, from the output and its form. A cut text has no mark, and no end of it with a mark's head makes one, so the first of each mark
-    is the one that was put in."""
-    after = lambda text, mark: F.substr(text, F.char_length(F.substring_index(text, mark, 1)) + len(mark) + 1)
-    body = F.substr(output, F.lit(4))
-    first, rest = F.substring_index(body, SUFFIX, 1), after(body, SUFFIX)
-    psm = F.concat(first, after(rest, MIDDLE), F.substring_index(rest, MIDDLE, 1))
-    first, rest = F.substring_index(body, PREFIX, 1), after(body, PREFIX)
-    spm = F.concat(F.substring_index(rest, MIDDLE, 1), after(rest, MIDDLE), first)
-    return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
+    short = _in_place(rows.where(F.octet_length("bytes") <= chunk), unit, plain, suffix_first, digests)
+    return short.unionByName(_across_tasks(rows.where(F.octet_length("bytes") > chunk), unit, chunk, plain, suffix_first, digests))
 
 
 def op11_fill_in_middle(spark, sf_dir: str) -> DataFrame:
     """Every document cut over code points, with the digests of its output and of the text rebuilt from it; nulls, empties, repeats as in
     :func:`fill_in_middle`."""
-    done = fill_in_middle(documents(spark, sf_dir))
-    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+    return fill_in_middle(documents(spark, sf_dir), digests=True)
 
 
 FIM_SQL = """
