@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import components, cut, documents
-from capturelake.llm.hashing import distinct, mix, shingles
+from capturelake.llm.common import components, cut, documents, scratch_dir
+from capturelake.llm.hashing import mix, shingles
 from capturelake.llm.near_dup import _one_id, fingerprints
 from capturelake.llm.tokens import slices
 
@@ -25,12 +26,33 @@ BITS = 22
 BLOCK = 1 << 16
 #: A shingle that about so many rows have is dealt to one more task for each so many.
 HOT = 4096
+PARITY = 1024
+#: Lists of up to so many sets are looked through for entries that can link while they are built.
+SHORT = 8
 
 
 def elements(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of text, hash) of the distinct shingles of the texts in lower case (A-Z alone), sorted."""
-    index, value, _ = distinct(*shingles([t.encode().lower() for t in texts], width))
-    return index, value
+    index, value = shingles([t.encode().lower() for t in texts], width)
+    _sort_within(index, value, len(texts))
+    new = np.ones(len(index), bool)
+    new[1:] = (value[1:] != value[:-1]) | (index[1:] != index[:-1])
+    return index[new], value[new]
+
+
+def _sort_within(index: np.ndarray, value: np.ndarray, m: int) -> None:
+    """Sorts the values of each index, which rises, in place."""
+    ends = np.searchsorted(index, np.arange(m + 1)).tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        value[a:b].sort()
+
+
+def parities(index: np.ndarray, value: np.ndarray, m: int) -> pa.Array:
+    """For each text 16 longs: bit b says whether an odd number of its elements has the hash b by 1,024. Two texts' sets differ in at least as many
+    elements as their bits."""
+    odd = np.bincount(index * PARITY + (value % np.uint64(PARITY)).astype(np.int64), minlength=m * PARITY).astype(np.uint8) & 1
+    longs = np.packbits(odd).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, PARITY // 64, dtype=np.int32)), pa.array(longs))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -45,9 +67,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def surveyed(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Two kinds of rows from one pass: (doc_id, n, print_a, print_b) of each row's set, and (block, counts): for 65,536 counters in a row
+    """Two kinds of rows from one pass: (doc_id, n, print_a, print_b, parity) of each row's set, and (block, counts): for 65,536 counters in a row
     how many of a task's sets have a shingle of theirs."""
-    names = ["doc_id", "n", "print_a", "print_b", "block", "counts"]
+    names = ["doc_id", *SAME, "parity", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, np.uint32)
@@ -55,13 +77,13 @@ def surveyed(docs: DataFrame, width: int, bits: int) -> DataFrame:
             m = len(texts)
             index, value = elements(texts, width)
             np.add.at(seen, (value >> np.uint64(64 - bits)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.bincount(index, minlength=m)), *fingerprints(index, value, m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.bincount(index, minlength=m)), *fingerprints(index, value, m), parities(index, value, m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         for block, part in enumerate(seen.reshape(-1, min(BLOCK, 1 << bits))):
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, print_a long, print_b long, block int, counts binary")
+    return _rows(docs).mapInArrow(run, "doc_id long, n long, print_a long, print_b long, parity array<long>, block int, counts binary")
 
 
 def commonness(survey: DataFrame, bits: int) -> np.ndarray:
@@ -88,7 +110,8 @@ POSTING = ["token", "salt", "pos", *SAME]
 def postings(docs: DataFrame, levels, width: int, percent: int, bits: int, hot: int = HOT) -> DataFrame:
     """(token, salt, pos, n, print_a, print_b): the first elements of each set, the rarest first, with their positions.
 
-    The order is by the broadcast commonness, then by hash. A set that a task has sent already is not sent again, so copies are few. The lists of a
+    A token is the broadcast commonness of an element and 56 bits of its hash, and tokens are the order: elements that agree in both count as one here, which
+    can only make sets meet. A set that a task has sent already is not sent again, so copies are few. The lists of a
     common token are parted by a salt that depends on the set; other tokens have salt -1.
     """
 
@@ -108,24 +131,29 @@ def postings(docs: DataFrame, levels, width: int, percent: int, bits: int, hot:
                 if key[0] and key not in sent:
                     sent.add(key)
                     fresh[i] = True
-            common = level[(value >> np.uint64(64 - bits)).astype(np.int64)]
-            order = np.lexsort((value, common, index))
-            index, value, common = index[order], value[order], common[order]
+            common = level[(value >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+            token = common << np.uint64(56) | value >> np.uint64(8)
+            _sort_within(index, token, m)
             pos = np.arange(len(index)) - np.searchsorted(index, index)
             keep = fresh[index] & (pos < prefix_length(n, percent)[index])
-            index, value, common, pos = index[keep], value[keep], common[keep], pos[keep]
-            parts = (2.0 ** (common / 8) / hot).astype(np.int64)
+            index, token, pos = index[keep], token[keep], pos[keep]
+            parts = (2.0 ** ((token >> np.uint64(56)) / 8) / hot).astype(np.int64)
             salt = np.where(parts > 0, (mix(prints[0][index].view(np.uint64)) % (parts + 1).astype(np.uint64)).astype(np.int64), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(n[index]), *[pa.array(p[index]) for p in prints]], names=POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(n[index]), *[pa.array(p[index]) for p in prints]], names=POSTING)
 
     return _rows(docs).mapInArrow(run, "token long, salt int, pos int, n long, print_a long, print_b long")
 
 
 class Lists:
     """Index lists out of sorted postings, a batch at a time: each entry of a list with two sets or more, beside the list's leader, its
-    first. Only the leader and the last row are kept between batches."""
+    first. Only the leader and the last row are kept between batches.
 
-    def __init__(self):
+    With ``percent``, entries of a list of up to SHORT sets that no other entry can link with, by lengths and positions, are left
+    out; most lists that two texts share by chance go this way.
+    """
+
+    def __init__(self, percent: int | None = None):
+        self.percent = percent
         self.last = self.leader = None
         self.sets = 0
 
@@ -144,6 +172,9 @@ class Lists:
         sets[0] += self.sets
         listed = (sets >= 2) | (leaders[:, 1] >= 0)
         keep = new & listed[group]
+        if self.percent:
+            at = np.flatnonzero(keep)
+            keep[at[~self._met(rows[at], group[at], group[-1])]] = False
         out = np.hstack([rows[keep], leaders[group[keep]][:, 2:]])
         # a leader that was alone when its batch ended; the leader of a salted list never waits
         if waiting and sets[0] >= 2 and self.leader[1] < 0:
@@ -153,15 +184,29 @@ class Lists:
         return out
 
 
+    def _met(self, rows: np.ndarray, group: np.ndarray, last: int) -> np.ndarray:
+        """Which rows some other of their list can link with; all of long lists, salted ones, and those that may go on in another batch."""
+        sizes = np.bincount(group, minlength=last + 1)
+        met = (sizes[group] > SHORT) | (group == 0) | (group == last) | (rows[:, 1] >= 0)
+        for d in range(1, min(SHORT, len(rows))):
+            a, b = rows[:-d], rows[d:]
+            total = a[:, 3] + b[:, 3]
+            need = -(-total * self.percent // (100 + self.percent))
+            fits = (group[:-d] == group[d:]) & (np.minimum(a[:, 3] - a[:, 2], b[:, 3] - b[:, 2]) >= need) & (a[:, 2] + b[:, 2] <= total - 2 * need)
+            met[:-d] |= fits
+            met[d:] |= fits
+        return met
+
+
 LEADER = ["l_pos", "l_n", "l_a", "l_b"]
 
 
-def index_lists(posted: DataFrame) -> DataFrame:
+def index_lists(posted: DataFrame, percent: int) -> DataFrame:
     """(token, salt, pos, n, print_a, print_b, l_pos, l_n, l_a, l_b): entries of all lists of two sets or more. A list's leader has the smallest position,
     so the fewest rare elements of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = Lists()
+        lists = Lists(percent)
         for batch in batches:
             if batch.num_rows:
                 out = lists.step(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in POSTING]))
@@ -182,18 +227,53 @@ def can_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int) -
     return (n1 - pos1 >= need) & (n2 - pos2 >= need) & (pos1 + pos2 <= n1 + n2 - 2 * need)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, print_a, print_b, elements) of each row's whole text."""
+def _among(ids: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each of 2**bits hashes: whether one of ``ids(doc_id)`` has it. 2**bits / 8 bytes, however many ids there are."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[_slot(batch.column(0), bits)] = True
+        for block, part in enumerate(np.packbits(seen).reshape(-1, min(BLOCK, 1 << bits) // 8)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "marked"])
+
+    def either(table: pa.Table) -> pa.Table:
+        parts = np.bitwise_or.reduce([np.frombuffer(m.as_py(), np.uint8) for m in table["marked"]])
+        return pa.table({"block": table["block"].slice(0, 1), "marked": pa.array([parts.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    marks = ids.select("doc_id").mapInArrow(mark, "block int, marked binary")
+    for block, marked in marks.groupBy("block").applyInArrow(either, "block int, marked binary").collect():
+        out[block * BLOCK // 8 : block * BLOCK // 8 + len(marked)] = np.frombuffer(marked, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _slot(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataFrame:
+    """(rep, elements) of the sets ``wanted(doc_id, n, print_a, print_b, rep)``.
+
+    A broadcast bit table, of a size that does not depend on the input, tells most other documents from those that are wanted, so their
+    texts are neither shuffled nor taken apart; the join decides.
+    """
+    marked = docs.sparkSession.sparkContext.broadcast(_among(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            m = len(texts)
-            index, value = elements(texts, width)
-            ends = np.searchsorted(index, np.arange(m + 1)).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends).astype(np.int64)), *fingerprints(index, value, m), sets], names=["doc_id", *SAME, "elements"])
+        mine = marked.value
+        for batch in batches:
+            batch = batch.filter(pa.array(mine[_slot(batch.column(0), bits)]))
+            for ids, texts in _texts(iter([batch])):
+                m = len(texts)
+                index, value = elements(texts, width)
+                ends = np.searchsorted(index, np.arange(m + 1)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends).astype(np.int64)), *fingerprints(index, value, m), sets], names=["doc_id", *SAME, "elements"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, print_a long, print_b long, elements array<long>")
+    found = _rows(docs).mapInArrow(run, "doc_id long, n long, print_a long, print_b long, elements array<long>")
+    return found.join(wanted, ["doc_id", *SAME]).groupBy("rep").agg(F.first("elements").alias("elements"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,10 +283,32 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
+def may_link(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities do not say that their sets differ in too many elements."""
+    x, y = (reps.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("parity").alias(p)) for r, n, p in (("a", "n1", "p1"), ("b", "n2", "p2")))
+    differ = F.aggregate(F.zip_with("p1", "p2", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    both = pairs.join(y, "b").join(x, "a")
+    return both.where(differ <= F.col("n1") + F.col("n2") - 2 * needed(F.col("n1"), F.col("n2"), percent)).select("a", "b")
+
+
 def linked(shared: Column, n1: Column, n2: Column, percent: int) -> Column:
     return shared * 100 >= (n1 + n2 - shared) * percent
 
 
+def compared(pairs: DataFrame, known: DataFrame, reps: DataFrame, width: int, bits: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of the pairs, by the whole sets of those in them alone."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = cut(reps.join(both, "rep", "left_semi").select(F.col("first_id").alias("doc_id"), *SAME, "rep"))
+    return cut(overlaps(pairs, stored(shingle_sets(known, wanted, width, bits))))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint."""
+    path = f"{scratch_dir(df.sparkSession)}/jaccard-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _numbered(lists: DataFrame, reps: DataFrame) -> DataFrame:
     """Entries and leaders by their sets' numbers: token, salt, rep, n, pos, leader, l_n, l_pos."""
     name = reps.select("rep", *SAME)
@@ -264,31 +366,30 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Equal sets are one. Each set posts its rarest elements, as many as any linked partner must meet. Lists are built by one sort; a
     list's leader is compared with all its entries that length and position allow, so a list of many near copies closes after one check an
     entry. In lists that still hold several components, pairs are met by blocks of length and position (:func:`_open_pairs`), and
-    what both share with the leader decides most of them; the rest are compared in full. No list, pair or candidate is capped, so no link
+    what both share with the leader decides most of them; the rest are compared in full. Before any set is fetched, parities of 1,024 bits rule out most pairs that cannot
+    link. No list, pair or candidate is capped, so no link
     between components is missed; links inside one are not all listed. Shingles are compared by 64-bit hashes.
 
     Rows that repeat a doc_id are one document, whatever their texts. Texts without words are linked with nothing, not with each other: their
     component is their own doc_id. Null ids link nothing and have a null component. An empty table gives no rows.
     """
     known = docs.where("doc_id is not null")
-    survey = cut(surveyed(known, width, bits))
-    rows = survey.where("block is null").select("doc_id", *SAME)
-    reps = rows.where("n > 0").groupBy(*SAME).agg(F.min("doc_id").alias("first_id"))
+    survey = stored(surveyed(known, width, bits))
+    rows = survey.where("block is null").select("doc_id", *SAME, "parity")
+    reps = rows.where("n > 0").groupBy(*SAME).agg(F.min("doc_id").alias("first_id"), F.first("parity").alias("parity"))
     reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
+    rows = rows.drop("parity")
     levels = docs.sparkSession.sparkContext.broadcast(commonness(survey, bits))
-    lists = cut(_numbered(cut(index_lists(postings(known, levels, width, percent, bits, hot))), reps))
-
-    first = cut(_leader_pairs(lists, percent))
-    wanted = lists.select("rep").distinct()
-    wanted = cut(reps.join(wanted, "rep", "left_semi").select(F.col("first_id").alias("doc_id"), *SAME, "rep"))
-    sets = shingle_sets(known.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), width)
-    sets = cut(sets.join(wanted, ["doc_id", *SAME]).groupBy("rep").agg(F.first("elements").alias("elements")))
-    tested = cut(overlaps(first, sets))
+    lists = stored(_numbered(stored(index_lists(postings(known, levels, width, percent, bits, hot), percent)), reps))
+
+    first = cut(may_link(_leader_pairs(lists, percent), reps, percent))
+    tested = compared(first, known, reps, width, bits)
     links = tested.where(linked(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     part = cut(components(links))
 
     left, sure = _open_pairs(lists, part, tested, percent)
-    more = overlaps(left, sets).where(linked(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    left = cut(may_link(left, reps, percent))
+    more = compared(left, known, reps, width, bits).where(linked(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     part = cut(components(links.union(sure).union(more).union(_one_id(rows.where("n > 0"), reps))))
 
     rooted = reps.join(part, reps["rep"] == part["node"], "left").select(*SAME, "first_id", "root")

@@ -126,7 +126,7 @@ def test_near_copies_are_compared_with_their_leader_alone(spark):
     survey = cut(jj.surveyed(docs, 3, 16))
     reps = cut(survey.where("block is null").groupBy(*jj.SAME).agg(F.min("doc_id").alias("first_id")).withColumn("rep", F.monotonically_increasing_id()))
     levels = spark.sparkContext.broadcast(jj.commonness(survey, 16))
-    lists = jj._numbered(jj.index_lists(jj.postings(docs, levels, 3, 90, 16)), reps)
+    lists = jj._numbered(jj.index_lists(jj.postings(docs, levels, 3, 90, 16), 90), reps)
     assert jj._leader_pairs(lists, 90).count() < 3000
     assert {r[2] for r in jj.jaccard_components(docs, bits=16).collect()} == {0}
 
