@@ -23,7 +23,7 @@ class Capture:
     @classmethod
     def read(cls, spark: SparkSession, *paths: str, source: str | None = None, mapping: dict[str, str] | None = None, load: filters.LoadFilter | None = None) -> Capture:
         def one(path: str) -> DataFrame:
-            if source == "pcap" or path.endswith((".pcap", ".cap")):
+            if source == "pcap" or path.endswith((".pcap", ".pcapng", ".cap")):
                 return pcap.read(spark, path, load and load.time_range)
             if source == "parquet" or path.endswith(".parquet"):
                 return text_logs.parquet_flows(spark, path, mapping)

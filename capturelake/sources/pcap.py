@@ -4,41 +4,38 @@ from __future__ import annotations
 
 import ipaddress
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake import scratch
 from capturelake.functions.net import FLAG_BITS
+from capturelake.sources import capture_files
 
-SCHEMA = "timestamp double, src_mac string, dst_mac string, src_ip string, dst_ip string, ip_version int, ttl int, src_port int, dst_port int, transport string, tcp_flags_str string, seq_num long, ack_num long, window_size int, orig_len long, payload_len long, raw binary"
-MAGICS = {0xA1B2C3D4: ("<", 1e6), 0xD4C3B2A1: (">", 1e6), 0xA1B23C4D: ("<", 1e9), 0x4D3CB2A1: (">", 1e9)}
-
-
-def frames(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    """(time, length on the wire, bytes) of a pcap file's records; a cut one ends it."""
-    kind = MAGICS.get(struct.unpack("<I", data[:4])[0]) if len(data) >= 24 else None
-    if kind is None:
-        return
-    order, unit = kind
-    at = 24
-    while at + 16 <= len(data):
-        seconds, part, kept, length = struct.unpack_from(order + "IIII", data, at)
-        if at + 16 + kept > len(data):
-            return
-        yield seconds + part / unit, length, data[at + 16 : at + 16 + kept]
-        at += 16 + kept
-
-
-def decode(frame: bytes) -> dict | None:
-    """Ethernet, VLAN tags, IPv4 or IPv6, TCP, UDP or ICMP; None for other frames."""
-    if len(frame) < 14:
-        return None
+SCHEMA = "timestamp double, src_mac string, dst_mac string, src_ip string, dst_ip string, ip_version int, ttl int, src_port int, dst_port int, transport string, tcp_flags_str string, seq_num long, ack_num long, window_size int, orig_len long, payload_len long, payload binary, link int, raw binary"
+#: Link types that are decoded.
+ETHERNET, RAW_IP, COOKED = 1, (12, 101), 113
+def _link_layer(frame: bytes, link: int) -> tuple[dict, int, int] | None:
+    """(addresses, type of what follows, its place) by the link type; None for other types and cut headers."""
     mac = lambda b: ":".join(f"{x:02x}" for x in b)
-    row = {"dst_mac": mac(frame[:6]), "src_mac": mac(frame[6:12]), "src_port": 0, "dst_port": 0, "tcp_flags_str": "", "seq_num": 0, "ack_num": 0, "window_size": 0}
-    kind, at = int.from_bytes(frame[12:14]), 14
+    if link == ETHERNET and len(frame) >= 14:
+        return {"dst_mac": mac(frame[:6]), "src_mac": mac(frame[6:12])}, int.from_bytes(frame[12:14]), 14
+    if link in RAW_IP and frame:
+        return {}, {4: 0x0800, 6: 0x86DD}.get(frame[0] >> 4, 0), 0
+    if link == COOKED and len(frame) >= 16:
+        return {"src_mac": mac(frame[6:12])}, int.from_bytes(frame[14:16]), 16
+    return None
+
+
+def decode(frame: bytes, link: int = 1) -> dict | None:
+    """Ethernet, cooked or raw frames with VLAN tags, IPv4 or IPv6, TCP, UDP or ICMP; None for other frames."""
+    if (found := _link_layer(frame, link)) is None:
+        return None
+    addresses, kind, at = found
+    row = addresses | {"src_port": 0, "dst_port": 0, "tcp_flags_str": "", "seq_num": 0, "ack_num": 0, "window_size": 0}
     while kind in (0x8100, 0x88A8) and len(frame) >= at + 4:
         kind, at = int.from_bytes(frame[at + 2 : at + 4]), at + 4
     if kind == 0x0800 and len(frame) >= at + 20:
@@ -61,44 +58,120 @@ def decode(frame: bytes) -> dict | None:
     elif proto == 17 and end >= at + 8:
         row["src_port"], row["dst_port"] = struct.unpack_from(">HH", frame, at)
         at += 8
-    row["payload_len"] = max(0, end - at)
+    row["payload_len"], row["payload"] = max(0, end - at), frame[at:end]
     return row
 
 
-def read(spark: SparkSession, path: str, time_range: tuple[float, float] | None = None) -> DataFrame:
-    """Packets of all pcap files at ``path``, a file a task; records outside the time range aren't decoded."""
+def read(spark: SparkSession, path: str | list[str], time_range: tuple[float, float] | None = None, range_bytes: int = capture_files.RANGE, counter=None) -> DataFrame:
+    """Packets of all capture files at ``path``, of either format, read in byte ranges by as many tasks.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for pdf in batches:
-            for data in pdf["content"]:
-                rows = []
-                for t, length, frame in frames(data):
-                    if time_range and not time_range[0] <= t <= time_range[1]:
-                        continue
-                    if (row := decode(frame)) is not None:
-                        rows.append(row | {"timestamp": t, "orig_len": length, "raw": frame})
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
-    # checkpointed with its numbers, so that every branch of a plan sees the same ones
-    return scratch.cut(rows.orderBy("timestamp", "src_ip", "src_port", "seq_num").withColumn("seq_no", F.monotonically_increasing_id()))
+    ``seq_no`` is a packet's place among all records, files by name, so it does not depend on ranges or the time range. Ranges and packets outside the
+    time range aren't decoded (``counter``, an accumulator, counts those that are). Frames of other kinds have no row.
+    """
+    schema = f"seq_no long, {SCHEMA}"
+    kinds = capture_files.arrow_schema(schema)
+    names = kinds.names
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        out = []
+        for number, time, length, link, frame in rows:
+            if (row := decode(frame, link)) is not None:
+                out.append(row | {"seq_no": number, "timestamp": time, "orig_len": length, "link": link, "raw": frame})
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], kinds.field(n).type) for n in names], schema=kinds)
+
+    return capture_files.records(capture_files.index(spark, path, range_bytes), time_range, emit, schema, counter)
+
+
+#: Layout of the frames that :func:`with_frames` makes.
+_EMPTY_MAC = bytes([2, 0, 0, 0, 0, 1])
+
+
+def frame_of(src_ip: str, dst_ip: str, src_port: int, dst_port: int, transport: str, ttl: int, flags: str, seq: int, payload: bytes = b"") -> bytes:
+    """An Ethernet frame of an IPv4 packet with these fields, checksums left 0."""
+    if transport == "TCP":
+        mask = sum(b for b, n in FLAG_BITS if n in flags.split())
+        head, proto = struct.pack(">HHIIBBHHH", src_port, dst_port, seq & 0xFFFFFFFF, 0, 0x50, mask, 0, 0, 0), 6
+    else:
+        head, proto = struct.pack(">HHHH", src_port, dst_port, 8 + len(payload), 0), 17
+    ip = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(head) + len(payload), 0, 0, ttl, proto, 0) + ipaddress.IPv4Address(src_ip).packed + ipaddress.IPv4Address(dst_ip).packed
+    return _EMPTY_MAC + _EMPTY_MAC + b"\x08\x00" + ip + head + payload
+
+
+def with_frames(packets: DataFrame) -> DataFrame:
+    """(timestamp, orig_len, raw): packets without raw bytes as frames that have their fields, and ``payload`` where there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [frame_of(*r.values()) for r in batch.drop_columns(["timestamp", "orig_len"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["timestamp"], batch["orig_len"], pa.array(raw, pa.binary())], names=["timestamp", "orig_len", "raw"])
+
+    payload = F.col("payload") if "payload" in packets.columns else F.lit(b"")
+    fields = ["src_ip", "dst_ip", "src_port", "dst_port", "transport", "ttl", "tcp_flags_str", "seq_num"]
+    return packets.select("timestamp", "orig_len", *fields, payload.alias("payload")).mapInArrow(run, "timestamp double, orig_len long, raw binary")
+
+
+def _pcap_head() -> bytes:
+    return struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
+
+
+def _pcap_record(time: float, length: int, frame: bytes) -> bytes:
+    micros = round(time * 1e6)
+    return struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(frame), length) + frame
+
+
+def _block(kind: int, body: bytes) -> bytes:
+    size = 12 + len(body)
+    return struct.pack("<II", kind, size) + body + struct.pack("<I", size)
+
+
+def _blocks_head() -> bytes:
+    section = struct.pack("<IHHq", capture_files.MARK, 1, 0, -1)
+    return _block(capture_files.SECTION, section) + _block(capture_files.INTERFACE, struct.pack("<HHI", 1, 0, 262144))
+
+
+def _blocks_record(time: float, length: int, frame: bytes) -> bytes:
+    micros = round(time * 1e6)
+    return _block(capture_files.PACKET, struct.pack("<IIIII", 0, micros >> 32, micros & 0xFFFFFFFF, len(frame), length) + frame + bytes(-len(frame) % 4))
+
+
+FORMATS = {"pcap": (_pcap_head, _pcap_record), "pcapng": (_blocks_head, _blocks_record)}
+
+
+def write(packets: DataFrame, folder: str, form: str = "pcap") -> list[str]:
+    """Writes (timestamp, orig_len, raw) as capture files, one a partition, packet by packet, so files of any size; returns their paths.
+
+    Each attempt of a task writes a file of its own; only files of attempts that Spark took are returned. Remove the
+    others, if tasks were lost, with the folder.
+    """
+    head, record = FORMATS[form]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name = f"{folder}/part-{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.{form}"
+        count = 0
+        with capture_files.created(name) as out:
+            out.write(head())
+            for batch in batches:
+                rows = zip(batch["timestamp"].to_pylist(), batch["orig_len"].to_pylist(), batch["raw"].to_pylist(), strict=True)
+                out.write(b"".join(record(*r) for r in rows))
+                count += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["path", "n"])
+
+    done = packets.select("timestamp", "orig_len", "raw").mapInArrow(run, "path string, n long").collect()
+    return sorted(r["path"] for r in done)
 
 
 def slice_bytes(packets: DataFrame) -> DataFrame:
-    """(part, pcap): the packets' raw frames as pcap files, one a partition."""
+    """(part, pcap): the packets' raw frames as pcap files, one a partition of up to 2 GB; :func:`write` makes files without that limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)]
+        out = [_pcap_head()]
         for pdf in batches:
             for t, length, frame in zip(pdf["timestamp"], pdf["orig_len"], pdf["raw"]):
-                micros = round(t * 1e6)
-                out.append(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(frame), length) + frame)
+                out.append(_pcap_record(t, length, frame))
         if len(out) > 1:
             yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "pcap": [b"".join(out)]})
 
