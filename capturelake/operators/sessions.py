@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from capturelake import scratch
 from capturelake.functions import net
 
 TCP_GAP, UDP_GAP = 120.0, 60.0
@@ -49,15 +54,22 @@ def _protocol_split(seen: dict, kinds: list[str], xid, t: float) -> bool:
     return False
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds generation to batches sorted by flow and time. The boundary state of the flow at hand goes from batch to batch."""
-    flow = closed = last = seq = isn = generation = None
-    seen: dict = {}
-    for batch in batches:
+class Boundary:
+    """The boundary rule over packets in order of flow and time, a packet of state: what closed the session, the last time and numbers, and the
+    protocols' last times. ``entry`` is the state of the flow whose packets come first, if it began before."""
+
+    def __init__(self, entry: tuple | None = None, generation: int = 0):
+        self.flow, self.state, self.generation = None, (0.0, 0.0, None, None, ()), generation
+        if entry:
+            self.flow, self.state = entry
+
+    def feed(self, batch: pa.RecordBatch) -> list[int]:
+        """The generation of each row."""
         columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("session_key", "timestamp", "transport", "tcp_flags_str", "seq_num")]
         marks = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for names in SIGNALS.values() for c in names if c in batch.schema.names}
-        out = []
-        for row, (key, t, transport, said, number) in enumerate(zip(*columns)):
+        flow, generation, (closed, last, seq, isn, known) = self.flow, self.generation, self.state
+        seen, out = dict(known), []
+        for row, (key, t, transport, said, number) in enumerate(zip(*columns, strict=True)):
             if key != flow:
                 flow, closed, last, seq, isn, generation, seen = key, 0.0, 0.0, None, None, 0, {}
             tcp, flags = transport == "TCP", (said or "").split(" ")
@@ -78,7 +90,64 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seq, isn = number, number if syn and ack else isn
             last = t
             out.append(generation)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "generation"])
+        self.flow, self.generation, self.state = flow, generation, (closed, last, seq, isn, tuple(sorted(seen.items())))
+        return out
+
+
+def _ends(rows: DataFrame, entries: dict[int, tuple], wanted: set[int] | None) -> list:
+    """For each partition (of ``wanted``) with rows: part, its first and last flow, the splits inside the first, and the last one's state and
+    generation at the end. Only rows of these two flows are folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        if wanted is not None and part not in wanted:
+            return
+        boundary, first, splits, last = Boundary(entries.get(part)), None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index("session_key"))
+            first, last = keys[0].as_py() if first is None else first, keys[-1].as_py()
+            mine = batch.filter(pc.or_(pc.equal(keys, first), pc.equal(keys, last)))
+            found = boundary.feed(mine)
+            of_first = pc.sum(pc.equal(mine.column(mine.schema.get_field_index("session_key")), first)).as_py()
+            splits = found[of_first - 1] if of_first else splits
+        if first is not None:
+            exit_state = pickle.dumps((boundary.flow, boundary.state))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (first, pa.string()), (last, pa.string()), (splits, pa.int32()), (boundary.generation, pa.int32()), (exit_state, pa.binary()))], names=["part", "first", "last", "splits", "generation", "state"])
+
+    return rows.mapInArrow(run, "part int, first string, last string, splits int, generation int, state binary").collect()
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """Adds generation to rows whose partitions are ranges of (flow, time, seq_no), each sorted.
+
+    A flow may span partitions. Each partition is folded as if its first flow began there; then again with the state in which the one
+    before it ended, as long as that changes. A gap over the limit resets the state, so most flows settle in one more pass; a busy
+    flow without such a gap takes a pass a partition. A partition's ends are a few values; the driver sees nothing else.
+    """
+    entries: dict[int, tuple] = {}
+    ends = {r["part"]: r for r in _ends(rows, entries, None)}
+    order = sorted(ends)
+    while True:
+        due = {p: ends[q]["state"] for q, p in pairwise(order) if ends[q]["last"] == ends[p]["first"]}
+        changed = {p for p, state in due.items() if entries.get(p) != pickle.loads(state)}
+        if not changed:
+            break
+        entries |= {p: pickle.loads(due[p]) for p in changed}
+        ends |= {r["part"]: r for r in _ends(rows, entries, changed)}
+    before = dict.fromkeys(order, 0)
+    for q, p in pairwise(order):
+        if p in due:
+            before[p] = ends[q]["generation"] + (before[q] if ends[q]["first"] == ends[q]["last"] else 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        boundary = Boundary(entries.get(part), before.get(part, 0))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boundary.feed(batch), pa.int32())], names=[*batch.schema.names, "generation"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("generation", IntegerType())]))
 
 
 def with_generations(packets: DataFrame) -> DataFrame:
@@ -87,15 +156,17 @@ def with_generations(packets: DataFrame) -> DataFrame:
     A flow splits at: a packet after FIN or RST that opens a connection (pure SYN, SYN-ACK of a new
     number) or comes over 5 s later; a gap over 120 s (TCP) or 60 s; a sequence jump over a million with a gap over 5 s; and, where
     the packets have the columns of SIGNALS, DNS or DHCP packets over 10 s or HTTP ones over 30 s apart, or another DHCP transaction.
-    Without such columns, flows without a TCP packet take the window form. The rest are sorted, which spills, and read with a
-    state of one packet: a flow's fold is sequential, but its size doesn't matter for memory. Packets of equal time go by seq_no;
-    ones without an address go.
+    Without such columns, flows without a TCP packet take the window form. The rest are dealt out in ranges of flow and time, so a flow
+    of all packets is spread over all tasks, and folded range by range with a state of one packet (:func:`_folded`). Packets of equal time go
+    by seq_no; ones without an address go.
     """
     rows = packets.where("src_ip <> '' and dst_ip <> ''").withColumn("session_key", net.session_key()).withColumn("seq_num", F.col("seq_num").cast("long"))
     signals = any(c in packets.columns for names in SIGNALS.values() for c in names)
     tcp = F.coalesce(F.col("transport") == "TCP", F.lit(False))
-    ordered = (rows if signals else rows.where(tcp)).repartition("session_key").sortWithinPartitions("session_key", "timestamp", "seq_no")
-    named = ordered.mapInArrow(_split, StructType([*ordered.schema.fields, StructField("generation", IntegerType())]))
+    parts = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["session_key", "timestamp", "seq_no"]
+    # checkpointed, so that every pass sees the same ranges
+    named = _folded(scratch.cut((rows if signals else rows.where(tcp)).repartitionByRange(parts, *order).sortWithinPartitions(*order)))
     if not signals:
         named = named.unionByName(by_gap(packets.where(~tcp)).withColumn("seq_num", F.col("seq_num").cast("long")))
     return named.withColumn("session_id", F.when(F.col("generation") > 0, F.concat("session_key", F.lit("#"), F.col("generation").cast("string"))).otherwise(F.col("session_key")))
