@@ -65,8 +65,8 @@ class Capture:
         pairs = algorithms.directed(edges) if directed else algorithms.undirected(edges)
         return algorithms.paths(pairs, source, target, cutoff, most, two_way=not directed)
 
-    def clusters(self, algorithm: str = "communities", **options) -> DataFrame:
-        known = {"communities": algorithms.communities, "core": algorithms.core_clusters, "hubs": algorithms.hubs, "equivalent": algorithms.equivalent}
+    def clusters(self, algorithm: str = "modular", **options) -> DataFrame:
+        known = {"modular": algorithms.modular, "communities": algorithms.communities, "core": algorithms.core_clusters, "hubs": algorithms.hubs, "equivalent": algorithms.equivalent}
         if algorithm not in known:
             raise ValueError(f"unknown algorithm {algorithm!r}: {', '.join(known)}")
         return known[algorithm](algorithms.undirected(self.graph()[1]), **options)
@@ -77,7 +77,8 @@ class Capture:
         return predicates.match(items, conditions, logic, self.sets, empty=target == "sessions")
 
     def run_recipe(self, steps: list[recipe.Step]) -> recipe.Outcome:
-        out = recipe.run(*self.graph(), steps, self.sets)
+        wanted = any(s.target == "sessions" for s in steps)
+        out = recipe.run(*self.graph(), steps, self.sets, ses.sessions(self.split) if wanted else None)
         self.sets = out.sets
         return out
 

@@ -1,4 +1,4 @@
-"""Recipes: steps that highlight, show, hide and name parts of a graph, over two frames with a visible column."""
+"""Recipes: steps that highlight, show, hide and name parts of a graph or sessions, with a record of what each step did."""
 
 from __future__ import annotations
 
@@ -25,6 +25,35 @@ class Step:
     enabled: bool = True
 
 
+@dataclass
+class Record:
+    """What a step did. ``matches``: ids that meet its conditions; ``effective``: those that were visible then, or all sessions; ``removed_nodes`` and
+    ``removed_edges``: ids that it hid. ``nodes`` and ``edges``: ids to highlight, for sessions their addresses and pairs. All are frames of one column id;
+    ``searched`` is the frame that was looked through."""
+
+    step: int
+    verb: str
+    target: str
+    searched: DataFrame
+    matches: DataFrame
+    effective: DataFrame
+    removed_nodes: DataFrame
+    removed_edges: DataFrame
+    nodes: DataFrame | None = None
+    edges: DataFrame | None = None
+    group: str = ""
+
+
+@dataclass
+class Pending:
+    """A step of global scope, to be applied to views made later."""
+
+    step: int
+    verb: str
+    target: str
+    matches: DataFrame
+
+
 @dataclass
 class Outcome:
     nodes: DataFrame
@@ -33,10 +62,16 @@ class Outcome:
     sets: dict[str, DataFrame]
     warnings: list[str]
     highlighted: list[DataFrame]
+    records: list[Record] = field(default_factory=list)
+    pending: list[Pending] = field(default_factory=list)
+
 
+def run(nodes: DataFrame, edges: DataFrame, steps: list[Step], sets: dict[str, DataFrame] | None = None, sessions: DataFrame | None = None) -> Outcome:
+    """Applies the steps in order. Nodes have id, edges id, src, dst; both results have a boolean visible.
 
-def run(nodes: DataFrame, edges: DataFrame, steps: list[Step], sets: dict[str, DataFrame] | None = None) -> Outcome:
-    """Applies the steps in order. Nodes have id, edges id, src, dst; both results have a boolean visible."""
+    Steps on ``sessions(id, src_ip, dst_ip, ...)`` change no visibility: without conditions they match all, highlights are their addresses
+    and pairs, and groups have their ids. ``records`` and ``pending`` tell what each step did and which apply to later views.
+    """
     n, e = nodes.withColumn("visible", F.lit(True)), edges.withColumn("visible", F.lit(True))
     out = Outcome(n, e, {}, dict(sets or {}), [], [])
     for number, step in enumerate(steps):
@@ -52,6 +87,13 @@ def run(nodes: DataFrame, edges: DataFrame, steps: list[Step], sets: dict[str, D
                 out.warnings.append(f"step {number}: no group {step.from_group}")
                 continue
             target, scoped = known
+        if target == "sessions":
+            if sessions is None:
+                out.warnings.append(f"step {number}: no sessions")
+                continue
+            _on_sessions(out, number, step, sessions, scoped)
+            continue
+        before_nodes, before_edges = out.nodes, out.edges
         items = (out.nodes if target == "nodes" else out.edges)
         found = match(items, step.conditions, step.logic, out.sets, empty=scoped is not None)
         if scoped is not None:
@@ -68,9 +110,36 @@ def run(nodes: DataFrame, edges: DataFrame, steps: list[Step], sets: dict[str, D
             _show_only(out, target, ids.select("_id") if step.scope == "global" else seen, step.scope == "global")
         else:
             _hide(out, target, seen)
+        matches, effective = ids.select(F.col("_id").alias("id")), seen.select(F.col("_id").alias("id"))
+        gone = [_shown(b).join(_shown(a), "id", "left_anti") for b, a in ((before_nodes, out.nodes), (before_edges, out.edges))]
+        out.records.append(Record(number, step.verb, target, items, matches, effective, *gone, group=step.group))
+        if step.scope == "global" and step.verb in ("hide", "show_only"):
+            out.pending.append(Pending(number, step.verb, target, matches))
     return out
 
 
+def _shown(items: DataFrame) -> DataFrame:
+    return items.where("visible").select("id")
+
+
+def _on_sessions(out: Outcome, number: int, step: Step, sessions: DataFrame, scoped: DataFrame | None) -> None:
+    """Matches, highlights and groups of a step on sessions; a group's members limit the match."""
+    found = match(sessions, step.conditions, step.logic, out.sets, empty=True)
+    if scoped is not None:
+        found = found.join(scoped.select(F.col("member").alias("id")), "id", "left_semi")
+    found = _cut(found.select("id", "src_ip", "dst_ip"))
+    ids = found.select("id").distinct()
+    nodes = found.select(F.explode(F.array("src_ip", "dst_ip")).alias("id")).where("id <> ''").distinct()
+    pairs = found.where("src_ip <> '' and dst_ip <> ''").select(F.concat_ws("|", F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip")).alias("id")).distinct()
+    if step.verb == "highlight":
+        out.highlighted += [nodes.withColumnRenamed("id", "_id"), pairs.withColumnRenamed("id", "_id")]
+    elif step.verb in ("tag", "color", "cluster", "save_as_set") and step.group:
+        kind = "set" if step.verb == "save_as_set" else step.verb
+        out.groups[kind, step.group] = ("sessions", ids.withColumnRenamed("id", "member"))
+    nothing = ids.limit(0)
+    out.records.append(Record(number, step.verb, "sessions", sessions, ids, ids, nothing, nothing, nodes, pairs, step.group))
+
+
 def _mark(items: DataFrame, ids: DataFrame, keep: bool, everything: bool = False) -> DataFrame:
     """visible: and in (keep) or not in ``ids``; ``everything`` forgets what was hidden before."""
     hit = ids.withColumn("_hit", F.lit(True))

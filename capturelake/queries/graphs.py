@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.operators import algorithms as alg
 from capturelake.operators import graph
 from capturelake.plans.predicates import Condition, match
 from capturelake.plans.recipe import Step, run
+from capturelake.queries import sessions as session_queries
 from capturelake.queries.registry import Registry
 from capturelake.sources.capture_view import packets
 
@@ -64,7 +68,7 @@ R.add("g07_hubs", lambda s, d: numbered(alg.hubs(packets(s, d).select(F.expr(LEA
 R.add("g08_equivalent", lambda s, d: alg.equivalent(parted_pairs(s, d), 2).withColumn("cluster", F.col("cluster").cast("long")),
       "WITH " + PAIRS + BOTH + ", k AS (SELECT a AS node, array_to_string(list_sort(list(b)), ',') k FROM t GROUP BY a), g AS (SELECT k, CAST(row_number() OVER (ORDER BY count(*) DESC, min(node)) - 1 AS BIGINT) AS cluster FROM k GROUP BY k HAVING count(*) >= 2) SELECT node, cluster FROM k JOIN g USING (k)")
 R.add("g04_paths", lambda s, d: alg.paths(talk(s, d), "10.0.0.4", "192.168.1.1", cutoff=3, most=20))
-R.add("g05_communities", lambda s, d: alg.communities(talk(s, d)))
+R.add("g05_communities", lambda s, d: alg.modular(talk(s, d)))
 R.add("g10_centrality", lambda s, d: alg.centrality(talk(s, d)))
 R.add("n11_central_nodes", lambda s, d: alg.central_nodes(talk(s, d), talk(s, d).select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("bytes"))))
 
@@ -161,3 +165,56 @@ def grouped(s, d):
 
 
 R.add("r08_groups_and_sets", grouped, RECIPE + "SELECT id FROM n WHERE t <= 200000 AND id IN (SELECT src_ip FROM packets WHERE protocol = 'SMB' UNION SELECT dst_ip FROM packets WHERE protocol = 'SMB')")
+
+
+def session_steps(s, d):
+    """What two steps on sessions highlight: the addresses and pairs of long TCP sessions, then of tagged ones that are not web."""
+    nodes, edges = view(s, d)
+    steps = [
+        Step("highlight", "sessions", [C("packet_count", ">=", 3), C("transport", "equals", "tcp")]), Step("tag", "sessions", [C("total_bytes", ">", 2000)], group="big"),
+        Step("highlight", conditions=[C("protocol", "equals", "https", negate=True)], from_group=("tag", "big")),
+    ]
+    done = run(nodes, edges, steps, sessions=session_queries.built(s, d))
+    parts = [f.select(F.lit(r.step).alias("step"), F.lit(k).alias("kind"), "id") for r in done.records if r.verb == "highlight" for k, f in (("node", r.nodes), ("edge", r.edges), ("session", r.matches))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+SESSION_STEPS = session_queries.SESSIONS + """, m AS (SELECT 0 AS step, id, src_ip, dst_ip FROM sessions WHERE packet_count >= 3 AND transport = 'TCP'
+ UNION ALL SELECT 2, id, src_ip, dst_ip FROM sessions WHERE total_bytes > 2000 AND protocol <> 'HTTPS')
+SELECT step, 'session' AS kind, id FROM m UNION SELECT step, 'node', src_ip FROM m UNION SELECT step, 'node', dst_ip FROM m UNION SELECT step, 'edge', least(src_ip, dst_ip) || '|' || greatest(src_ip, dst_ip) FROM m"""
+R.add("r09_session_steps", session_steps, SESSION_STEPS)
+
+
+def provenance(s, d):
+    """What each step of a recipe removed, by id."""
+    nodes, edges = view(s, d)
+    steps = [Step("show_only", "edges", [C("protocol", "equals", "ssh")]), Step("hide", "nodes", [C("total_bytes", "<", 38000)]), Step("hide", "edges", [C("dst", "starts_with", "203.")])]
+    parts = []
+    for r in run(nodes, edges, steps).records:
+        for what, found in (("match", r.matches), ("effect", r.effective), ("node", r.removed_nodes), ("edge", r.removed_edges)):
+            parts.append(found.select(F.lit(r.step).alias("step"), F.lit(what).alias("what"), "id"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+PROVENANCE = RECIPE + """, low AS (SELECT id FROM n WHERE t < 38000), ssh AS (SELECT * FROM e WHERE protocol = 'SSH'),
+ held AS (SELECT * FROM ssh WHERE src_ip NOT IN (SELECT id FROM low) AND dst_ip NOT IN (SELECT id FROM low)), far AS (SELECT * FROM held WHERE starts_with(dst_ip, '203.')),
+ near AS (SELECT * FROM held WHERE NOT starts_with(dst_ip, '203.')), lost AS (SELECT src_ip AS id FROM far UNION SELECT dst_ip FROM far)
+SELECT 0 AS step, 'match' AS what, id FROM ssh UNION ALL SELECT 0, 'effect', id FROM ssh UNION ALL SELECT 0, 'edge', id FROM e WHERE protocol <> 'SSH'
+UNION ALL SELECT 1, 'match', id FROM low UNION ALL SELECT 1, 'effect', id FROM low UNION ALL SELECT 1, 'node', id FROM low UNION ALL SELECT 1, 'edge', id FROM ssh WHERE id NOT IN (SELECT id FROM held)
+UNION ALL SELECT 2, 'match', id FROM e WHERE starts_with(dst_ip, '203.') UNION ALL SELECT 2, 'effect', id FROM far UNION ALL SELECT 2, 'edge', id FROM far
+UNION ALL SELECT 2, 'node', id FROM lost WHERE id NOT IN (SELECT src_ip FROM near UNION SELECT dst_ip FROM near) AND id NOT IN (SELECT id FROM low)"""
+R.add("r10_provenance", provenance, PROVENANCE)
+
+
+def modular_invariants(s, d):
+    """What holds of any good clustering: every node that talks has a cluster, weights inside and between clusters are all weights, and
+    modularity is over that of one cluster, which is 0."""
+    pairs = talk(s, d)
+    found = alg.modular(pairs, least=1)
+    ends = pairs.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b")
+    good = alg.modularity(pairs, found).select((F.col("modularity") > 0).alias("positive"))
+    return found.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(ends.agg(F.sum("weight").alias("weight"))).crossJoin(good)
+
+
+R.add("g05_modular_invariants", modular_invariants,
+      "SELECT (SELECT count(*) FROM (SELECT src_ip FROM packets WHERE src_ip <> dst_ip UNION SELECT dst_ip FROM packets WHERE src_ip <> dst_ip)) AS nodes, CAST(sum(orig_len) AS BIGINT) AS weight, true AS positive FROM packets WHERE src_ip <> dst_ip")

@@ -31,3 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder. Unlike a checkpoint it carries no constraints along, which in a loop of joins and coalesced columns
+    grow with each turn until planning takes longer than the work."""
+    spark = df.sparkSession
+    path = fresh(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
