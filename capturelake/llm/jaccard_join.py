@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from capturelake.llm.common import components, cut, documents, scratch_dir
 from capturelake.llm.hashing import mix, shingles
-from capturelake.llm.near_dup import _one_id, fingerprints
+from capturelake.llm.near_dup import SLICE, _one_id, fingerprints
 from capturelake.llm.tokens import slices
 
 WIDTH = 3
@@ -58,7 +58,7 @@ def parities(index: np.ndarray, value: np.ndarray, m: int) -> pa.Array:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             yield batch.column(0).slice(a, b - a), texts[a:b]
 
 

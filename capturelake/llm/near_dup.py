@@ -18,6 +18,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: 32 bands of 6 coordinates: of pairs at 0.8 all but 6 in 100,000 share a band, at 0.9 all but 3 in 10**11.
 BANDS, ROWS = 32, 6
+#: Characters that a worker hashes at once; its arrays take about 60 bytes for each.
+SLICE = 1_500_000
 
 
 def dart_minhash(index: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 m = b - a
                 index, value, weight, at, each = elements(texts[a:b], weights)
                 bands = band_keys(dart_minhash(index, value, weight, m, BANDS * ROWS))
@@ -123,7 +125,7 @@ def shingle_sets(docs: DataFrame, weights: str = "set") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 m = b - a
                 *_, at, each = elements(texts[a:b], weights)
                 ends = np.searchsorted(at, np.arange(m + 1)).astype(np.int32)
