@@ -30,10 +30,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting that a query's shuffle files go at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and continues from there, with its lineage cut."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes ``df`` to the checkpoint folder and continues from there, with its lineage cut. What the work shuffled is removed
+    when it has been written, so a chain of steps holds the files of one."""
+    spark = df.sparkSession
+    scratch_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def words_of(text: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import components, cut, documents, scratch_dir
+from capturelake.llm.common import CLEANUP, components, cut, documents, scratch_dir
 from capturelake.llm.hashing import mix, shingles
 from capturelake.llm.near_dup import SLICE, _one_id, fingerprints
 from capturelake.llm.tokens import slices
@@ -303,10 +303,16 @@ def compared(pairs: DataFrame, known: DataFrame, reps: DataFrame, width: int, bi
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint."""
-    path = f"{scratch_dir(df.sparkSession)}/jaccard-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint. Its shuffle files go too."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/jaccard-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _numbered(lists: DataFrame, reps: DataFrame) -> DataFrame:

@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import cut, documents, scratch_dir
+from capturelake.llm.common import CLEANUP, cut, documents, scratch_dir
 from capturelake.llm.hashing import Prefix, joined, mix
 from capturelake.llm.suffixes import LENGTH, FirstOnes, merged, runs
 from capturelake.llm.tokens import slices
 
 NO_ID = -(1 << 63)
-#: Spark's setting that a query's shuffle files go at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Length of the ranks that the last round pairs, at offsets 0 and LENGTH - HALF.
 HALF = 64
 #: Texts of one doc_id lie this far apart in the order of places; a text is shorter.

@@ -51,7 +51,7 @@ def test_run(spark, folder):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_empty_corpus(spark, tmp_path):
