@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from capturelake import scratch
 from capturelake.queries.registry import Registry
-from capturelake.sources import negotiation, text_logs
+from capturelake.sources import exports, negotiation, text_logs
 from capturelake.sources.capture_view import packets
 
 R = Registry()
@@ -108,3 +108,81 @@ def merged(s, d):
 
 
 R.add("s17_merged_logs", merged, "SELECT src_ip, count(*) AS packets, count(*) AS numbers, min(timestamp) AS first, CAST(sum(orig_len + ttl) AS BIGINT) AS bytes FROM packets GROUP BY src_ip")
+
+
+METADATA = {
+    "frameNumber": "seq_no", "ts": "timestamp", "sourceIp": "src_ip", "destIp": "dst_ip", "sourcePort": "src_port", "destPort": "dst_port",
+    "ipProtoType": "CASE transport WHEN 'TCP' THEN '6.0' ELSE '17.0' END", "ipTtl": "ttl", "sourceMac": "concat('m', seq_no % 3)", "destMac": "'m9'",
+}
+FRAME = {"frameNumber": "seq_no", "ts": "timestamp + 1"}
+FRAME_SQL = "SELECT CAST(seq_no AS VARCHAR) AS frame, timestamp + 1 AS timestamp, src_ip, dst_ip, src_port, dst_port, transport, ttl, "
+FRAME_COLUMNS = ["frame", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "transport", "ttl", "protocol"]
+#: Frames that the metadata lack, and ones of which they have an older row too.
+LACKING, TWICE = "seq_no % 10 = 3", "seq_no % 10 = 4"
+
+
+def add_table(name, columns, select, sql, where):
+    """A protocol table of the rows where ``where`` holds, read with the metadata of all packets."""
+
+    def query(s, d):
+        rows = packets(s, d)
+        # the older row comes first in its file
+        older = rows.where(TWICE).withColumns({"_n": F.lit(0), "src_ip": F.lit("198.51.100.1"), "ttl": F.lit(1)})
+        known = rows.where(f"not ({LACKING})").withColumn("_n", F.lit(1)).unionByName(older)
+        metadata = write_log(known.repartition("seq_no").sortWithinPartitions("_n"), METADATA, fields=False)
+        table = write_log(rows.where(where), FRAME | columns, fields=False)
+        return exports.read(s, table, metadata).selectExpr(*FRAME_COLUMNS, *select)
+
+    R.add(name, query, f"{FRAME_SQL} {sql} FROM packets WHERE {where} AND NOT ({LACKING})")
+
+
+add_table(
+    "s12_dns_requests",
+    {"transId": "seq_no % 65536", "queriesCount": "1", "query": "concat('{\\'qname\\': \\'n', seq_no % 30, '.example\\', \\'qtype\\': ', CASE seq_no % 3 WHEN 0 THEN '1.0' WHEN 1 THEN '28' ELSE 'None' END, '}')", "responseAt": "''"},
+    ["dns_query", "dns_qtype_name", "dns_trans_id"],
+    "'DNS' AS protocol, concat('n', seq_no % 30, '.example') AS dns_query, CASE seq_no % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AAAA' ELSE '0' END AS dns_qtype_name, CAST(seq_no % 65536 AS INT) AS dns_trans_id",
+    "protocol = 'DNS'",
+)
+ANSWERS = (
+    "CASE WHEN seq_no % 4 = 0 THEN '[]' ELSE concat('[{\\'rname\\': \\'n', seq_no % 30, '\\', \\'rtype\\': 5.0, \\'answer\\': \"it\\'s None\", \\'ttl\\': 60.0}, "
+    "{\\'rname\\': None, \\'rtype\\': 77, \\'answer\\': \\'', dst_ip, '\\', \\'ttl\\': ', seq_no % 50, '}]') END"
+)
+add_table(
+    "s12_dns_responses",
+    {"transId": "7", "flags": "32768 + seq_no % 6", "queriesCount": "1", "query": "'{}'", "answers": ANSWERS, "requestAt": "''"},
+    ["size(dns_records) AS answers", "get(dns_records, 0).type AS first_type", "get(dns_records, 0).data AS first_data", "get(dns_records, 1).name AS second_name", "get(dns_records, 1).type AS second_type",
+     "get(dns_records, 1).data AS second_data", "get(dns_records, 1).ttl AS second_ttl", "dns_rcode_name"],
+    "'DNS' AS protocol, CAST(CASE WHEN seq_no % 4 = 0 THEN 0 ELSE 2 END AS INT) AS answers, CASE WHEN seq_no % 4 > 0 THEN 'CNAME' END AS first_type, CASE WHEN seq_no % 4 > 0 THEN 'it''s None' END AS first_data, CASE WHEN seq_no % 4 > 0 THEN '' END AS second_name, "
+    "CASE WHEN seq_no % 4 > 0 THEN '77' END AS second_type, CASE WHEN seq_no % 4 > 0 THEN dst_ip END AS second_data, CASE WHEN seq_no % 4 > 0 THEN CAST(seq_no % 50 AS INT) END AS second_ttl, "
+    "CASE seq_no % 6 WHEN 0 THEN 'NOERROR' WHEN 1 THEN 'FORMERR' WHEN 2 THEN 'SERVFAIL' WHEN 3 THEN 'NXDOMAIN' WHEN 4 THEN '4' ELSE 'REFUSED' END AS dns_rcode_name",
+    "protocol = 'DNS'",
+)
+add_table(
+    "s12_http_requests",
+    {"httpRequestMethod": "'GET'", "httpRequestUri": "concat('/', seq_no % 13)", "httpRequestVersion": "'HTTP/1.1'", "httpRequestHeaders": "concat('{\\'Host\\': \\'h', seq_no % 7, '.example\\\\r\\\\n\\', \\'User-Agent\\': \\'', CASE WHEN seq_no % 5 > 0 THEN 'agent (None)' ELSE '' END, '\\'}')"},
+    ["http_uri", "http_host", "http_user_agent", "http_cookie"],
+    "'HTTP' AS protocol, concat('/', seq_no % 13) AS http_uri, concat('h', seq_no % 7, '.example') AS http_host, CASE WHEN seq_no % 5 > 0 THEN 'agent (None)' END AS http_user_agent, CAST(NULL AS VARCHAR) AS http_cookie",
+    "protocol = 'HTTP'",
+)
+add_table(
+    "s12_http_responses",
+    {"httpResponseVersion": "'HTTP/1.1'", "httpResponseCode": "200 + seq_no % 3", "httpResponsePhrase": "'OK'", "httpResponseHeaders": "concat('{\\'Server\\': \\'s', seq_no % 4, '\\', \\'Set-Cookie\\': \\'', repeat('c', cast(seq_no % 3 * 300 as int)), '\\'}')"},
+    ["http_status", "http_status_phrase", "http_server", "length(http_set_cookie) AS cookie"],
+    "'HTTP' AS protocol, CAST(200 + seq_no % 3 AS INT) AS http_status, 'OK' AS http_status_phrase, concat('s', seq_no % 4) AS http_server, CAST(CASE seq_no % 3 WHEN 1 THEN 300 WHEN 2 THEN 500 END AS INT) AS cookie",
+    "protocol = 'HTTP'",
+)
+add_table(
+    "s12_smb_commands",
+    {"smbCmd": "5", "smbStatus": "CASE WHEN seq_no % 2 = 0 THEN '0x00000000' ELSE '0xc0000034' END", "smbFlags": "'0x01'", "smbTid": "seq_no % 3", "smbVersion": "2", "smbCmdName": "'Create'"},
+    ["smb_operation", "smb_status", "smb_tree", "smb_version"],
+    "'SMB' AS protocol, 'Create' AS smb_operation, CASE WHEN seq_no % 2 = 1 THEN '0xc0000034' END AS smb_status, CAST(nullif(seq_no % 3, 0) AS INT) AS smb_tree, CAST(2 AS INT) AS smb_version",
+    "protocol = 'SMB'",
+)
+add_table(
+    "s12_rpc_calls",
+    {"endpoint": "CASE seq_no % 3 WHEN 0 THEN 'SAMR' WHEN 1 THEN 'EPM' ELSE 'OTHER' END", "operation": "CASE WHEN seq_no % 2 = 0 THEN cast(seq_no % 40 as string) ELSE 'Open' END"},
+    ["rpc_endpoint", "rpc_opnum", "rpc_interface_id"],
+    "'DCE/RPC' AS protocol, CASE seq_no % 3 WHEN 0 THEN 'SAMR' WHEN 1 THEN 'EPM' ELSE 'OTHER' END AS rpc_endpoint, CAST(CASE WHEN seq_no % 2 = 0 THEN seq_no % 40 ELSE 0 END AS INT) AS rpc_opnum, "
+    "CASE seq_no % 3 WHEN 0 THEN '12345778-1234-abcd-ef00-0123456789ac' WHEN 1 THEN 'e1af8308-5d1f-11c9-91a4-08002b14a0fa' END AS rpc_interface_id",
+    "protocol = 'SMB'",
+)
