@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from capturelake import scratch
 from capturelake.functions import net
 from capturelake.operators import charts, detect, filters, graph
 from capturelake.operators import sessions as ses
 from capturelake.queries.registry import Registry
 from capturelake.sources.capture_view import packets
+from capturelake.streaming import sessions as stream
 
 R = Registry()
 KEY = "concat_ws('|', least(src_ip, dst_ip), greatest(src_ip, dst_ip), CAST(least(src_port, dst_port) AS VARCHAR), CAST(greatest(src_port, dst_port) AS VARCHAR), transport)"
@@ -109,3 +111,28 @@ R.add("f23_entry_filter", lambda s, d: charts.entry_filter(packets(s, d), {"dst_
 EVENTS = ", v AS (SELECT unnest([start_time, end_time]) AS time, unnest(['start', 'end']) AS type, src_ip src, dst_ip dst, id, protocol, total_bytes bytes, packet_count packets FROM sessions WHERE (src_ip IN ('10.0.0.1', '10.0.0.2') OR dst_ip IN ('10.0.0.1', '10.0.0.2')) AND protocol IN ('SSH', 'HTTPS')) "
 add("n27_animation", lambda x: charts.animation(x, ["10.0.0.1", "10.0.0.2"], ["SSH", "HTTPS"]), EVENTS + "SELECT * FROM v")
 add("n28_animation_nodes", lambda x: charts.animation_nodes(charts.animation(x, ["10.0.0.1", "10.0.0.2"], ["SSH", "HTTPS"])), EVENTS + "SELECT node, CAST(sum(bytes) AS BIGINT) bytes, CAST(sum(packets) AS BIGINT) packets FROM (SELECT src node, bytes, packets FROM v WHERE type = 'start' UNION ALL SELECT dst, bytes, packets FROM v WHERE type = 'start') GROUP BY node")
+
+
+def streamed(s, d):
+    """The capture view as files in order of time, read as a stream of several micro-batches; one packet of another flow, two days on, lets the
+    watermark pass all of them."""
+    rows = packets(s, d)
+    source, out = scratch.fresh(s, "packets"), scratch.fresh(s, "named")
+    rows.repartitionByRange(STREAM_FILES, "timestamp", "seq_no").write.parquet(source)
+    last = rows.orderBy(F.desc("timestamp"), F.desc("seq_no")).limit(1).withColumns({"timestamp": F.col("timestamp") + 172_800, "src_ip": F.lit("192.0.2.1"), "seq_no": F.lit(-1).cast("long")})
+    last.write.mode("append").parquet(source)
+    # a micro-batch holds files in any order; the view is minutes long
+    name, rocks = "spark.sql.streaming.stateStore.providerClass", stream.PROVIDER
+    before = s.conf.get(name, None)
+    s.conf.set(name, rocks)
+    try:
+        read = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES // 2 + 1).parquet(source)
+        query = stream.with_generations(read, "1 day").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.fresh(s, "stream")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        s.conf.unset(name) if before is None else s.conf.set(name, before)
+    return s.read.parquet(out).select("seq_no", "session_key", "generation")
+
+
+STREAM_FILES = 8
+R.add("a22_streamed_generations", streamed, FOLD.rstrip().rstrip(",") + " SELECT seq_no, session_key, generation FROM n")
