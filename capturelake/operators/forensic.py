@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.operators import numbering
+
 EDGE_TYPES = {"process_create": "spawned", "network_connect": "connected", "file_create": "wrote", "registry_set": "set_value"}
 ENTITY = "struct<type:string,guid:string,image:string,pid:string,user:string,path:string,key:string,ip:string,port:int,hostname:string>"
 # Hive prefixes, registry categories (first prefix wins), script extensions and path fragments (first wins), living-off-the-land binaries.
@@ -187,8 +189,27 @@ def action_timeline(events: DataFrame, action: str) -> DataFrame:
     return rows.crossJoin(first).select("src_id", "dst_id", "ts", F.round((F.unix_micros("ts") - F.unix_micros("t0")) / 1e6, 3).alias("seconds"))
 
 
-def animation(events: DataFrame) -> DataFrame:
-    """Events in order with a time each: one without gets its place times a millisecond."""
-    rows = with_ids(events).select("src_id", "dst_id", "action_type", "ts")
-    order = Window.partitionBy("src_id", "dst_id").orderBy("ts", "action_type")
-    return rows.withColumn("time", F.coalesce(F.unix_micros("ts") / 1e6, F.row_number().over(order) * 0.001))
+def animation(events: DataFrame, spotlight: list[str] | None = None) -> DataFrame:
+    """(number, src_id, dst_id, action_type, time) of all events, or of those with an end in ``spotlight``, in one order: events without a time first,
+    then by time, pair and action.
+
+    ``number`` counts from 0 over all events; one without a time (or at 0) gets number x 0.001 seconds, so frames differ. Numbers come
+    from ranges and their sizes, not from a window in one task.
+    """
+    rows = with_ids(events)
+    if spotlight is not None:
+        rows = rows.where(F.col("src_id").isin(spotlight) | F.col("dst_id").isin(spotlight))
+    time = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.lit(0.0))
+    numbered = numbering.dense(rows.select("src_id", "dst_id", "action_type", time.alias("time")), "time", "src_id", "dst_id", "action_type")
+    return numbered.withColumn("time", F.when(F.col("time") == 0, F.col("number") * 0.001).otherwise(F.col("time")))
+
+
+def animation_nodes(events: DataFrame, spotlight: list[str] | None = None) -> DataFrame:
+    """(id, label, type, is_spotlight) of the ends of the animation's events."""
+    chosen = F.col("id").isin(spotlight) if spotlight else F.lit(False)
+    found = nodes(events).select("id", "label", "type", chosen.alias("is_spotlight"))
+    if spotlight is None:
+        return found
+    rows = with_ids(events).where(F.col("src_id").isin(spotlight) | F.col("dst_id").isin(spotlight))
+    ends = rows.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
+    return found.join(ends, "id", "left_semi")

@@ -11,10 +11,10 @@ R = Registry()
 IMAGES = "element_at(array('C:\\\\Windows\\\\System32\\\\cmd.exe', 'C:\\\\Users\\\\a\\\\tool.exe', 'C:\\\\Program Files\\\\x\\\\app.exe', 'C:\\\\temp\\\\run.ps1'), cast(user_id % 4 + 1 as int))"
 
 
-def raw(s, d):
-    """Raw records: the user is the process, the kind of event its record type."""
+def raw(s, d, timed="true"):
+    """Raw records: the user is the process, the kind of event its record type; those without ``timed`` have no time."""
     return s.read.parquet(f"{d}/events.parquet").selectExpr(
-        "cast(case event_type when 'view' then 3 when 'click' then 1 when 'purchase' then 11 when 'signup' then 13 else 22 end as int) as eid", "concat('host', user_id % 3) as computer", "cast(ts as timestamp) as time_created",
+        "cast(case event_type when 'view' then 3 when 'click' then 1 when 'purchase' then 11 when 'signup' then 13 else 22 end as int) as eid", "concat('host', user_id % 3) as computer", f"case when {timed} then cast(ts as timestamp) end as time_created",
         f"""map('ProcessGuid', '', 'Image', {IMAGES}, 'ProcessId', cast(user_id as string), 'ParentImage', 'C:\\\\Windows\\\\explorer.exe', 'ParentProcessId', cast(user_id % 7 as string),
             'Initiated', 'true', 'DestinationIp', concat('203.0.113.', event_id % 5), 'DestinationPort', '443', 'TargetFilename', concat('C:\\\\Temp\\\\F', event_id % 9, '.TXT'), 'TargetObject', concat('HKLM\\\\Software\\\\Microsoft\\\\K', event_id % 4)) as event_data""",
     )
@@ -45,3 +45,18 @@ add("n31_registry_timeline", lambda e: fx.action_timeline(e, "registry_set").sel
 add("n34_classifiers", lambda e: fx.nodes(e).where("type = 'process'").select("id", fx.binary_type(F.col("image")).alias("kind"), fx.lolbin(F.col("image")).alias("lolbin")),
     "SELECT DISTINCT id, CASE WHEN contains(id, '.ps1') THEN 'PowerShell script' WHEN contains(id, 'System32') THEN 'System process' WHEN contains(id, 'Windows') THEN 'Windows component' WHEN contains(id, 'Program Files') THEN 'Installed app' ELSE 'User directory' END kind, CASE WHEN contains(id, 'cmd.exe') THEN 'Shell' END lolbin FROM (SELECT src_id id FROM e UNION ALL SELECT dst_id FROM e) WHERE starts_with(id, 'fx:proc')")
 add("x17_registry_category", lambda e: fx.nodes(e).where("type = 'registry'").select("id", fx.registry_category(F.col("key")).alias("category")), "SELECT DISTINCT dst_id AS id, 'Microsoft software' AS category FROM e WHERE type = 'set_value'")
+# events whose number divides by 40 have lost their time
+UNTIMED = EVENTS.replace("SELECT ts, event_type, concat(", "SELECT CASE WHEN event_id % 40 <> 0 THEN ts END AS ts, event_type, concat(")
+ACTION = "CASE type WHEN 'spawned' THEN 'process_create' WHEN 'connected' THEN 'network_connect' WHEN 'wrote' THEN 'file_create' ELSE 'registry_set' END"
+
+
+def untimed(s, d):
+    return fx.dissect(raw(s, d, "event_id % 40 <> 0"))
+
+
+R.add("n29_animation", lambda s, d: fx.animation(untimed(s, d)).select("number", "src_id", "dst_id", "action_type", F.round("time", 6).alias("time")),
+    UNTIMED + f", o AS (SELECT src_id, dst_id, {ACTION} AS action_type, coalesce(epoch_us(ts) / 1000000, 0) AS told FROM e), q AS (SELECT *, row_number() OVER (ORDER BY told, src_id, dst_id, action_type) - 1 AS number FROM o) "
+    "SELECT number, src_id, dst_id, action_type, round(CASE WHEN told = 0 THEN number * 0.001 ELSE told END, 6) AS time FROM q", packets=False)
+HOSTS = [f"fx:net:203.0.113.{n}:443" for n in (0, 1)]
+R.add("n29_spotlight_nodes", lambda s, d: fx.animation_nodes(untimed(s, d), HOSTS).select("id", "type", "is_spotlight"),
+    UNTIMED + f", c AS (SELECT * FROM e WHERE dst_id IN ({', '.join(map(repr, HOSTS))})) SELECT DISTINCT id, CASE WHEN starts_with(id, 'fx:net') THEN 'endpoint' ELSE 'process' END AS type, id IN ({', '.join(map(repr, HOSTS))}) AS is_spotlight FROM (SELECT src_id AS id FROM c UNION ALL SELECT dst_id FROM c)", packets=False)
