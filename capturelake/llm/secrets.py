@@ -7,7 +7,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,16 @@ KEYS = ("passw", "secret", "token", "api")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 #: Shortest run that is scored.
 SHORTEST = 16
+#: Fewest different steps of a random stretch inside a longer piece; a build's number is shorter.
+STRETCH = 12
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+DASHES = re.compile("[-_]")
 #: Nats by which a string must be likelier as random than as an identifier: the least evidence, whatever its length.
 THRESHOLD = 12.0
 #: The rate, nats a step, that a string must exceed too is the least one that held-out identifiers exceed no oftener than this.
 FALSE_SHARE = 0.001
+#: The same for names of kinds that no training sample has.
+KIND_SHARE = 0.05
 #: One labelled text in so many is held out from the counts.
 HELD_OUT = 10
 #: Edges of the bins of rates in which held-out samples are counted.
@@ -65,14 +70,23 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 class MarkovModels:
     """Log-likelihood ratio of each step between characters: random against ordinary.
 
-    ``level``: nats a step that a random string exceeds; ``false_share`` and ``recall``: shares of the held-out identifiers and
-    random strings that are found at it (None: nothing was held out).
+    ``level``: nats a step that a random string exceeds; ``found``: the share of held-out samples that are found at it, by kind of name and
+    alphabet of random strings (empty: nothing was held out).
     """
 
     ratio: np.ndarray
     level: float = 0.0
-    false_share: float | None = None
-    recall: float | None = None
+    found: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def false_share(self) -> float | None:
+        """Share of held-out identifiers that are found (None: nothing was held out)."""
+        return self.found.get(ORDINARY)
+
+    @property
+    def recall(self) -> float | None:
+        """Share of random strings that are found, over the alphabet with the fewest."""
+        return min((share for kind, share in self.found.items() if kind in RANDOM), default=None)
 
     def _scored(self, value: str) -> tuple[float, float]:
         """Sum over the value's steps, and its mean. A step that the value repeats counts once, so one letter many times is no evidence."""
@@ -83,10 +97,23 @@ class MarkovModels:
     def score(self, value: str) -> float:
         return self._scored(value)[0]
 
+    def core_rate(self, value: str, threshold: float) -> float:
+        """The best rate of an unbroken piece between dashes of SHORTEST characters or more that is evidence enough by itself, as a
+        whole or by a stretch of STRETCH steps; -inf without one.
+
+        Names of builds, dates and pods hold short random pieces; many of them in a row are still a name.
+        """
+        best = -np.inf
+        for piece in DASHES.split(value):
+            if len(piece) >= SHORTEST:
+                total, rate = self._scored(piece)
+                best = max([best, *([rate] if total > threshold else []), *(r for _, _, r, n in self._best(piece, threshold) if n >= STRETCH)])
+        return best
+
     def random(self, value: str, threshold: float) -> bool:
-        """Is the whole value likelier random, in sum and by the step?"""
+        """Is the whole value likelier random, in sum and by the step, and a piece of it, too?"""
         total, rate = self._scored(value)
-        return total > threshold and rate > self.level
+        return total > threshold and rate > self.level and self.core_rate(value, threshold) > self.level
 
     def stretches(self, value: str, threshold: float) -> list[tuple[int, int]]:
         """Parts of the value that look random though the whole need not: best stretches of steps, each ended where its sum has
@@ -95,15 +122,15 @@ class MarkovModels:
         A stretch is widened to the ends of the pieces between signs that it begins and ends in.
         """
         found = []
-        for a, b, rate in self._best(value, threshold):
-            if rate > self.level:
+        for a, b, rate, _ in self._best(value, threshold):
+            if rate > self.level and self.core_rate(value[a:b], threshold) > self.level:
                 if found and a <= found[-1][1]:
                     a = found.pop()[0]
                 found.append((a, b))
         return found
 
-    def _best(self, value: str, threshold: float) -> Iterator[tuple[int, int, float]]:
-        """(start, end, rate) of the stretches, whatever their rate."""
+    def _best(self, value: str, threshold: float) -> Iterator[tuple[int, int, float, int]]:
+        """(start, end, rate, different steps) of the stretches, whatever their rate."""
         codes = _CODE[np.frombuffer(value.encode(), np.uint8)].astype(np.int64)
         steps = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1] * N + codes[1:], -1)
         gain = np.where(steps >= 0, self.ratio.reshape(-1)[steps], 0.0)
@@ -120,7 +147,7 @@ class MarkovModels:
                     a -= 1
                 while b < len(value) and value[b] not in "/_-":
                     b += 1
-                yield a, b, best / max(count, 1)
+                yield a, b, best / max(count, 1), count
                 i = start = end = max(b - 1, end)
                 total, best, last = 0.0, 0.0, {-1}
             if i < len(steps):
@@ -136,7 +163,8 @@ class MarkovModels:
     def top_rate(self, value: str, threshold: float) -> float:
         """The rate that decides whether any of the value is found: the best of the whole and its stretches."""
         total, rate = self._scored(value)
-        return max([*([rate] if total > threshold else []), *(r for _, _, r in self._best(value, threshold))], default=-np.inf)
+        whole = [min(rate, self.core_rate(value, threshold))] if total > threshold else []
+        return max([*whole, *(min(r, self.core_rate(value[a:b], threshold)) for a, b, r, _ in self._best(value, threshold))], default=-np.inf)
 
 
 def _log_steps(counts: np.ndarray) -> np.ndarray:
@@ -201,6 +229,30 @@ def identifiers(text: str) -> list[str]:
     return [x for x in made if len(x) >= SHORTEST]
 
 
+#: Letters and digits of generated name endings, as a table from a digest's bytes.
+ENDINGS = _table("bcdfghjklmnpqrstvwxz2456789")
+
+
+def held_kinds(text: str) -> dict[str, list[str]]:
+    """Ordinary names of kinds that no training sample has: builds, dated files, package files, pods, checksums and machines; of four words of a text,
+    its checksum and digest."""
+    words = re.findall("[A-Za-z]+", text)
+    if not words:
+        return {}
+    h, ends = zlib.crc32(text.encode()), hashlib.sha256(text.encode()).digest().translate(ENDINGS).decode()
+    w = [x.lower() for x in (words * 4)[h % len(words) :][:4]]
+    title = [x.capitalize() for x in w]
+    machine = ("arm64", "x86_64", "amd64", "i386")[h % 4]
+    made = {
+        "build": [f"{title[0]}{title[1]}{h % 20}-{h % 5}_Build{title[2]}{h % 30}{'ABCDEFG'[h % 7]}{h % 1000}{'abcdef'[h % 6]}"],
+        "dated": [f"20{h % 30:02}-{h % 12 + 1:02}-{h % 28 + 1:02}T{h % 24:02}-{h // 7 % 60:02}-{h // 11 % 60:02}Z_{w[0]}_v{h % 10}"],
+        "package": [f"lib{w[0]}-{w[1]}{h % 9}-{machine}-{w[2]}_{h % 20}", f"{w[0]}-{w[1]}_{h % 40}-{h % 9}{w[2]}{h % 7}_all"],
+        "pod": [f"{w[0]}-{w[1]}-{ends[:9]}-{ends[9:14]}"],
+        "check": [f"sha256sum-{w[0].upper()}-mk{h % 9}-r{h % 20}", f"{w[0]}{1 << h % 12}-{w[1].upper()}-{w[2]}{h % 100}-r{h % 9}"],
+    }
+    return {kind: [x for x in names if len(x) >= SHORTEST] for kind, names in made.items()}
+
+
 def _is_held(text: str) -> bool:
     return zlib.crc32(text.encode()) // 7 % HELD_OUT == 0
 
@@ -238,23 +290,29 @@ def labelled_steps(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "label int, step int, n long").groupBy("label", "step").agg(F.sum("n").alias("n"))
 
 
+#: Kinds of held-out samples: names made like the training ones, names of other kinds, random strings by alphabet.
+ORDINARY, OTHERS, RANDOM = "identifiers", ("build", "dated", "package", "pod", "check"), ("base62", "base62 other", "base64", "base36", "base32")
+
+
 def held_out_rates(docs: DataFrame, models: MarkovModels, threshold: float = THRESHOLD) -> DataFrame:
-    """(label, bin, n): held-out identifiers (0) and random strings of 20 to 40 characters (1), counted by the bin of
-    their deciding rate; at most 2 x 402 rows."""
+    """(kind, bin, n): held-out names of each kind and random strings of 20 to 40 characters, counted by the bin of
+    their deciding rate; at most 11 x 402 rows. Null texts and texts without a word give nothing."""
+    kinds = [ORDINARY, *OTHERS, *RANDOM]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(RATES) + 1), np.int64)
+        total = np.zeros((len(kinds), len(RATES) + 1), np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t and _is_held(t) and not base_spans(t):
                     n = 20 + zlib.crc32(t.encode()) % 21
-                    for label, values in enumerate((identifiers(t), [x[:n].decode() for x in random_samples(t)[:4]])):
+                    samples = {ORDINARY: identifiers(t)} | held_kinds(t) | {k: [x[:n].decode()] for k, x in zip(RANDOM, random_samples(t), strict=False)}
+                    for kind, values in samples.items():
                         rates = [models.top_rate(v, threshold) for v in values]
-                        np.add.at(total[label], np.searchsorted(RATES, rates), 1)
-        label, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[label, at])], names=["label", "bin", "n"])
+                        np.add.at(total[kinds.index(kind)], np.searchsorted(RATES, rates), 1)
+        kind, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([kinds[k] for k in kind], pa.string()), pa.array(at.astype(np.int32)), pa.array(total[kind, at])], names=["kind", "bin", "n"])
 
-    return docs.select("text").mapInArrow(run, "label int, bin int, n long").groupBy("label", "bin").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "kind string, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
 
 
 def fit(steps: DataFrame) -> MarkovModels:
@@ -265,16 +323,20 @@ def fit(steps: DataFrame) -> MarkovModels:
     return MarkovModels(_log_steps(counts[1]) - _log_steps(counts[0]))
 
 
-def with_level(models: MarkovModels, rates: DataFrame, false_share: float = FALSE_SHARE) -> MarkovModels:
-    """The models with the least level >= 0 that at most ``false_share`` of the held-out identifiers exceed; without any, 0."""
-    counts = np.zeros((2, len(RATES) + 1))
+def with_level(models: MarkovModels, rates: DataFrame, false_share: float = FALSE_SHARE, kind_share: float = KIND_SHARE) -> MarkovModels:
+    """The models with the least level >= 0 that at most ``false_share`` of the held-out identifiers and ``kind_share`` of each other kind of names
+    exceed; without any, 0."""
+    counts: dict[str, np.ndarray] = {}
     for r in rates.collect():
-        counts[r["label"], r["bin"]] = r["n"]
-    # share of each label at or above a bin's lower edge
-    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    fits = np.flatnonzero((RATES >= 0) & (above[0, 1:] <= false_share))
-    at = int(fits[0]) if len(fits) else len(RATES) - 1
-    return replace(models, level=float(RATES[at]), false_share=float(above[0, at + 1]), recall=float(above[1, at + 1]))
+        counts.setdefault(r["kind"], np.zeros(len(RATES) + 1))[r["bin"]] = r["n"]
+    # share of each kind at or above a bin's lower edge
+    above = {kind: np.cumsum(n[::-1])[::-1] / n.sum() for kind, n in counts.items()}
+    fits = RATES >= 0
+    for kind, share in above.items():
+        if kind not in RANDOM:
+            fits &= share[1:] <= (false_share if kind == ORDINARY else kind_share)
+    at = int(np.flatnonzero(fits)[0]) if fits.any() else len(RATES) - 1
+    return replace(models, level=float(RATES[at]), found={kind: float(share[at + 1]) for kind, share in sorted(above.items())})
 
 
 def train(docs: DataFrame) -> MarkovModels:

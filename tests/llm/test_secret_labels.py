@@ -72,6 +72,28 @@ def test_random_strings_are_found(models, kind):
     assert found >= 0.95 * 400
 
 
+def test_level_comes_from_kinds_of_names_held_out(models):
+    """At most 5 in 100 of each kind that training lacks are found, and 9 in 10 of random strings of every alphabet."""
+    assert set(models.found) == {secrets.ORDINARY, *secrets.OTHERS, *secrets.RANDOM}
+    assert all(models.found[k] <= secrets.KIND_SHARE for k in secrets.OTHERS) and all(models.found[k] >= 0.9 for k in secrets.RANDOM), models.found
+
+
+def test_one_kind_of_names_raises_the_level(spark, models):
+    """7 of 100 builds exceed a rate of 1: the level goes over it, and the strings below are not found any more."""
+    at = lambda rate: int(secrets.np.searchsorted(secrets.RATES, rate))
+    rows = [("identifiers", 0, 1000), ("build", 0, 93), ("build", at(1.0), 7), ("pod", 0, 97), ("pod", at(3.0), 3), ("base62", at(0.5), 10), ("base62", at(2.0), 90)]
+    fitted = secrets.with_level(models, spark.createDataFrame(rows, "kind string, bin int, n long"))
+    assert 1.0 <= fitted.level < 1.1 and fitted.found == {"identifiers": 0.0, "build": 0.0, "pod": 0.03, "base62": 0.9}
+
+
+@pytest.mark.parametrize("name", [
+    "MacBookPro18-3_BuildXcode15A240d", "2024-01-31T12-30-45Z_backup_v2", "sha256sum-CHECK-mk2-r7", "kubernetes-dashboard-7d9f8c6b5-x2k4p",
+    "libgcc-s1-arm64-cross_10.2.1-6cross1_all", "ingress-nginx-controller-6d4b75cb6d-hm9vq", "Win10_22H2_EnglishInternational_x64v1", "IMG_20240131_123045_HDR_edited",
+])
+def test_names_of_other_programs(models, name):
+    assert secrets.find(f"see {name} for it", models) == []
+
+
 def brute(text):
     """The base spans as the contract words them, straight from its patterns."""
     text = text or ""
