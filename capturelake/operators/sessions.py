@@ -231,6 +231,12 @@ def of_subnet_edges(found: DataFrame, edges: DataFrame, prefix: int) -> DataFram
     return e.join(s, ["a", "b", "protocol"]).select("edge", "session").distinct()
 
 
+def of_analysis_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(edge, session) of the analysis graph's edges (a, b, protocols), named a|b: sessions between the two addresses, in either direction, whose protocol or
+    transport is one of the edge's; a session that fits by several is there once."""
+    return of_edges(found, edges.select(F.concat_ws("|", "a", "b").alias("id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.explode("protocols").alias("protocol")))
+
+
 def page(found: DataFrame, sort: str = "total_bytes", limit: int = 100, offset: int = 0) -> DataFrame:
     """Sessions by bytes, packets or duration, largest first, or by start time."""
     key = F.col(sort) if sort == "start_time" else F.desc(sort)

@@ -136,3 +136,5 @@ def streamed(s, d):
 
 STREAM_FILES = 8
 R.add("a22_streamed_generations", streamed, FOLD.rstrip().rstrip(",") + " SELECT seq_no, session_key, generation FROM n")
+R.add("j03_analysis_edge_sessions", lambda s, d: ses.of_analysis_edges(built(s, d), graph.analysis_edges(packets(s, d))),
+      SESSIONS + ", e AS (SELECT DISTINCT least(src_ip, dst_ip) a, greatest(src_ip, dst_ip) b, protocol FROM packets) SELECT DISTINCT concat(a, '|', b) AS edge, s.id AS session FROM e JOIN sessions s ON a = least(src_ip, dst_ip) AND b = greatest(src_ip, dst_ip) AND (s.protocol = e.protocol OR s.transport = e.protocol)")

@@ -80,3 +80,12 @@ def test_capture_runs_every_detector_it_has_columns_for(spark):
     assert [r["severity"] for r in rows][:2] == ["critical", "high"]
     plain = Capture(spark.createDataFrame([packet(1, 0)], COLUMNS)).alerts().collect()
     assert plain == []
+
+
+def test_sessions_of_analysis_edges(spark):
+    found = spark.createDataFrame(
+        [("s1", "b", "a", "HTTP", "TCP"), ("s2", "a", "b", "DNS", "UDP"), ("s3", "a", "b", "SSH", "TCP"), ("s4", "a", "c", "HTTP", "TCP"), ("s5", "a", "b", None, "TCP")],
+        "id string, src_ip string, dst_ip string, protocol string, transport string",
+    )
+    edges = spark.createDataFrame([("a", "b", ["HTTP", "TCP"]), ("a", "d", ["HTTP"]), ("a", "c", [])], "a string, b string, protocols array<string>")
+    assert sorted(map(tuple, ses.of_analysis_edges(found, edges).collect())) == [("a|b", "s1"), ("a|b", "s3"), ("a|b", "s5")]
