@@ -21,8 +21,8 @@ def with_ids(packets: DataFrame, subnet_prefix: int | None = None, keep: tuple[s
     return packets.withColumn("src", node("src_ip")).withColumn("dst", node("dst_ip")).where("src <> '' and dst <> '' and src <> dst")
 
 
-def view_nodes(packets: DataFrame) -> DataFrame:
-    """A row for each node id of (src, dst): both ends of a packet count it."""
+def view_nodes(packets: DataFrame, carry: bool = False) -> DataFrame:
+    """A row for each node id of (src, dst): both ends of a packet count it. ``carry`` as in :func:`capturelake.functions.net.ip_number`."""
     half = F.explode(F.array(
         F.struct(F.col("src").alias("id"), F.col("src_ip").alias("ip"), F.col("ttl").alias("ttl_out"), F.lit(None).cast("int").alias("ttl_in")),
         F.struct(F.col("dst").alias("id"), F.col("dst_ip").alias("ip"), F.lit(None).cast("int").alias("ttl_out"), F.col("ttl").alias("ttl_in")),
@@ -32,7 +32,7 @@ def view_nodes(packets: DataFrame) -> DataFrame:
         F.sum("orig_len").alias("total_bytes"), F.count(F.lit(1)).alias("packet_count"),
         F.array_sort(F.collect_set(F.when(F.col("e.ttl_out") > 0, F.col("e.ttl_out")))).alias("ttls_out"),
         F.array_sort(F.collect_set(F.when(F.col("e.ttl_in") > 0, F.col("e.ttl_in")))).alias("ttls_in"),
-        F.bool_or(net.is_private(F.col("e.ip"))).alias("is_private"),
+        F.bool_or(net.is_private(F.col("e.ip"), carry)).alias("is_private"),
     )
 
 

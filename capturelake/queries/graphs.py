@@ -41,7 +41,7 @@ def numbered(df):
 
 def view(s, d):
     rows = graph.with_ids(packets(s, d))
-    return graph.view_nodes(rows), graph.view_edges(rows)
+    return graph.view_nodes(rows, carry=True), graph.view_edges(rows)
 
 
 R.add("g01_weighted_pairs", lambda s, d: alg.undirected(view(s, d)[1]), "SELECT least(src_ip, dst_ip) a, greatest(src_ip, dst_ip) b, CAST(sum(orig_len) AS BIGINT) weight FROM packets WHERE src_ip <> dst_ip GROUP BY 1, 2")
