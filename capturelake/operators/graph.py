@@ -11,12 +11,12 @@ from capturelake.operators.filters import endpoints
 TOP = 10
 
 
-def with_ids(packets: DataFrame, subnet_prefix: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def with_ids(packets: DataFrame, subnet_prefix: int | None = None, keep: tuple[str, ...] = (), carry: bool = False) -> DataFrame:
     """Adds the node ids (src, dst): addresses, or their networks but for ``keep``. Packets without one, or with equal ones, go."""
 
     def node(ip: str):
         c = F.col(ip)
-        return c if subnet_prefix is None else F.when(c.isin(list(keep)), c).otherwise(net.subnet(c, subnet_prefix))
+        return c if subnet_prefix is None else F.when(c.isin(list(keep)), c).otherwise(net.subnet(c, subnet_prefix, carry))
 
     return packets.withColumn("src", node("src_ip")).withColumn("dst", node("dst_ip")).where("src <> '' and dst <> '' and src <> dst")
 
