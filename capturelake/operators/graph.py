@@ -61,9 +61,9 @@ def node_edge_ids(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node"), "id").groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("edge_ids"))
 
 
-def subnets(packets: DataFrame, prefix: int = 24) -> DataFrame:
-    ips = endpoints(packets).select("ip").distinct().where(net.is_ipv4(F.col("ip")))
-    return ips.groupBy(net.subnet(F.col("ip"), prefix).alias("subnet")).agg(F.array_sort(F.collect_set("ip")).alias("ips"))
+def subnets(packets: DataFrame, prefix: int = 24, carry: bool = False) -> DataFrame:
+    ips = endpoints(packets).select("ip").distinct().where((net.is_dotted if carry else net.is_ipv4)(F.col("ip")))
+    return ips.groupBy(net.subnet(F.col("ip"), prefix, carry).alias("subnet")).agg(F.array_sort(F.collect_set("ip")).alias("ips"))
 
 
 def analysis_edges(packets: DataFrame) -> DataFrame:
