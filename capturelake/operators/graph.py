@@ -77,7 +77,7 @@ def analysis_edges(packets: DataFrame) -> DataFrame:
     )
 
 
-def analysis_nodes(packets: DataFrame) -> DataFrame:
+def analysis_nodes(packets: DataFrame, carry: bool = False) -> DataFrame:
     """One row for each address: a sender counts its source port, a receiver the destination port; with degree."""
     rows = endpoints(packets.where("src_ip <> '' and dst_ip <> ''"), "protocol", "src_port", "dst_port", "orig_len", "ttl")
     loop = F.max(F.when(F.col("ip") == F.col("peer"), 1).otherwise(0))
@@ -85,7 +85,7 @@ def analysis_nodes(packets: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("protocol")).alias("protocols"), F.array_sort(F.collect_set(F.when(F.col("sender"), F.col("src_port")).otherwise(F.col("dst_port")))).alias("ports"),
         F.array_sort(F.collect_set(F.when(F.col("ttl") > 0, F.col("ttl")))).alias("ttls"), F.count(F.lit(1)).alias("packets"), F.sum("orig_len").alias("bytes"),
         (F.count_distinct("peer") + loop).alias("degree"),
-    ).withColumn("is_private", net.is_private(F.col("ip")))
+    ).withColumn("is_private", net.is_private(F.col("ip"), carry))
 
 
 def generic_graph(table: DataFrame, source: str, target: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
