@@ -223,9 +223,9 @@ def of_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(s, ["a", "b", "protocol"]).select("edge", "session").distinct()
 
 
-def of_subnet_edges(found: DataFrame, edges: DataFrame, prefix: int) -> DataFrame:
+def of_subnet_edges(found: DataFrame, edges: DataFrame, prefix: int, carry: bool = False) -> DataFrame:
     """The same for edges between networks of one prefix length: the addresses' networks make it an equality join."""
-    a, b = net.subnet(F.col("src_ip"), prefix), net.subnet(F.col("dst_ip"), prefix)
+    a, b = net.subnet(F.col("src_ip"), prefix, carry), net.subnet(F.col("dst_ip"), prefix, carry)
     s = found.select(F.col("id").alias("session"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.explode(F.array_distinct(F.array("protocol", "transport"))).alias("protocol"))
     e = edges.select(F.col("id").alias("edge"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "protocol")
     return e.join(s, ["a", "b", "protocol"]).select("edge", "session").distinct()
