@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from capturelake import scratch
-from capturelake.functions import signatures, tls
+from capturelake.functions import net, signatures, tls
 from capturelake.queries.registry import Registry
 from capturelake.sources import pcap
 from capturelake.sources.capture_view import packets
@@ -14,6 +14,8 @@ from capturelake.sources.capture_view import packets
 R = Registry()
 #: Bytes of a range in the queries, so that every table's files have several.
 RANGE = 1 << 18
+ENDS = ("src_ip", "dst_ip")
+INSIDE = net.block_range("10.0.0.0/8")
 
 
 def _hex(value: Column, digits: int) -> Column:
@@ -70,11 +72,25 @@ R.add("x20_fingerprints", lambda s, d: with_payloads(s, d).select("seq_no", tls.
       f"SELECT seq_no, md5(ja3_string) AS ja3, ja3_string, ja4, sni FROM ({PRINTS})")
 
 
+def _framed(ip: Column) -> Column:
+    """The capture view's hosts 10.0.N.n as addresses of a frame: N over 255 goes on in the number before it."""
+    number = net.ip_number(ip, carry=True)
+    return F.when(ip.startswith("10.") & (number > INSIDE[1]), F.raise_error(F.lit("a frame has no address for the hosts over 10.0.65535"))).otherwise(net.ip_text(number))
+
+
+def _named(ip: Column) -> Column:
+    """The host of an address that :func:`_framed` made."""
+    number = net.ip_number(ip)
+    place = number - INSIDE[0]
+    return F.when(number.between(*INSIDE), F.concat(F.lit("10.0."), F.shiftright(place, 8).cast("string"), F.lit("."), (place % 256).cast("string"))).otherwise(ip)
+
+
 def _read_back(s, d, form: str, **options):
     """The capture as files of one format, and its packets read back from byte ranges."""
     folder = scratch.fresh(s, f"capture-{form}")
-    paths = pcap.write(pcap.with_frames(with_payloads(s, d)), folder, form)
-    return pcap.read(s, paths, range_bytes=RANGE, **options)
+    framed = with_payloads(s, d).withColumns({c: _framed(F.col(c)) for c in ENDS})
+    paths = pcap.write(pcap.with_frames(framed), folder, form)
+    return pcap.read(s, paths, range_bytes=RANGE, **options).withColumns({c: _named(F.col(c)) for c in ENDS})
 
 
 def _flows(rows):

@@ -23,7 +23,7 @@ def folder(spark, tmp_path_factory):
     return str(out)
 
 
-NAMES = ["x04_ip_number", "a01_view_nodes", "a44_collapse", "a07_subnet_edges", "a08_subnets", "a09_analysis_nodes", "n16_roles", "j01_subnet_edge_sessions"]
+NAMES = ["x04_ip_number", "a01_view_nodes", "a44_collapse", "a07_subnet_edges", "a08_subnets", "a09_analysis_nodes", "n16_roles", "j01_subnet_edge_sessions", "s16_block_ranges", "s14_capture_ranges", "s14_time_pushdown"]
 
 
 @pytest.mark.parametrize("name", NAMES)
