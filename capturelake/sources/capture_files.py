@@ -79,7 +79,7 @@ class Pieces:
 class Pcap:
     """Records with a 16-byte header."""
 
-    first, step, forms = 24, 1, (None,)
+    first, step = 24, 1
 
     def __init__(self, head: bytes):
         self.order, self.fraction = MAGICS[struct.unpack("<I", head[:4])[0]]
@@ -88,24 +88,37 @@ class Pcap:
     def start(self) -> Section:
         return Section(self.order, [(self.link, self.fraction, 0)])
 
-    def likely(self, data: bytes, form) -> np.ndarray:
-        """Offsets of ``data`` that can be a header."""
+    def synchronised(self, window: Pieces, low: int, begin: int, goal: int) -> tuple[int, None] | None:
+        """As :func:`synchronised`, from ``low``: of all chains that reach ``goal`` the one of most headers. Any bytes can be a header that leads far on, so
+        some chain of a few long records nearly always reaches the goal, too.
+        """
+        data = window.file.read_at(min(goal + 15, window.size) - low, low)
         n = len(data) - 15
         if n <= 0:
-            return np.zeros(0, np.int64)
+            return None
         kind = np.dtype(self.order + "u4")
         word = lambda k: np.ndarray((n,), kind, data, k, (1,))
-        fraction, kept, length = word(4), word(8), word(12)
-        return np.flatnonzero((fraction < self.fraction) & (kept > 0) & (kept <= LONGEST) & (kept <= length))
-
-    def next(self, window: Pieces, at: int, form) -> int | None:
-        """The place after the record at ``at``, None if there is none or it is cut off."""
-        head = window.bytes(at, 16)
-        if len(head) < 16:
+        # some writers keep more bytes than they tell the packet had, so the length proves nothing
+        fraction, kept = word(4), word(8)
+        places = np.flatnonzero((fraction < self.fraction) & (kept <= LONGEST))
+        after = places + 16 + kept[places]
+        inside = after + low <= window.size
+        places, after = places[inside], after[inside]
+        links: dict[int, int] = {}
+        best, most = None, 0
+        for at, to in zip(places[::-1].tolist(), after[::-1].tolist()):
+            count = 1 if to + low >= goal else links.get(to, -1) + 1
+            if count:
+                links[at] = count
+                # a chain begins at a record with bytes: empty ones are found in any run of zeros
+                if count >= most and to > at + 16:
+                    best, most = at, count
+        if best is None:
             return None
-        _, fraction, kept, length = struct.unpack(self.order + "IIII", head)
-        end = at + 16 + kept
-        return end if fraction < self.fraction and kept <= LONGEST and kept <= length and end <= window.size else None
+        following = dict(zip(places.tolist(), after.tolist()))
+        while best + low < begin:
+            best = following[best]
+        return best + low, None
 
     def walk(self, window: Pieces, at: int, stop: int, state: Section) -> Iterator[tuple]:
         """('packet', place, end, interface, ticks, length, data place, kept) of each record that begins before ``stop``."""
@@ -213,6 +226,8 @@ def synchronised(kind: Pcap | Blocks, window: Pieces, begin: int, stop: int) ->
     low = max(kind.first, begin - LOOK_BACK)
     low += -low % kind.step
     goal = min(stop, begin + LOOK_BACK)
+    if isinstance(kind, Pcap):
+        return kind.synchronised(window, low, begin, goal)
     data = window.file.read_at(min(begin + 2 * LONGEST, window.size) - low, low)
     dead: set[tuple[int, str | None]] = set()
     found = sorted((int(o) + low, form) for form in kind.forms for o in kind.likely(data, form))
