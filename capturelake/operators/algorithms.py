@@ -233,36 +233,61 @@ def paths(edges: DataFrame, source: str, target: str, cutoff: int = CUTOFF, most
 def centrality(edges: DataFrame, states: int = STATES) -> DataFrame:
     """(node, degree, betweenness): shortest-path betweenness, undirected and without weights, by single sources.
 
-    The sources go in blocks of about ``states`` rows (source, node). In a block the breadth-first levels are joins with
-    the edges that count shortest paths, and the shares go back from the last level to the first as sums by source and node.
+    Nodes with the same neighbours (:func:`_twins`) have the same share and are one class; the search goes over classes and counts a class as
+    often as it has members. The sources go in blocks of about ``states`` rows (source, class). In a block the breadth-first levels are joins with
+    the edges that count shortest paths, and the shares go back from the last level to the first as sums by source and class.
     """
     pairs = _cut(both_ways(edges))
-    nodes = _cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).withColumn("id", F.monotonically_increasing_id()))
+    nodes = _twins(pairs)
+    size = _cut(nodes.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("size")))
     ids = nodes.select("a", "id")
-    step = _cut(pairs.join(ids.toDF("a", "at"), "a").join(ids.toDF("b", "to"), "b").select("at", "to"))
-    n = nodes.count()
+    step = pairs.join(ids.toDF("a", "at"), "a").join(ids.toDF("b", "to"), "b").groupBy("at", "to").agg(F.count(F.lit(1)).alias("_n"))
+    step = _cut(step.join(size.toDF("at", "at_size"), "at").join(size.toDF("to", "to_size"), "to"))
+    n = size.count()
     blocks = max(1, -(-n * n // states))
     sums = None
     for block in range(blocks):
-        mine = nodes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        part = _shares(step, mine.select(F.col("id").alias("source")))
+        mine = size.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        part = _shares(step, mine.select(F.col("id").alias("source"), "size"))
         if part is not None:
             sums = _cut((part if sums is None else sums.union(part)).groupBy("id").agg(F.sum("x").alias("x")))
     found = nodes.withColumn("x", F.lit(0.0)) if sums is None else nodes.join(sums, "id", "left")
     return found.select(F.col("a").alias("node"), "degree", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("betweenness"))
 
 
+def _twins(pairs: DataFrame) -> DataFrame:
+    """(a, degree, id): nodes with the same neighbours have the same id. ``pairs(a, b)`` both ways, each once.
+
+    Nodes are grouped by their degree and two hashes of the neighbours, so no list of neighbours is built. Then it is checked that between two classes
+    there are all edges or none; where that does not hold, a hash was wrong, and each node is a class of its own.
+    """
+    marks = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.bit_xor(F.xxhash64("b")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("m2"))
+    marks = _cut(marks)
+    classes = _cut(marks.select("degree", "m1", "m2").distinct().withColumn("id", F.monotonically_increasing_id()))
+    nodes = _cut(marks.join(classes, ["degree", "m1", "m2"]).select("a", "degree", "id"))
+    size = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ids = nodes.select("a", "id")
+    between = pairs.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").groupBy("u", "v").agg(F.count(F.lit(1)).alias("edges"))
+    partly = between.join(size.toDF("u", "nu"), "u").join(size.toDF("v", "nv"), "v").where("edges <> nu * nv")
+    return nodes if partly.isEmpty() else _cut(marks.select("a", "degree", F.monotonically_increasing_id().alias("id")))
+
+
 def _shares(step: DataFrame, sources: DataFrame) -> DataFrame | None:
-    """(id, x): what each node takes of the shortest paths from ``sources(source)``; None where no source has a node at distance 2.
+    """(id, x): what each node of a class takes of the shortest paths from all nodes of ``sources(source, size)``; None where no source has a node at distance 2.
 
-    A neighbour of a level lies in that level or in one beside it, so a new level is told from the last two alone.
+    A search starts at one node of a class; the others of its class, if any, are two steps off and a class of their own in it (``rest``), of one node less. A
+    neighbour of a level lies in that level or in one beside it, so a new level is told from the last two alone.
     """
-    levels = [_cut(sources.select("source", F.col("source").alias("at"), F.lit(1.0).alias("ways")))]
+    links = step.select("at", "to", "at_size", "to_size")
+    own = sources.select("source", F.col("size").alias("_size"))
+    levels = [_cut(sources.select("source", F.col("source").alias("at"), F.lit(False).alias("rest"), F.lit(1.0).alias("ways"), F.lit(1.0).alias("n"), F.col("size").alias("_times")))]
+    key = ["source", "at", "rest"]
     while True:
-        reached = levels[-1].join(step, "at").groupBy("source", F.col("to").alias("at")).agg(F.sum("ways").alias("ways"))
+        reached = levels[-1].join(links, "at").groupBy("source", F.col("to").alias("at"), F.col("to_size").alias("n")).agg(F.sum(F.col("ways") * F.col("n")).alias("ways"))
+        reached = reached.withColumn("rest", F.col("at") == F.col("source")).withColumn("n", F.when(F.col("rest"), F.col("n") - 1).otherwise(F.col("n"))).where("n > 0")
         for level in levels[-2:]:
-            reached = reached.join(level.select("source", "at"), ["source", "at"], "left_anti")
-        level = _cut(reached)
+            reached = reached.join(level.select(key), key, "left_anti")
+        level = _cut(reached.join(own, "source").select("source", "at", "rest", "ways", "n", F.col("_size").alias("_times")))
         if level.isEmpty():
             break
         levels.append(level)
@@ -271,9 +296,11 @@ def _shares(step: DataFrame, sources: DataFrame) -> DataFrame | None:
         if below is None:
             loaded = level.withColumn("x", F.lit(0.0))
         else:
-            given = below.select("source", "at", ((1 + F.col("x")) / F.col("ways")).alias("y")).join(step, "at").groupBy("source", F.col("to").alias("at")).agg(F.sum("y").alias("y"))
-            loaded = _cut(level.join(given, ["source", "at"], "left").select("source", "at", "ways", F.coalesce(F.col("ways") * F.col("y"), F.lit(0.0)).alias("x")))
-            part = loaded.groupBy(F.col("at").alias("id")).agg(F.sum("x").alias("x"))
+            given = below.select("source", "at", (F.col("n") * (1 + F.col("x")) / F.col("ways")).alias("y")).join(links, "at").groupBy("source", F.col("to").alias("at")).agg(F.sum("y").alias("y"))
+            loaded = _cut(level.join(given, ["source", "at"], "left").select(*key, "ways", "n", "_times", F.coalesce(F.col("ways") * F.col("y"), F.lit(0.0)).alias("x")))
+            # a node takes its share from each node of the source's class, but not from itself
+            times = F.when(F.col("rest"), F.col("_times") - 1).otherwise(F.col("_times"))
+            part = loaded.groupBy(F.col("at").alias("id")).agg(F.sum(F.col("x") * times).alias("x"))
             shares = part if shares is None else shares.union(part)
         below = loaded
     return shares
