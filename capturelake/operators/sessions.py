@@ -56,10 +56,14 @@ def _protocol_split(seen: dict, kinds: list[str], xid, t: float) -> bool:
 
 class Boundary:
     """The boundary rule over packets in order of flow and time, a packet of state: what closed the session, the last time and numbers, and the
-    protocols' last times. ``entry`` is the state of the flow whose packets come first, if it began before."""
+    protocols' last times. ``entry`` is the state of the flow whose packets come first, if it began before. With ``entries``, (state, generation) by flow
+    of all that began before, ``exits`` has the same of all flows fed."""
 
-    def __init__(self, entry: tuple | None = None, generation: int = 0):
-        self.flow, self.state, self.generation = None, (0.0, 0.0, None, None, ()), generation
+    FRESH = ((0.0, 0.0, None, None, ()), 0)
+
+    def __init__(self, entry: tuple | None = None, generation: int = 0, entries: dict[str, tuple] | None = None):
+        self.flow, self.state, self.generation = None, self.FRESH[0], generation
+        self.entries, self.exits = entries, {}
         if entry:
             self.flow, self.state = entry
 
@@ -71,7 +75,10 @@ class Boundary:
         seen, out = dict(known), []
         for row, (key, t, transport, said, number) in enumerate(zip(*columns, strict=True)):
             if key != flow:
-                flow, closed, last, seq, isn, generation, seen = key, 0.0, 0.0, None, None, 0, {}
+                if self.entries is not None and flow is not None:
+                    self.exits[flow] = ((closed, last, seq, isn, tuple(sorted(seen.items()))), generation)
+                flow, ((closed, last, seq, isn, known), generation) = key, (self.entries or {}).get(key, self.FRESH)
+                seen = dict(known)
             tcp, flags = transport == "TCP", (said or "").split(" ")
             syn, ack = "SYN" in flags, "ACK" in flags
             gap = t - last if last and last > 0 and t is not None else 0.0
@@ -91,6 +98,8 @@ class Boundary:
             last = t
             out.append(generation)
         self.flow, self.generation, self.state = flow, generation, (closed, last, seq, isn, tuple(sorted(seen.items())))
+        if self.entries is not None and flow is not None:
+            self.exits[flow] = (self.state, generation)
         return out
 
 

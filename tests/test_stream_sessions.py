@@ -72,3 +72,18 @@ def test_flows_at_rest_are_forgotten(spark, tmp_path):
         folder = tmp_path / str(keep)
         found = {r["seq_no"]: r["generation"] for r in run(spark, folder, frame, [[0, 1], [2], [3], [4]], keep_seconds=keep).collect()}
         assert found == {0: 0, 1: 1, 2: 0, 3: generation}
+
+
+def test_many_flows_of_a_bucket(spark, tmp_path):
+    """Three buckets of 60 flows, which begin, split, rest and go on in different micro-batches."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        row = list(packet(i, i * 0.5 + rng.uniform(0, 5), rng.choice(["ACK"] * 9 + ["SYN", "FIN ACK"]), i))
+        row[NAMES.index("src_port")] = 100 + rng.randrange(60)
+        rows.append(tuple(row))
+    last = list(packet(900, 10_000, "ACK", 1))
+    frame = spark.createDataFrame([*rows, tuple(last)], COLUMNS)
+    want = {r["seq_no"]: r["generation"] for r in ses.with_generations(frame).collect() if r["seq_no"] < 900}
+    found = [(r["seq_no"], r["generation"]) for r in run(spark, tmp_path, frame, [list(range(i, i + 300)) for i in range(0, 900, 300)] + [[900]], buckets=3).collect()]
+    assert len(found) == 900 and dict(found) == want and max(want.values()) > 1
