@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from capturelake.operators import detect, fields, graph
 from capturelake.operators import algorithms as alg
+from capturelake.operators import sessions as ses
 from capturelake.queries.registry import Registry, text
 from capturelake.queries.graphs import parted, recursive
 from capturelake.queries.sessions import SESSIONS, SYS, built, named
@@ -46,8 +47,9 @@ R.add("a04_edge_details", lambda s, d: fields.edge_details(graph.with_ids(rich(s
 
 
 def session_fields(s, d):
-    found = fields.accumulate(rich(s, d), ["tls", "http"]).withColumnsRenamed({"session_id": "id", "http_fwd_user_agents": "user_agents"})
-    return built(s, d).join(found, "id")
+    rows = rich(s, d)
+    found = fields.accumulate(rows, ["tls", "http"]).withColumnsRenamed({"session_id": "id", "http_fwd_user_agents": "user_agents"})
+    return ses.sessions(rows).join(found, "id")
 
 
 def known(s):
