@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake import scratch
+
 #: Longest list that a session keeps; ``<name>_total`` has the number of all values.
 MOST = 500
 #: (field, how, packet column): set, first (by order), any (true once), last; 'fwd:' and 'rev:' take one direction.
@@ -115,10 +117,11 @@ def search(nodes: DataFrame, edges: DataFrame, sessions: DataFrame, text: str) -
                 out |= F.lower(F.col(c).cast("string")).contains(low)
         return F.coalesce(out, F.lit(False))
 
-    hit = sessions.where(holds(sessions, ["src_ip", "dst_ip", "protocol", "src_port", "dst_port"]))
-    pairs = hit.select(F.least("src_ip", "dst_ip").alias("a"), F.greatest("src_ip", "dst_ip").alias("b")).distinct()
+    # sessions, edges and nodes are looked through once each; what is used again is written
+    hit = scratch.cut(sessions.where(holds(sessions, ["src_ip", "dst_ip", "protocol", "src_port", "dst_port"])).select("id", "src_ip", "dst_ip"))
+    pairs = hit.select(F.least("src_ip", "dst_ip").alias("a"), F.greatest("src_ip", "dst_ip").alias("b"), F.lit(True).alias("_hit")).distinct()
     keyed = edges.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
-    shown = keyed.where(holds(edges, ["id", "protocol", "ports"])).unionByName(keyed.join(pairs, ["a", "b"], "left_semi"), allowMissingColumns=True).select("id", "src", "dst").distinct()
+    shown = scratch.cut(keyed.join(pairs, ["a", "b"], "left").where(holds(edges, ["id", "protocol", "ports"]) | F.col("_hit").isNotNull()).select("id", "src", "dst").distinct())
     ends = shown.select(F.explode(F.array("src", "dst")).alias("id"))
     found = nodes.where(holds(nodes, ["id", "ips", "protocols"])).select("id").union(ends).distinct()
     return found.select(F.lit("node").alias("kind"), "id").union(shown.select(F.lit("edge"), "id")).union(hit.select(F.lit("session"), "id").distinct())
