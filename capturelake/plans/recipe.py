@@ -72,7 +72,8 @@ def run(nodes: DataFrame, edges: DataFrame, steps: list[Step], sets: dict[str, D
     Steps on ``sessions(id, src_ip, dst_ip, ...)`` change no visibility: without conditions they match all, highlights are their addresses
     and pairs, and groups have their ids. ``records`` and ``pending`` tell what each step did and which apply to later views.
     """
-    n, e = nodes.withColumn("visible", F.lit(True)), edges.withColumn("visible", F.lit(True))
+    # every step looks through both, so the graph is made once
+    n, e = _cut(nodes.withColumn("visible", F.lit(True))), _cut(edges.withColumn("visible", F.lit(True)))
     out = Outcome(n, e, {}, dict(sets or {}), [], [])
     for number, step in enumerate(steps):
         if not step.enabled:

@@ -149,8 +149,14 @@ R.add("r03_recipe_edges", lambda s, d: recipe(s, d).edges.where("visible").selec
 R.add("r05_recipe_nodes", lambda s, d: recipe(s, d).nodes.select("id", "visible"), RECIPE + "SELECT id, t >= 38000 AS visible FROM n")
 
 
-def orphans(s, d):
+def slim(s, d):
+    """The view with the columns that the steps read, so that what a recipe writes has no others."""
     nodes, edges = view(s, d)
+    return nodes.select("id", "total_bytes"), edges.select("id", "src", "dst", "protocol")
+
+
+def orphans(s, d):
+    nodes, edges = slim(s, d)
     return run(nodes, edges, [Step("show_only", "edges", [C("protocol", "equals", "dns")]), Step("hide", "edges", [C("dst", "starts_with", "203.")])]).nodes.select("id", "visible")
 
 
@@ -187,7 +193,7 @@ R.add("r09_session_steps", session_steps, SESSION_STEPS)
 
 def provenance(s, d):
     """What each step of a recipe removed, by id."""
-    nodes, edges = view(s, d)
+    nodes, edges = slim(s, d)
     steps = [Step("show_only", "edges", [C("protocol", "equals", "ssh")]), Step("hide", "nodes", [C("total_bytes", "<", 38000)]), Step("hide", "edges", [C("dst", "starts_with", "203.")])]
     parts = []
     for r in run(nodes, edges, steps).records:
