@@ -42,11 +42,24 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.checkpoint()
+        # the setting counts when a frame is made, so the frame is made anew
+        return df.select("*").checkpoint()
     finally:
         spark.conf.set(CLEANUP, before)
 
 
+#: Rows of a partition of what :func:`few` gives.
+FEW = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` as :func:`cut` leaves it, in a partition for each ``FEW`` rows where it has more partitions than that. For small tables that many
+    steps read: with a task a partition, and shuffle files for each, the steps would cost what the partitions do, not what the rows do."""
+    done = cut(df)
+    wanted = max(1, -(-done.count() // FEW))
+    return cut(done.coalesce(wanted)) if wanted < done.rdd.getNumPartitions() else done
+
+
 def words_of(text: Column) -> Column:
     """The array of words of a text; empty for a null or blank one."""
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
@@ -87,11 +100,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each a grouped minimum and a join on the node,
     until every edge points at a node that has no smaller neighbour itself. An edge table without
-    rows gives none. Each step is written to the checkpoint folder.
+    rows gives none. Each step is written to the checkpoint folder, in as many partitions as its rows need.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    turned = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+    now = few(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v"), F.col("u")).toDF("u", "v"))
+        both = now.select(turned).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()

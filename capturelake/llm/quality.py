@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import SPACE_CHARS, cut, documents, free_names, let, words_of
+from capturelake.llm.common import SPACE_CHARS, cut, few, documents, free_names, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
@@ -210,7 +210,8 @@ def fit(labelled: DataFrame, max_rules: int = MAX_RULES, max_conditions: int = M
     part = (F.pmod(F.xxhash64("key"), F.lit(3)) == 0).cast("int").alias("part")
     bins = [f"bin_{f}" for f in FEATURES]
     rows = with_bins(labelled.where("label is not null")).select(*bins, part, (F.col("label") != 0).cast("long").alias("good"), (F.col("label") == 0).cast("long").alias("bad"))
-    cells = cut(rows.groupBy(*bins, "part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    # each step of the learning reads them all
+    cells = few(rows.groupBy(*bins, "part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
     rules: list[tuple[Condition, ...]] = []
     free, aside = F.lit(True), set()
     precise = lambda good, bad: bad / max(good + bad, 1)
