@@ -121,35 +121,38 @@ def _local_moves(pairs: DataFrame, strength: DataFrame, total: float, resolution
     """((node, k, group), modularity) after moves of single nodes: a node joins the neighbouring group of most gain.
 
     Nodes of two halves, by a hash that changes with the turn, move in turn, and a node alone joins another that is alone only if that
-    has the lesser number; so neighbours rarely swap. The best of all turns is kept, and turns end when no node has moved in two.
+    has the lesser number; so neighbours rarely swap. The best of all turns is kept, and turns end when no node has moved in two. A turn is two jobs: one
+    writes each node's move with its links into the group it was in, one sums these for the modularity before the turn.
 
     ``pairs(a, b, weight)`` both ways without loops, ``strength(node, k, loop)``.
     """
-    now = _cut(strength.select("node", "k", F.col("node").alias("group")))
+    now = scratch.table(strength.select("node", "k", F.col("node").alias("group")))
     loops = strength.agg(F.sum("loop")).first()[0] or 0
     best, best_q, quiet = now, None, 0
     for turn in range(rounds):
+        if quiet >= 2:
+            break
         of_group = now.groupBy("group").agg(F.sum("k").alias("sum"), F.count(F.lit(1)).alias("n"))
         links = pairs.join(now.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node"), "group").agg(F.sum("weight").alias("w"))
+        own = now.join(of_group, "group").select("node", "k", F.col("group").alias("from"), F.col("sum").alias("own_sum"), F.col("n").alias("own_n"))
+        mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        home = F.col("group") == F.col("from")
+        can = mine & ~home & ((F.col("own_n") > 1) | (F.col("n") > 1) | (F.col("group") < F.col("from")))
+        # the gain of a move, but for the node's links into its own group, which are the same for all its moves
+        score = F.col("w") - resolution * F.col("k") * (F.col("sum") - F.col("own_sum") + F.col("k")) / (2 * total)
+        to = F.max(F.when(can, F.struct(score.alias("score"), (-F.col("group")).alias("g")))).alias("m")
+        choice = links.join(own, "node").join(of_group, "group").groupBy("node").agg(to, F.coalesce(F.sum(F.when(home, F.col("w"))), F.lit(0)).alias("own_w"))
+        moved = F.coalesce(F.col("m.score") - F.col("own_w") > 1e-9 * total, F.lit(False))
+        after = now.join(choice, "node", "left").select("node", "k", F.col("group").alias("from"), F.when(moved, -F.col("m.g")).otherwise(F.col("group")).alias("group"), moved.alias("moved"), "own_w")
+        after = scratch.table(after)
+        # the state before the turn: weight inside groups, and their strengths
+        groups = after.groupBy("from").agg(F.sum("own_w").alias("w"), F.sum("k").alias("s"), F.max("moved").alias("moved"))
+        inside, spread, any_moved = groups.agg(F.sum("w"), F.sum(F.pow(F.col("s") / (2 * total), F.lit(2.0))), F.max("moved")).first()
         if turn:
-            # state of the turn before: weight inside groups, and their strengths
-            inside = (links.join(now, ["node", "group"]).agg(F.sum("w")).first()[0] or 0) + 2 * loops
-            spread = of_group.agg(F.sum(F.pow(F.col("sum") / (2 * total), F.lit(2.0)))).first()[0]
-            q = inside / (2 * total) - resolution * spread
+            q = ((inside or 0) + 2 * loops) / (2 * total) - resolution * spread
             if best_q is None or q > best_q + 1e-12:
                 best, best_q = now, q
-            if quiet >= 2:
-                break
-        mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        own = now.join(of_group, "group").select("node", "k", F.col("group").alias("from"), F.col("sum").alias("own_sum"), F.col("n").alias("own_n"))
-        here = links.join(own, "node")
-        stay = here.where(F.col("group") == F.col("from")).select("node", F.col("w").alias("own_w"))
-        there = here.where(mine & (F.col("group") != F.col("from"))).join(of_group, "group").join(stay, "node", "left")
-        gain = (F.col("w") - F.coalesce("own_w", F.lit(0))) - resolution * F.col("k") * (F.col("sum") - F.col("own_sum") + F.col("k")) / (2 * total)
-        can = (F.col("own_n") > 1) | (F.col("n") > 1) | (F.col("group") < F.col("from"))
-        moves = there.withColumn("gain", gain).where(can & (F.col("gain") > 1e-9 * total)).groupBy("node").agg(F.max(F.struct("gain", (-F.col("group")).alias("g"))).alias("m")).select("node", (-F.col("m.g")).alias("to"))
-        after = scratch.table(now.join(moves, "node", "left").select("node", "k", F.coalesce("to", "group").alias("group"), F.col("to").isNotNull().alias("moved")))
-        quiet = quiet + 1 if after.where("moved").isEmpty() else 0
+        quiet = 0 if any_moved else quiet + 1
         now = after.select("node", "k", "group")
     return best, best_q
 
@@ -161,11 +164,12 @@ def modular(edges: DataFrame, resolution: float = 1.0, least: int = 2, rounds: i
     until a level gains nothing. ``resolution`` over 1 gives more and smaller groups. Clusters have at least ``least`` nodes and are numbered by
     size. Nothing is drawn at random: the same edges give the same clusters, whatever their order or partitions.
     """
-    pairs = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("weight"))
+    # read twice, and what it comes from may be long
+    pairs = scratch.table(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").cast("double").alias("weight")))
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     # numbers by name, so that ties go the same way in every run; a number needs no row of another partition beside the counts
-    names = _cut(numbered(names, "name"))
-    level = _cut(pairs.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "weight"))
+    names = scratch.table(numbered(names, "name"))
+    level = scratch.table(pairs.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "weight"))
     total = level.agg(F.sum("weight")).first()[0]
     member = names.select("name", F.col("number").alias("at"))
     if not total:
@@ -173,18 +177,18 @@ def modular(edges: DataFrame, resolution: float = 1.0, least: int = 2, rounds: i
     reached = None
     while True:
         around = level.where("a <> b")
-        both = _cut(around.union(around.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+        both = scratch.table(around.union(around.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
         loop = level.where("a = b").select(F.col("a").alias("node"), F.col("weight").alias("loop"))
         sums = both.select(F.col("a").alias("node"), "weight").union(loop.select("node", F.col("loop") * 2)).groupBy("node").agg(F.sum("weight").alias("k"))
-        strength = _cut(sums.join(loop, "node", "left").select("node", "k", F.coalesce("loop", F.lit(0.0)).alias("loop")))
+        strength = scratch.table(sums.join(loop, "node", "left").select("node", "k", F.coalesce("loop", F.lit(0.0)).alias("loop")))
         found, q = _local_moves(both, strength, total, resolution, rounds)
         if q is None or (reached is not None and q <= reached + 1e-9):
             break
         reached = q
         group = found.select("node", "group")
-        member = _cut(member.join(group, member["at"] == group["node"]).select("name", F.col("group").alias("at")))
+        member = scratch.table(member.join(group, member["at"] == group["node"]).select("name", F.col("group").alias("at")))
         ends = level.join(group.toDF("a", "u"), "a").join(group.toDF("b", "v"), "b")
-        smaller = _cut(ends.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum("weight").alias("weight")))
+        smaller = scratch.table(ends.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum("weight").alias("weight")))
         if group.select("group").distinct().count() == group.count():
             break
         level = smaller

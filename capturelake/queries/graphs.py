@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake import scratch
 from capturelake.operators import algorithms as alg
 from capturelake.operators import graph
 from capturelake.plans.predicates import Condition, match
@@ -215,7 +216,7 @@ R.add("r10_provenance", provenance, PROVENANCE)
 def modular_invariants(s, d):
     """What holds of any good clustering: every node that talks has a cluster, weights inside and between clusters are all weights, and
     modularity is over that of one cluster, which is 0."""
-    pairs = talk(s, d)
+    pairs = scratch.table(talk(s, d))
     found = alg.modular(pairs, least=1)
     ends = pairs.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b")
     good = alg.modularity(pairs, found).select((F.col("modularity") > 0).alias("positive"))
