@@ -15,6 +15,8 @@ R = Registry()
 #: Bytes of a range in the queries, so that every table's files have several.
 RANGE = 1 << 18
 ENDS = ("src_ip", "dst_ip")
+#: Columns of packets that the queries over capture files use.
+READ = [*ENDS, "src_port", "dst_port", "transport", "orig_len", "ttl", "timestamp", "tcp_flags_str", "seq_num", "payload"]
 INSIDE = net.block_range("10.0.0.0/8")
 
 
@@ -32,9 +34,9 @@ def hello(seq: Column) -> Column:
         F.lit("2A2A0000"), server, F.lit("000A000800063A3A001D0017"), F.lit("000B00020100"),
         F.when(seq % 4 == 0, "").otherwise("0010000B000908687474702F312E31"), F.when(seq % 5 == 0, "").otherwise("002B0005041A1A0304"),
     )
-    counted = lambda text: F.concat(_hex((F.length(text) / 2).cast("int"), 4), text)
+    counted = lambda text, digits=4: signatures.once(text, lambda t: F.concat(_hex((F.length(t) / 2).cast("int"), digits), t))
     body = F.concat(F.lit("0303"), F.repeat(F.lit("AB"), 32), F.lit("00"), counted(ciphers), F.lit("0100"), counted(extensions))
-    message = F.concat(F.lit("01"), _hex((F.length(body) / 2).cast("int"), 6), body)
+    message = F.concat(F.lit("01"), counted(body, 6))
     return F.unhex(F.concat(F.lit("160301"), counted(message)))
 
 
@@ -74,15 +76,14 @@ R.add("x20_fingerprints", lambda s, d: with_payloads(s, d).select("seq_no", tls.
 
 def _framed(ip: Column) -> Column:
     """The capture view's hosts 10.0.N.n as addresses of a frame: N over 255 goes on in the number before it."""
-    number = net.ip_number(ip, carry=True)
-    return F.when(ip.startswith("10.") & (number > INSIDE[1]), F.raise_error(F.lit("a frame has no address for the hosts over 10.0.65535"))).otherwise(net.ip_text(number))
+    over = F.raise_error(F.lit("a frame has no address for the hosts over 10.0.65535"))
+    return signatures.once(net.ip_number(ip, carry=True), lambda number: F.when(ip.startswith("10.") & (number > INSIDE[1]), over).otherwise(net.ip_text(number)))
 
 
 def _named(ip: Column) -> Column:
     """The host of an address that :func:`_framed` made."""
-    number = net.ip_number(ip)
-    place = number - INSIDE[0]
-    return F.when(number.between(*INSIDE), F.concat(F.lit("10.0."), F.shiftright(place, 8).cast("string"), F.lit("."), (place % 256).cast("string"))).otherwise(ip)
+    text = lambda place: F.concat(F.lit("10.0."), F.shiftright(place, 8).cast("string"), F.lit("."), (place % 256).cast("string"))
+    return signatures.once(net.ip_number(ip), lambda number: F.when(number.between(*INSIDE), text(number - INSIDE[0])).otherwise(ip))
 
 
 def _read_back(s, d, form: str, **options):
@@ -90,7 +91,7 @@ def _read_back(s, d, form: str, **options):
     folder = scratch.fresh(s, f"capture-{form}")
     framed = with_payloads(s, d).withColumns({c: _framed(F.col(c)) for c in ENDS})
     paths = pcap.write(pcap.with_frames(framed), folder, form)
-    return pcap.read(s, paths, range_bytes=RANGE, **options).withColumns({c: _named(F.col(c)) for c in ENDS})
+    return pcap.read(s, paths, range_bytes=RANGE, columns=READ, **options).withColumns({c: _named(F.col(c)) for c in ENDS})
 
 
 def _flows(rows):

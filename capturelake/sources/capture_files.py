@@ -1,8 +1,9 @@
 """Capture files read in byte ranges: an index of record starts and times first, then only the ranges that a time filter needs.
 
 A range of a file owns the records that begin in it. A range that begins inside a record finds the next one by resynchronising: an offset counts
-if headers follow each other from there to the range's end. The index then checks that each range begins where the
-one before it ended, and walks those that do not again from there, so what is read never depends on the ranges.
+if headers follow each other from there to the range's end. Small ranges that follow each other are walked in one go, so only the first of them
+has to. The index then checks that each range begins where the one before it ended, and walks those that do not again from there, so what is read
+never depends on the ranges.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from capturelake import scratch
 RANGE = 64 << 20
 #: A range looks for its first record from so far before its begin: what looks like a header inside a packet's bytes has left that packet by then.
 LOOK_BACK = 1 << 20
+#: Ranges that follow each other are walked in one go while they are no more than so many, and no longer than so many bytes.
+STRETCH, STRETCH_BYTES = 16, 4 << 20
 #: No record keeps more bytes of a packet.
 LONGEST = 1 << 18
 #: Magic numbers of capture files in little-endian order, with the byte order and fractions a second they stand for.
@@ -262,39 +265,56 @@ def seconds(ticks: int, interface: tuple[int, int, int]) -> float:
 
 def _walked(path: str, size: int, no: int, begin: int, stop: int, start: int | None) -> dict:
     """One row of the index. ``start``: where the range before ended, where that is known."""
-    row = {"path": path, "size": size, "no": no, "begin": begin, "stop": stop, "start": start, "end": None, "n": 0, "t_min": None, "t_max": None, "carried": [], "defined": []}
+    with opened(path) as file:
+        window = Pieces(file, size)
+        return _walked_in(window, layout(window), path, no, begin, stop, start)
+
+
+def _stretch(path: str, size: int, no: int, begin: int, stop: int, range_bytes: int) -> list[dict]:
+    """Rows of the index of the ranges from ``begin`` to ``stop``. Each begins where the one before it ended; the first, and one after a range that
+    ended early, find their first record."""
+    rows, start = [], None
     with opened(path) as file:
         window = Pieces(file, size)
         kind = layout(window)
-        if kind is None:
-            return row | {"start": begin, "end": stop}
-        state = kind.start()
-        if start is None:
-            place = synchronised(kind, window, begin, stop)
-            if place is None:
-                return row
-            start, state.order = place[0], place[1] or state.order
-        elif isinstance(kind, Blocks):
-            state.order = next((o for o in kind.forms if kind.next(window, start, o) is not None), state.order)
-        state.unseen = isinstance(kind, Blocks) and start > 0
-        times, carried, end = [], {}, start
-        for item in kind.walk(window, start, stop, state):
-            end = item[2]
-            if item[0] == "packet":
-                number, ticks = item[3], item[4]
-                row["n"] += 1
-                if state.unseen:
-                    lo, hi = carried.get(number, (ticks, ticks))
-                    carried[number] = (min(lo, ticks), max(hi, ticks))
-                elif number < len(state.interfaces):
-                    times.append(seconds(ticks, state.interfaces[number]))
-            elif item[0] == "section":
-                row["defined"].append({"at": item[1], "order": item[3], "link": None, "ticks": None, "added": None})
-            elif item[0] == "interface":
-                row["defined"].append({"at": item[1], "order": state.order, "link": item[3], "ticks": item[4], "added": item[5]})
-        row |= {"start": start, "end": max(end, start), "carried": [{"number": k, "lo": lo, "hi": hi} for k, (lo, hi) in carried.items()]}
-        if times:
-            row |= {"t_min": min(times), "t_max": max(times)}
+        for k, at in enumerate(range(begin, max(stop, begin + 1), range_bytes)):
+            end = min(stop, at + range_bytes)
+            rows.append(row := _walked_in(window, kind, path, no + k, at, end, start))
+            start = None if row["end"] is None or row["end"] < end else row["end"]
+    return rows
+
+
+def _walked_in(window: Pieces, kind: Pcap | Blocks | None, path: str, no: int, begin: int, stop: int, start: int | None) -> dict:
+    row = {"path": path, "size": window.size, "no": no, "begin": begin, "stop": stop, "start": start, "end": None, "n": 0, "t_min": None, "t_max": None, "carried": [], "defined": []}
+    if kind is None:
+        return row | {"start": begin, "end": stop}
+    state = kind.start()
+    if start is None:
+        place = synchronised(kind, window, begin, stop)
+        if place is None:
+            return row
+        start, state.order = place[0], place[1] or state.order
+    elif isinstance(kind, Blocks):
+        state.order = next((o for o in kind.forms if kind.next(window, start, o) is not None), state.order)
+    state.unseen = isinstance(kind, Blocks) and start > 0
+    times, carried, end = [], {}, start
+    for item in kind.walk(window, start, stop, state):
+        end = item[2]
+        if item[0] == "packet":
+            number, ticks = item[3], item[4]
+            row["n"] += 1
+            if state.unseen:
+                lo, hi = carried.get(number, (ticks, ticks))
+                carried[number] = (min(lo, ticks), max(hi, ticks))
+            elif number < len(state.interfaces):
+                times.append(seconds(ticks, state.interfaces[number]))
+        elif item[0] == "section":
+            row["defined"].append({"at": item[1], "order": item[3], "link": None, "ticks": None, "added": None})
+        elif item[0] == "interface":
+            row["defined"].append({"at": item[1], "order": state.order, "link": item[3], "ticks": item[4], "added": item[5]})
+    row |= {"start": start, "end": max(end, start), "carried": [{"number": k, "lo": lo, "hi": hi} for k, (lo, hi) in carried.items()]}
+    if times:
+        row |= {"t_min": min(times), "t_max": max(times)}
     return row
 
 
@@ -316,14 +336,20 @@ def arrow_schema(names: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(names))
 
 
-def _walks():
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """Rows that stand for much work each, evenly in several tasks a core, of up to ``most`` rows. A number is given, as adaptive execution goes by the bytes of
+    the rows and would join them all into one task."""
+    n = rows.count()
+    return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism), -(-n // most)))
+
+
+def _walks(walked):
     schema = arrow_schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                row = _walked(r["path"], r["size"], r["no"], r["begin"], r["stop"], r["start"])
-                yield pa.RecordBatch.from_pylist([row], schema)
+                yield pa.RecordBatch.from_pylist(walked(**r), schema)
 
     return run
 
@@ -334,9 +360,11 @@ def index(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE)
     Files that are no capture have no records. The index walks record headers; no packet is decoded.
     """
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
-    no = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / range_bytes).cast("long")))
-    ranges = files.select("path", "size", no.alias("no")).withColumns({"begin": F.col("no") * range_bytes, "stop": F.least("size", (F.col("no") + 1) * range_bytes), "start": F.lit(None).cast("long")})
-    found = scratch.cut(ranges.repartition("path", "no").mapInArrow(_walks(), INDEX))
+    together = max(1, min(STRETCH, STRETCH_BYTES // range_bytes))
+    long = together * range_bytes
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / long).cast("long")))
+    stretches = files.select("path", "size", k.alias("k")).select("path", "size", (F.col("k") * together).alias("no"), (F.col("k") * long).alias("begin"), F.least("size", (F.col("k") + 1) * long).alias("stop"))
+    found = scratch.cut(dealt(stretches, 64).mapInArrow(_walks(lambda **r: _stretch(**r, range_bytes=range_bytes)), INDEX))
     before = F.lag("end").over(Window.partitionBy("path").orderBy("no"))
     while True:
         # a range must begin where the one before it ended; where it does not, it is walked again from there. Where the one before has no end
@@ -348,7 +376,7 @@ def index(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE)
         if wrong.isEmpty():
             found = checked.withColumn("n", F.when(F.col("no") > F.col("last"), 0).otherwise(F.col("n"))).select(*found.columns)
             break
-        again = wrong.select("path", "size", "no", "begin", "stop", F.col("due").alias("start")).repartition("path", "no").mapInArrow(_walks(), INDEX)
+        again = dealt(wrong.select("path", "size", "no", "begin", "stop", F.col("due").alias("start")), 1024).mapInArrow(_walks(lambda **r: [_walked(**r)]), INDEX)
         found = scratch.cut(found.join(wrong.select("path", "no"), ["path", "no"], "left_anti").unionByName(again))
     return _settled(found)
 
@@ -392,7 +420,8 @@ def records(indexed: DataFrame, time_range: tuple[float, float] | None, emit, sc
         for batch in batches:
             for r in batch.to_pylist():
                 with opened(r["path"]) as file:
-                    window = Pieces(file, r["size"])
+                    # a range and its last record, no more of what comes after
+                    window = Pieces(file, r["size"], min(4 << 20, r["stop"] - r["start"] + 4096) if r["stop"] > r["start"] else 4096)
                     kind = layout(window)
                     state = at_place(r["known"] or [], r["start"]) if isinstance(kind, Blocks) else kind.start()
                     if isinstance(kind, Blocks) and not (r["known"] and r["known"][0]["at"] < r["start"]):
@@ -418,4 +447,4 @@ def records(indexed: DataFrame, time_range: tuple[float, float] | None, emit, sc
                             counter.add(len(rows))
                         yield emit(rows)
 
-    return wanted.select("path", "size", "start", "stop", "before", "known").repartition("path", "start").mapInArrow(run, schema)
+    return dealt(wanted.select("path", "size", "start", "stop", "before", "known"), 1024).mapInArrow(run, schema)
