@@ -12,6 +12,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -270,18 +271,19 @@ def _walked(path: str, size: int, no: int, begin: int, stop: int, start: int | N
         return _walked_in(window, layout(window), path, no, begin, stop, start)
 
 
-def _stretch(path: str, size: int, no: int, begin: int, stop: int, range_bytes: int) -> list[dict]:
+def _stretch(path: str, size: int, no: int, begin: int, stop: int, start: int | None, range_bytes: int) -> Iterator[dict]:
     """Rows of the index of the ranges from ``begin`` to ``stop``. Each begins where the one before it ended; the first, and one after a range that
-    ended early, find their first record."""
-    rows, start = [], None
+    ended early, find their first record. If ``start`` is given, the first begins there, and a range that ends early is the last."""
+    given = start is not None
     with opened(path) as file:
         window = Pieces(file, size)
         kind = layout(window)
         for k, at in enumerate(range(begin, max(stop, begin + 1), range_bytes)):
             end = min(stop, at + range_bytes)
-            rows.append(row := _walked_in(window, kind, path, no + k, at, end, start))
+            yield (row := _walked_in(window, kind, path, no + k, at, end, start))
             start = None if row["end"] is None or row["end"] < end else row["end"]
-    return rows
+            if given and start is None:
+                return
 
 
 def _walked_in(window: Pieces, kind: Pcap | Blocks | None, path: str, no: int, begin: int, stop: int, start: int | None) -> dict:
@@ -343,13 +345,14 @@ def dealt(rows: DataFrame, most: int) -> DataFrame:
     return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism), -(-n // most)))
 
 
-def _walks(walked):
+def _walks(range_bytes: int):
     schema = arrow_schema(INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(walked(**r), schema)
+                for rows in batched(_stretch(**r, range_bytes=range_bytes), 256):
+                    yield pa.RecordBatch.from_pylist(list(rows), schema)
 
     return run
 
@@ -363,9 +366,10 @@ def index(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE)
     together = max(1, min(STRETCH, STRETCH_BYTES // range_bytes))
     long = together * range_bytes
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / long).cast("long")))
-    stretches = files.select("path", "size", k.alias("k")).select("path", "size", (F.col("k") * together).alias("no"), (F.col("k") * long).alias("begin"), F.least("size", (F.col("k") + 1) * long).alias("stop"))
-    found = scratch.cut(dealt(stretches, 64).mapInArrow(_walks(lambda **r: _stretch(**r, range_bytes=range_bytes)), INDEX))
-    before = F.lag("end").over(Window.partitionBy("path").orderBy("no"))
+    stretches = files.select("path", "size", k.alias("k")).select("path", "size", (F.col("k") * together).alias("no"), (F.col("k") * long).alias("begin"), F.least("size", (F.col("k") + 1) * long).alias("stop"), F.lit(None).cast("long").alias("start"))
+    found = scratch.cut(dealt(stretches, 64).mapInArrow(_walks(range_bytes), INDEX))
+    by_place, reach = Window.partitionBy("path").orderBy("no"), long
+    before, following = F.lag("end").over(by_place), F.lead("begin").over(by_place)
     while True:
         # a range must begin where the one before it ended; where it does not, it is walked again from there. Where the one before has no end
         # yet, that one comes first. A file ends at its first record that is cut off or no record.
@@ -376,8 +380,11 @@ def index(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE)
         if wrong.isEmpty():
             found = checked.withColumn("n", F.when(F.col("no") > F.col("last"), 0).otherwise(F.col("n"))).select(*found.columns)
             break
-        again = dealt(wrong.select("path", "size", "no", "begin", "stop", F.col("due").alias("start")), 1024).mapInArrow(_walks(lambda **r: [_walked(**r)]), INDEX)
-        found = scratch.cut(found.join(wrong.select("path", "no"), ["path", "no"], "left_anti").unionByName(again))
+        # the ranges after it are walked on, too, up to the next wrong one and twice as far each time: turns grow with the logarithm of a file's ranges
+        until = F.least("size", F.col("begin") + reach, F.coalesce(following, "size"))
+        again = scratch.cut(dealt(wrong.select("path", "size", "no", "begin", until.alias("stop"), F.col("due").alias("start")), 1024).mapInArrow(_walks(range_bytes), INDEX))
+        found = scratch.cut(found.join(again.select("path", "no"), ["path", "no"], "left_anti").unionByName(again))
+        reach *= 2
     return _settled(found)
 
 

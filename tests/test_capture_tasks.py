@@ -33,11 +33,11 @@ def test_only_the_first_range_of_a_stretch_looks_for_a_record(tmp_path, monkeypa
         path = tmp_path / f"{layout.__name__}.cap"
         path.write_bytes(layout(packets(400)))
         size, n = path.stat().st_size, 3_000
-        whole = capture_files._stretch(str(path), size, 0, 0, size, n)
+        whole = list(capture_files._stretch(str(path), size, 0, 0, size, None, n))
         assert [r["no"] for r in whole] == list(range(-(-size // n))) and all(b["start"] == a["end"] for a, b in zip(whole, whole[1:])) and sum(r["n"] for r in whole) == 400
         assert looked == [0]
         looked.clear()
-        part = capture_files._stretch(str(path), size, 20, 20 * n, 30 * n, n)
+        part = list(capture_files._stretch(str(path), size, 20, 20 * n, 30 * n, None, n))
         assert looked == [20 * n]
         assert [(r["start"], r["end"], r["n"], r["begin"], r["stop"]) for r in part] == [(r["start"], r["end"], r["n"], r["begin"], r["stop"]) for r in whole[20:30]]
         looked.clear()
@@ -47,11 +47,23 @@ def test_after_a_range_that_ends_early_the_next_looks_for_itself(tmp_path):
     whole = pcap_file(packets(400))
     path = tmp_path / "x.pcap"
     path.write_bytes(whole[:30_000] + b"\xff" * 3_000 + whole[33_000:])
-    rows = capture_files._stretch(str(path), len(whole), 0, 0, len(whole), 4_000)
+    rows = list(capture_files._stretch(str(path), len(whole), 0, 0, len(whole), None, 4_000))
     early = next(i for i, r in enumerate(rows) if r["end"] is not None and r["end"] < r["stop"])
     assert 6 <= early <= 8 and rows[early + 3]["start"] is not None and rows[early + 3]["n"] > 0
 
 
+def test_turns_grow_with_the_logarithm_of_the_ranges(spark, tmp_path, monkeypatch):
+    """Big-endian records whose bytes lead other chains on to the file's end: 382 turns, when each walked one range."""
+    path = tmp_path / "x.pcap"
+    path.write_bytes(pcap_file(packets(400), ">"))
+    cuts = []
+    real = capture_files.scratch.cut
+    monkeypatch.setattr(capture_files.scratch, "cut", lambda df: cuts.append(1) or real(df))
+    rows = capture_files.index(spark, str(path), 700).orderBy("no").collect()
+    assert sum(r["n"] for r in rows) == 400 and all(b["start"] == a["end"] for a, b in zip(rows, rows[1:]))
+    assert 4 < len(cuts) <= 2 + 2 * 10
+
+
 def test_frames_decoded_at_once_are_those_decoded_one_by_one():
     rng = random.Random(3)
     frames = []
