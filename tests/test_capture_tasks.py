@@ -18,6 +18,15 @@ def test_packets_come_from_several_tasks(spark, tmp_path):
     assert len(parts) > 8 and sum(r["count"] for r in parts) == 300
 
 
+def test_packets_of_a_time_come_from_several_tasks(spark, tmp_path):
+    path = tmp_path / "x.pcapng"
+    path.write_bytes(pcapng_file(packets(300)))
+    lo, hi = 1700000100.0, 1700000260.0
+    found = pcap.read(spark, str(path), time_range=(lo, hi), range_bytes=4_000, columns=["timestamp"]).groupBy(F.spark_partition_id().alias("part"))
+    parts = found.agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).collect()
+    assert len(parts) > 4 and sum(r["n"] for r in parts) == 160 and min(r["first"] for r in parts) >= lo and max(r["last"] for r in parts) <= hi
+
+
 def test_rows_are_dealt_evenly(spark):
     rows = spark.range(1000).coalesce(1)
     counts = [r["count"] for r in capture_files.dealt(rows, 20).groupBy(F.spark_partition_id().alias("part")).count().collect()]
